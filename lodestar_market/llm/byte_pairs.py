@@ -15,18 +15,25 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes up to which a piece is merged directly.
-LEAF = 24
-#: Chunks that a worker remembers before it starts anew.
-REMEMBER = 150_000
+LEAF = 16
+#: Chunks that a worker remembers: the first ones, among them all frequent ones.
+REMEMBER = 500_000
+#: Pairs of tokens that a worker remembers before it starts anew.
+REMEMBER_PAIRS = 100_000
+_NO_RANK = 1 << 62
+MARKS = (".", ",", ";", ":", "!", "?")
 
 #: A single blank between two non-blank characters: no match of the split
 #: pattern reaches over it from the left, so text can be cut before it.
@@ -56,8 +63,8 @@ class Codec:
     def merge(self, data: bytes) -> list[int]:
         """Plain merging: always the pair of lowest rank, the leftmost first."""
         n = len(data)
-        if n == 0:
-            return []
+        if n <= 32:
+            return self._merge_short(data)
         ranks = self.ranks
         start, after, before = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1))
         # A part is the bytes from i to after[i]; parts that were merged away have after -1.
@@ -81,22 +88,37 @@ class Codec:
             i = after[i]
         return out
 
+    def _merge_short(self, data: bytes) -> list[int]:
+        """The same by looking for the lowest rank anew after each merge."""
+        ranks, none = self.ranks, _NO_RANK
+        get, n = ranks.get, len(data)
+        edge = list(range(n + 1))
+        pair = [get(data[i : i + 2], none) for i in range(n - 1)]
+        while pair and (least := min(pair)) != none:
+            i = pair.index(least)
+            del edge[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = get(data[edge[i] : edge[i + 2]], none)
+            if i:
+                pair[i - 1] = get(data[edge[i - 1] : edge[i + 1]], none)
+        return [ranks[data[a:b]] for a, b in pairwise(edge)]
+
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are what their bytes encode to."""
         key = (left, right)
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > REMEMBER:
+            if len(self._fits) > REMEMBER_PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation: the encoding of both byte strings in a row."""
-        if not left or not right:
-            return left or right
+        if not left or not right or self.fits(left[-1], right[0]):
+            return left + right
         i = j = 1
         while True:
-            window = self.merge(b"".join(self.bytes_of[t] for t in left[-i:] + right[:j]))
+            window = self.merge(b"".join([self.bytes_of[t] for t in left[-i:] + right[:j]]))
             left_settled = i >= len(left) or self.fits(left[-i - 1], window[0])
             right_settled = j >= len(right) or self.fits(window[-1], right[j])
             if left_settled and right_settled:
@@ -116,11 +138,22 @@ class Codec:
 
     # -- texts -------------------------------------------------------------
 
+    def matches(self, text: str) -> list[str]:
+        """The pattern's matches; plain words with a mark after them need no search."""
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha() and max(body) < "\u0250":
+            return [text]
+        if body[-1:] in MARKS and (word := body[:-1]).isalpha() and max(word) < "\u0250":
+            return [text[:-1], text[-1]]
+        return self.pattern.findall(text)
+
     def encode(self, text: str) -> list[int]:
-        return [t for match in self.pattern.findall(text) for t in self.piece(match.encode())]
+        found = self.matches(text)
+        return self.piece(found[0].encode()) if len(found) == 1 else [t for match in found for t in self.piece(match.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
-        return concatenated([self.bytes_of[i] for i in ids])
+        of = self.bytes_of
+        return concatenated([of[i] for i in ids])
 
 
 def concatenated(parts: list[bytes], fan: int = 32) -> bytes:
@@ -141,32 +174,58 @@ class ChunkedCodec:
         self.codec = codec
         self.first: dict[str, tuple] = {}
         self.later: dict[str, tuple] = {}
+        self.text_of = {i: str(i).encode() for i in codec.bytes_of}
 
     def _chunk(self, chunk: str, blank: str, known: dict[str, tuple]) -> tuple:
         ids = self.codec.encode(blank + chunk)
-        got = (np.array(ids, dtype=np.int32), ",".join(map(str, ids)).encode(), self.codec.decode(ids))
-        if len(chunk) <= 64:
-            if len(known) >= REMEMBER:
-                known.clear()
+        text = self.text_of
+        got = (len(ids), b",".join([text[i] for i in ids]), self.codec.decode(ids), array("i", ids).tobytes())
+        if len(chunk) <= 48 and len(known) < REMEMBER:
             known[chunk] = got
         return got
 
     def chunks(self, text: str) -> list[tuple]:
-        """(ids, ids as text, decoded bytes) of each chunk in turn."""
+        """(count, ids as text, decoded bytes, ids as 32-bit numbers) of each chunk in turn.
+
+        Numbers and bytes alone, so that the garbage collector need not look at them.
+        """
         if not text:
             return []
-        head, *tail = _SEAM.split(text)
+        # With single blanks and line feeds alone, every blank is a seam.
+        plain = text.count(" ") + text.count("\n") + 1 == len(text.split())
+        head, *tail = text.split(" ") if plain else _SEAM.split(text)
         later, make = self.later, self._chunk
         out = [self.first.get(head) or make(head, "", self.first)]
         out += [later.get(chunk) or make(chunk, " ", later) for chunk in tail]
         return out
 
     def ids(self, text: str) -> np.ndarray:
-        parts = [c[0] for c in self.chunks(text)]
-        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+        return np.frombuffer(b"".join([c[3] for c in self.chunks(text)]), np.int32)
+
+
+class LibraryCodec(ChunkedCodec):
+    """Gives the same ids, but encodes chunks it has not met with the tiktoken library."""
+
+    @classmethod
+    @lru_cache(maxsize=2)
+    def of(cls, path: str, pattern: str) -> LibraryCodec:
+        import tiktoken
+
+        coder = cls(Codec.load(path, pattern))
+        coder.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=coder.codec.ranks, special_tokens={})
+        return coder
+
+    def _chunk(self, chunk: str, blank: str, known: dict[str, tuple]) -> tuple:
+        ids = self.encoding.encode_ordinary(blank + chunk)
+        got = (len(ids), None, None, array("i", ids).tobytes())
+        if len(chunk) <= 48 and len(known) < REMEMBER:
+            known[chunk] = got
+        return got
 
 
+@lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> ChunkedCodec:
+    """A worker keeps its codec, and what it remembers, from task to task."""
     return ChunkedCodec(Codec.load(path, pattern))
 
 
@@ -192,11 +251,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: str = "dige
                 counts, ids_sha, decoded_sha, ids = [], [], [], []
                 for text in part.column("text").to_pylist():
                     chunks = coder.chunks(text or "")
-                    counts.append(sum([len(c[0]) for c in chunks]))
+                    counts.append(sum([c[0] for c in chunks]))
                     ids_sha.append(hashlib.sha256(b",".join([c[1] for c in chunks])).hexdigest())
                     decoded_sha.append(hashlib.sha256(concatenated([c[2] for c in chunks], 512)).hexdigest())
                     if with_ids:
-                        ids.append(np.concatenate([c[0] for c in chunks]) if chunks else np.empty(0, np.int32))
+                        ids.append(np.frombuffer(b"".join([c[3] for c in chunks]), np.int32))
                 columns = [part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, schema.field("token_ids").type)] if with_ids else []), schema=schema)
 
@@ -219,7 +278,7 @@ def decode_tokens(tokens: DataFrame, path: str, pattern: str, ids: str = "token_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     kept = tokens.select(*names)
-    return kept.mapInArrow(decode, kept.schema.add("decoded", "binary"))
+    return kept.mapInArrow(decode, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def op8_byte_pairs(spark, sf_dir: str) -> DataFrame:

@@ -72,12 +72,21 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES, k: int = GR
 
 
 def grams_of(docs: DataFrame, k: int = GRAM) -> DataFrame:
-    """doc_id, twin, n_words, position and gram: every rolling k-gram and, per row, an empty one."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("twin"), word_array(F.col("text")).alias("w"))
-    last = F.size("w") - k
-    rolling = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get("w", i + d) for d in range(k)]))).otherwise(F.array().cast("array<string>"))
-    # The row's own empty gram comes first, so a gram's position is its index less one.
-    return words.select("doc_id", "twin", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), rolling)).alias("index", "gram")).withColumn("position", F.col("index") - 1)
+    """doc_id, twin, n_words, position, hash and gram: every rolling k-gram and, per row, an empty one.
+
+    Explode and all after it up to the first counts is one generated loop; a
+    gram's string is only built where its hash has met a template's.
+    """
+    # The row's own empty gram comes first: a gram's position is its index less one.
+    words = docs.select("doc_id", F.xxhash64("text").alias("twin"), F.concat(F.array(F.lit("")), word_array(F.col("text"))).alias("w"))
+    each = words.select("doc_id", "twin", "w", F.posexplode_outer("w").alias("index", "word"))
+    gram = [F.col("word"), *[F.get("w", F.col("index") + d) for d in range(1, k)]]
+    whole = (F.col("index") == 0) | (F.col("index") + k <= F.size("w"))
+    return each.where(whole).select(
+        "doc_id", "twin", (F.size("w") - 1).cast("long").alias("n_words"), (F.col("index") - 1).alias("position"),
+        F.when(F.col("index") == 0, F.xxhash64(F.lit(""))).otherwise(F.xxhash64(*gram)).alias("hash"),
+        F.when(F.col("index") == 0, F.lit("")).otherwise(F.concat_ws(" ", *gram)).alias("gram"),
+    )
 
 
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = GRAM, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
@@ -87,10 +96,12 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = GRAM, slack
     of the text: rows equal in doc_id and text are one document.
     """
     spark = docs.sparkSession
-    known = F.broadcast(templates(spark, phrases, notices, k).withColumn("hash", F.xxhash64("gram")).withColumnRenamed("gram", "template_gram"))
+    words = F.split("gram", " ")
+    hashed = F.when(F.col("gram") == "", F.xxhash64(F.lit(""))).otherwise(F.xxhash64(*[F.get(words, F.lit(d)) for d in range(k)]))
+    known = F.broadcast(templates(spark, phrases, notices, k).select(hashed.alias("template_hash"), F.col("gram").alias("template_gram"), "template", "label", "base", "at", "grams"))
     grams = grams_of(docs, k)
     # The hash finds template positions; equal grams verify them word by word.
-    hits = grams.join(known, (F.xxhash64("gram") == F.col("hash")) & (F.col("gram") == F.col("template_gram")))
+    hits = grams.join(known, (F.col("hash") == F.col("template_hash")) & F.col("gram").eqNullSafe(F.col("template_gram")))
     diagonal = F.col("position") - F.col("at")
     votes = hits.groupBy("doc_id", "twin", "n_words", "template", "label", "base", "grams", diagonal.alias("diagonal")).agg(
         # Each template position votes once: one bit of a mask, so repeated rows don't count twice.
@@ -150,7 +161,7 @@ def _template_values() -> str:
 
 
 LICENSE_SQL = rf"""
-WITH template(gram, template, label, base, at, grams) AS (VALUES {_template_values()}),
+WITH template(gram, template, label, base, place, grams) AS (VALUES {_template_values()}),
 word AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents
@@ -158,7 +169,7 @@ word AS (
   SELECT doc_id, i AS position, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram
   FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM word)
 ), vote AS (
-  SELECT doc_id, template, label, base, grams, position - at AS diagonal, bit_or((1::BIGINT) << at) AS mask, count(*) AS votes, min(position) AS low
+  SELECT doc_id, template, label, base, grams, position - place AS diagonal, bit_or((1::BIGINT) << place) AS mask, count(*) AS votes, min(position) AS low
   FROM gram JOIN template USING (gram) GROUP BY ALL
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(low) AS first_word, max(low) AS last_word,

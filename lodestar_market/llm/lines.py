@@ -22,7 +22,7 @@ RUN = 2
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    return docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
 
 
 def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     A line goes if it lies in a run of at least ``run`` consecutive lines that
     stands earlier too: in a row of smaller doc_id, or further up in the same
     text.  Runs are judged on the input.  Lines end at line feeds; a null text
-    is one empty line and stays null, as does an empty one.  Rows that repeat
+    counts as one line, takes no part and stays null; an empty one is one empty line.  Rows that repeat
     a doc_id are not told apart: a window of theirs counts as earlier or not by
     (doc_id, line) alone, so exact repeats of a row keep each other's lines.
     Rows without a doc_id count as the earliest.  Other columns stay.
@@ -64,7 +64,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     out = joined.withColumn("_out", _without_runs(run)(F.when(F.col("_starts").isNotNull(), F.col("text")), "_starts"))
     return out.select(
         *own,
-        F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.col("_out.kept")).alias("kept_text"),
+        F.when(F.col("_starts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.col("_out.kept")).alias("kept_text"),
         F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
         F.coalesce("_out.n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_out.n_runs", F.lit(0)).cast("long").alias("n_runs"),
@@ -78,7 +78,7 @@ def _without_runs(run: int):
     def drop(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         out = []
         for text, at in zip(texts, starts, strict=True):
-            if at is None:
+            if at is None or text is None:
                 out.append((None, 0, 0))
                 continue
             lines = text.split("\n")
@@ -102,12 +102,12 @@ LINES_SQL = """
 WITH line AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), win AS (
-  SELECT doc_id, i AS at, lines[i + 1] || chr(10) || lines[i + 2] AS body
+  SELECT doc_id, i AS place, lines[i + 1] || chr(10) || lines[i + 2] AS body
   FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 1)) AS i FROM line)
 ), ranked AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY body ORDER BY doc_id, at) AS k FROM win
+  SELECT doc_id, place, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) AS k FROM win
 ), gone AS (
-  SELECT DISTINCT doc_id, at + d AS i FROM ranked, (VALUES (0), (1)) AS step(d) WHERE k > 1
+  SELECT DISTINCT doc_id, place + d AS i FROM ranked, (VALUES (0), (1)) AS step(d) WHERE k > 1
 ), runs AS (
   SELECT g.doc_id, count(*) AS n_removed,
          sum(CASE WHEN p.i IS NULL THEN 1 ELSE 0 END) AS n_runs, list(g.i) AS gone

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ._shared import shared_folder, table
-from .byte_pairs import _codec
+from .byte_pairs import LibraryCodec
 
 #: Tokens of a sequence; ids are stored as little-endian 16-bit numbers.
 STRIDE = 512
@@ -73,7 +73,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, stride: int = STRIDE) ->
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _codec(path, pattern)
+        coder = LibraryCodec.of(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 piece = batch.slice(at, 200)
