@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import news, technical
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = ()
+MODULES = (technical, news)
 
 
 def queries() -> dict[str, Query]:
