@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import news, technical
+from .plans import daily, news, technical
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (technical, news)
+MODULES = (technical, news, daily)
 
 
 def queries() -> dict[str, Query]:

@@ -170,7 +170,8 @@ def forecast(df: DataFrame, scale: str = "unit") -> DataFrame:
     bands = (0.7, 0.55, 0.45, 0.3) if scale == "unit" else (0.6, 0.2, -0.2, -0.6)
     action = F.when(f >= bands[0], "STRONG_BUY").when(f >= bands[1], "BUY").when(f >= bands[2], "HOLD").when(f >= bands[3], "SELL").when(f.isNotNull(), "STRONG_SELL")
     sure = F.when(f >= bands[1], f).when(f >= bands[2], 0.6).otherwise(1 - f)
-    return df.withColumn("final_score", final if scale == "unit" else 2 * final - 1).withColumns({"action": action, "action_confidence": sure})
+    # Nine digits: a band must not hang on the order in which parts are added.
+    return df.withColumn("final_score", F.round(final if scale == "unit" else 2 * final - 1, 9)).withColumns({"action": action, "action_confidence": sure})
 
 
 def risk_level(volatility_: Column, negative_ratio: Column, has_rumours: Column) -> Column:
