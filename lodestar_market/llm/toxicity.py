@@ -8,6 +8,7 @@ calibration are Spark ML models.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -142,8 +143,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 def learn_lexicon(sample: DataFrame, most: int = MAX_TERMS) -> list[str]:
     """Word beginnings (4 to 6 letters) that mark toxic texts of the sample.
 
-    A stem counts once a text.  Kept are stems in at least three toxic texts
-    and at least twenty times likelier there than elsewhere, strongest first.
+    A stem counts once a text.  Kept are stems that are at least twenty times
+    likelier in toxic texts than elsewhere, and in so many of them that, of all
+    stems together, chance would hardly give one; strongest first.
     """
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +164,12 @@ def learn_lexicon(sample: DataFrame, most: int = MAX_TERMS) -> list[str]:
     bad, good = per_class.get(1, 0), per_class.get(0, 0)
     if not bad or not good:
         return []
-    counts = sample.select("text", "toxic").mapInArrow(stems, "stem string, toxic int").groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = cut(sample.select("text", "toxic").mapInArrow(stems, "stem string, toxic int").groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
+    # A stem of k texts is in toxic ones alone by chance with probability share ** k.
+    share = bad / (bad + good)
+    needed = max(3.0, (math.log(max(1, counts.count())) + 2.0) / -math.log(share))
     ratio = ((F.col("bad") + 0.5) / bad) / ((F.col("good") + 0.5) / good)
-    strong = counts.where("bad >= 3").withColumn("ratio", ratio).where("ratio >= 20")
+    strong = counts.where(F.col("bad") >= needed).withColumn("ratio", ratio).where("ratio >= 20")
     top = strong.orderBy(F.desc(F.col("bad") * F.log("ratio")), "stem").limit(most).collect()
     kept: list[str] = []
     for row in top:  # a stem that another one already covers adds nothing
