@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import cut, rounded_parts, run_starts, table, whole_runs
@@ -28,6 +28,12 @@ WORDS = 3
 RADIUS = 2
 #: Fingerprints of one tree.
 SHARD = 2048
+#: What ``keep_one`` calls similar, besides near fingerprints.
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+#: Bands of least hashes, and hashes of a band.
+BANDS = 24
+BAND_ROWS = 4
 
 
 def simhash(text: str | None, words: int = WORDS) -> int:
@@ -181,14 +187,110 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
     return prints.join(ids, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the smallest doc_id.
+def _shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles; none for a text without words."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)) if len(tokens) >= words else [b" ".join(tokens)]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), dtype=np.uint64))
+
 
-    Rows without a doc_id stay.  Of rows that repeat a doc_id, all stay or go.
+def _per_text(docs: DataFrame, compute, columns: str) -> DataFrame:
+    """doc_id and the named columns that ``compute`` makes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                made = zip(*map(compute, part.column("text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *map(pa.array, made)], schema=run.schema)
+
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    run.schema = pa.schema([("doc_id", pa.int64())] + [(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in columns.split(", ")])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {columns}")
+
+
+def _band_keys(words: int):
+    """A function that gives a text's digest and one key for each band of least hashes."""
+    draw = np.random.default_rng(SEED)
+    factors = draw.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offsets = draw.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64)
+
+    def keys(text: str | None) -> tuple[int, list[int]]:
+        hashes, least = _shingle_set(text, words), np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+        for at in range(0, len(hashes), 2048):
+            with np.errstate(over="ignore"):
+                least = np.minimum(least, (hashes[at : at + 2048, None] * factors + offsets).min(axis=0))
+        bands = least.reshape(BANDS, BAND_ROWS) if len(hashes) else []
+        digest = np.uint64(xxhash.xxh64_intdigest((text or "").encode())).view(np.int64)
+        return int(digest), [xxhash.xxh64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(bands)]
+
+    return keys
+
+
+def _to_heads(filed: DataFrame, order: Column) -> DataFrame:
+    """head and other: each member of a bucket with the bucket's first by ``order``."""
+    filed = filed.withColumn("turn", order)
+    heads = filed.groupBy("key").agg(F.min_by("node", "turn").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    return filed.join(heads, "key").where("node <> head").select("head", F.col("node").alias("other")).distinct()
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a < b) whose whole shingle sets have at least the similarity."""
+    # A head of a large group is dealt to several tasks: at most one row a thousand pairs here.
+    hot = pairs.groupBy("head").agg(F.floor(F.count("*") / 1000).cast("int").alias("parts")).where("parts > 0")
+    dealt = pairs.join(hot, "head", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("parts") + 1).cast("int")).drop("parts")
+    used = pairs.select(F.explode(F.array("head", "other")).alias("doc_id")).distinct()
+    sets = cut(_per_text(docs.join(used, "doc_id", "left_semi"), lambda t: (_shingle_set(t, words).view(np.int64),), "shingles array<long>"))
+    of_head = sets.join(pairs.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnsRenamed({"doc_id": "head", "shingles": "ours"}).join(hot, "head", "left")
+    of_head = of_head.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
+    both = dealt.join(sets.withColumnsRenamed({"doc_id": "other", "shingles": "theirs"}), "other").join(of_head, ["head", "salt"])
+    both = both.withColumn("shared", F.size(F.array_intersect("ours", "theirs")))
+    alike = both.where(F.col("shared") >= similarity * (F.size("ours") + F.size("theirs") - F.col("shared")) - 1e-9)
+    return alike.select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).where("a < b").distinct()
+
+
+def similar_pairs(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs a < b of doc_ids whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    Equal texts are one text, under their smallest doc_id.  Texts that agree in
+    a band of least hashes meet in a bucket; there each is held against the
+    bucket's head, not against every other, so pairs grow with the rows however
+    large a group is.  A first round has one order of heads for all buckets; a
+    second one draws an order for each bucket and takes up what the first left
+    apart.  Pairs are checked exactly, on all shingles.  Pairs connect what is
+    similar but need not list it all.  Two texts at 0.8 share no band with a
+    chance of 3 in a million.
+    """
+    digests = _per_text(docs.where("doc_id is not null"), _band_keys(words), "digest long, keys array<long>")
+    texts = cut(digests.where(F.size("keys") > 0).groupBy("digest", "keys").agg(F.min("doc_id").alias("node")))
+    filed = texts.select("node", F.explode("keys").alias("key"))
+    first = cut(_alike(docs, cut(_to_heads(filed, F.xxhash64("node"))), words, similarity))
+    grouped = components(first)
+    apart = _to_heads(filed, F.xxhash64("node", "key"))
+    for end in ("head", "other"):
+        apart = apart.join(grouped.withColumnsRenamed({"node": end, "root": f"{end}_root"}), end, "left")
+    apart = apart.where(F.coalesce("head_root", "head") != F.coalesce("other_root", "other")).select("head", "other")
+    return first.unionByName(_alike(docs, cut(apart), words, similarity)).distinct()
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similar_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the smallest doc_id.
+
+    Groups join what the fingerprints link and the pairs of ``similar_pairs``:
+    at a similarity of 0.8 fingerprints are often ten bits apart, too far for
+    blocks of bits to find.  Rows without a doc_id stay.  Of rows that repeat a
+    doc_id, all stay or go.
     """
-    found = near_duplicates(docs, radius, words)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = cut(near_duplicates(docs, radius, words).where("doc_id is not null").select("doc_id", "component_id").distinct())
+    pairs = similar_pairs(docs, similar_words, similarity)
+    by_group = pairs.join(found.withColumnsRenamed({"doc_id": "a", "component_id": "low"}), "a").join(found.withColumnsRenamed({"doc_id": "b", "component_id": "high"}), "b")
+    joined = components(by_group.select(F.col("low").alias("a"), F.col("high").alias("b")))
+    # The head of a group that joins a smaller one goes; its other rows go anyway.
+    gone = found.where("doc_id <> component_id").select("doc_id").unionByName(joined.where("node <> root").select(F.col("node").alias("doc_id")))
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -155,6 +155,57 @@ def test_components_of_a_long_path(spark):
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
 
 
+def _shingles_of(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_pairs_group_as_brute_force(spark):
+    """Single copies and a large group: the pairs found connect what all pairs at 0.8 connect."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    base = [[word() for _ in range(draw.randint(3, 120))] for _ in range(60)]
+    texts = [" ".join(b) for b in base]
+    for i in range(200):  # near copies, some just above and some just below 0.8
+        b = list(base[i % 40])
+        for _ in range(draw.randint(0, max(1, len(b) // 40))):
+            b[draw.randrange(len(b))] = word()
+        texts.append(" ".join(b))
+    core = [word() for _ in range(150)]
+    for _ in range(300):
+        c = list(core)
+        c[draw.randrange(150)] = word()
+        texts.append(" ".join(c))
+    texts += ["", None, texts[0], "  "]
+    sets = [_shingles_of(t) for t in texts]
+
+    def groups(pairs):
+        root = list(range(len(texts)))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        return [top(x) for x in range(len(texts))]
+
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = docs_of(spark, texts)
+    found = [(r["a"], r["b"]) for r in near_duplicates.similar_pairs(docs).collect()]
+    assert {(min(p), max(p)) for p in found} <= {(min(p), max(p)) for p in alike}
+    assert len(found) < 24 * len(texts)
+    same = [(i, texts.index(t)) for i, t in enumerate(texts) if t]
+    wanted = groups(alike + same)
+    assert groups(found + same) == wanted
+    prints = [near_duplicates.simhash(t) for t in texts]  # what stays is one of each group of either kind
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    kept = sorted(r["doc_id"] for r in near_duplicates.keep_one(docs).collect())
+    assert kept == sorted(set(groups(alike + same + linked)))
+
+
 def test_keep_one_and_nulls(spark):
     docs = docs_of(spark, ["a b c d", "a b c d", None, "", "q r s"], [4, 2, 7, None, None])
     kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in near_duplicates.keep_one(docs).collect())
