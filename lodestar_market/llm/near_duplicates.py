@@ -34,6 +34,8 @@ SIMILARITY = 0.8
 #: Bands of least hashes, and hashes of a band.
 BANDS = 24
 BAND_ROWS = 4
+#: Texts of one side of a task that settles what the heads leave apart.
+BLOCK = 256
 
 
 def simhash(text: str | None, words: int = WORDS) -> int:
@@ -252,17 +254,106 @@ def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
     return alike.select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).where("a < b").distinct()
 
 
-def similar_pairs(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _joined(node, root, sets, keys, band: int, left, right, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a text of ``left`` and one of ``right`` (positions) that are similar and join two roots.
+
+    Pairs that share an earlier band are left to that band's bucket.  A pair
+    whose parity bitmaps differ in more bits than the similarity allows
+    shingles to differ can't be similar; all others are checked exactly.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = 1 << min(16, max(10, int(4 * sizes.max()).bit_length()))
+    maps = np.stack([np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.uint64) for s in sets])
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    found = []
+    for i in left:
+        js = right[right > i] if left is right else right
+        js = js[root[js] != root[i]]
+        js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]
+        both = sizes[js] + sizes[i]
+        least = (similarity * both - 1e-9) / (1 + similarity)  # shingles to share
+        near = np.minimum(sizes[js], sizes[i]) >= least
+        js, both, least = js[near], both[near], least[near]
+        apart = np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        for j in js[apart <= both - 2 * least + 1e-6]:
+            one, other = top(int(root[i])), top(int(root[j]))
+            if one == other:
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
+                found.append((int(node[i]), int(node[j])))
+                above[one] = other
+    return found
+
+
+def _settled(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """Similar pairs that share a bucket and that ``pairs`` leave in different components.
+
+    Every pair of texts of different components in a bucket is checked, once.
+    In each bucket the component with most members is never held against
+    itself: blocks of the other members meet each other and blocks of it.
+    """
+    rooted = cut(texts.join(components(pairs), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")))
+    filed = rooted.select("node", "root", F.posexplode("keys").alias("band", "key"))
+    mixed = filed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    filed = cut(filed.join(mixed, "key"))
+    per_root = filed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = per_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_rest"))
+    dealt = filed.join(sizes, "key").withColumns({"of_main": F.ceil(F.col("n_main") / block).cast("int"), "of_rest": F.ceil(F.col("n_rest") / block).cast("int")})
+    own = lambda parts: F.pmod(F.xxhash64("node", F.lit("block")), F.col(parts)).cast("int")
+    main = F.col("root") == F.col("main")
+    dealt = dealt.withColumn("own", F.when(main, own("of_main") + F.col("of_rest")).otherwise(own("of_rest")))
+    slim = ["key", "band", "node", "root"]
+    # Blocks of the rest are 0 .. of_rest - 1, those of the main component follow.
+    first = F.when(F.col("n_rest") > 1, F.col("own")).otherwise(F.col("own") + 1)  # one text has no partner in its own block
+    as_left = dealt.where(~main).select(*slim, F.col("own").alias("low"), F.explode(F.sequence(first, F.col("of_rest") + F.col("of_main") - 1)).alias("high"), F.lit(0).alias("side"))
+    last = F.least(F.col("own"), F.col("of_rest")) - 1
+    as_right = dealt.where(last >= 0).select(*slim, F.explode(F.sequence(F.lit(0), last)).alias("low"), F.col("own").alias("high"), F.lit(1).alias("side"))
+    used = filed.select(F.col("node").alias("doc_id")).distinct()
+    sets = _per_text(docs.join(used, "doc_id", "left_semi"), lambda t: (_shingle_set(t, words).view(np.int64),), "shingles array<long>")
+    sets = sets.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]).join(rooted.select("node", "keys"), "node")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in whole_runs(batches, ["key", "low", "high"]):
+            key, low, high, side, band, node, root = (runs.column(c).to_numpy() for c in ("key", "low", "high", "side", "band", "node", "root"))
+            starts = run_starts([key, low, high])
+            found: list[tuple[int, int]] = []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if b - a < 2:
+                    continue
+                within = low[a] == high[a]
+                left = np.flatnonzero(side[a:b] == 0)
+                right = left if within else np.flatnonzero(side[a:b] == 1)
+                rows = runs.slice(a, b - a)
+                hashes = [s.values.to_numpy().view(np.uint64) for s in rows.column("shingles")]
+                keys = np.stack([s.values.to_numpy() for s in rows.column("keys")])
+                found += _joined(node[a:b], root[a:b], hashes, keys, int(band[a]), left, right, similarity)
+            if found:
+                made = np.sort(np.array(found, dtype=np.int64), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+
+    tasks = as_left.unionByName(as_right).join(sets, "node").repartition(rounded_parts(docs), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return tasks.mapInArrow(check, "a long, b long").distinct()
+
+
+def similar_pairs(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Pairs a < b of doc_ids whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
     Equal texts are one text, under their smallest doc_id.  Texts that agree in
-    a band of least hashes meet in a bucket; there each is held against the
-    bucket's head, not against every other, so pairs grow with the rows however
-    large a group is.  A first round has one order of heads for all buckets; a
-    second one draws an order for each bucket and takes up what the first left
-    apart.  Pairs are checked exactly, on all shingles.  Pairs connect what is
-    similar but need not list it all.  Two texts at 0.8 share no band with a
-    chance of 3 in a million.
+    a band of least hashes meet in a bucket.  Two rounds hold each against the
+    bucket's head, which connects copies with few pairs: the first has one
+    order of heads for all buckets; the second draws an order for each bucket
+    and takes up what the first left apart.  Then all members of a bucket that
+    are still in different components are held against each other, in blocks of
+    bounded size.  Pairs are checked exactly, on all shingles.  Pairs connect
+    all that is similar and shares a band but need not list it all.  Two texts
+    at 0.8 share no band with a chance of 3 in a million.
     """
     digests = _per_text(docs.where("doc_id is not null"), _band_keys(words), "digest long, keys array<long>")
     texts = cut(digests.where(F.size("keys") > 0).groupBy("digest", "keys").agg(F.min("doc_id").alias("node")))
@@ -273,7 +364,8 @@ def similar_pairs(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
     for end in ("head", "other"):
         apart = apart.join(grouped.withColumnsRenamed({"node": end, "root": f"{end}_root"}), end, "left")
     apart = apart.where(F.coalesce("head_root", "head") != F.coalesce("other_root", "other")).select("head", "other")
-    return first.unionByName(_alike(docs, cut(apart), words, similarity)).distinct()
+    by_heads = cut(first.unionByName(_alike(docs, cut(apart), words, similarity)).distinct())
+    return by_heads.unionByName(_settled(docs, texts, by_heads, words, similarity, block)).distinct()
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similar_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:

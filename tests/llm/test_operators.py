@@ -206,6 +206,25 @@ def test_similar_pairs_group_as_brute_force(spark):
     assert kept == sorted(set(groups(alike + same + linked)))
 
 
+def test_similar_pairs_in_a_crowd(spark):
+    """A crowd that shares a passage (0.74 to each other) with pairs at 0.83 in it: every such pair is found."""
+    core = [f"core{i}" for i in range(124)]
+    texts = [" ".join([*core, *(f"own{t}x{i}" for i in range(21))]) for t in range(2000)]
+    planted = []
+    for p in range(100):
+        common = [f"pair{p}x{i}" for i in range(8)]
+        planted.append((len(texts), len(texts) + 1))
+        texts += [" ".join([*core, *common, *(f"side{p}{side}x{i}" for i in range(13))]) for side in "ab"]
+    a, b, other = (_shingles_of(texts[i]) for i in (2000, 2001, 0))
+    assert len(a & b) / len(a | b) > 0.82
+    assert 0.73 < len(a & other) / len(a | other) < 0.76
+    draw = list(range(len(texts)))
+    random.Random(5).shuffle(draw)
+    docs = docs_of(spark, texts, draw)
+    found = {(r["a"], r["b"]) for r in near_duplicates.similar_pairs(docs).collect()}
+    assert found == {tuple(sorted((draw[x], draw[y]))) for x, y in planted}
+
+
 def test_keep_one_and_nulls(spark):
     docs = docs_of(spark, ["a b c d", "a b c d", None, "", "q r s"], [4, 2, 7, None, None])
     kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in near_duplicates.keep_one(docs).collect())
