@@ -10,7 +10,7 @@ from .ann import op4_hash_prefix_forest
 from .byte_pairs import op8_byte_pairs
 from .decontamination import op9_decontamination
 from .licenses import LICENSE_SQL, op1_licenses
-from .lines import LINES_SQL, op3_lines
+from .lines import LINES_SQL, LONG_LINES_SQL, op3_lines, op3_long_lines
 from .near_duplicates import op2_simhash
 from .sharding import op6_sharding
 from .suffixes import op10_suffixes
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op1_licenses": op1_licenses,
         "op2_simhash": op2_simhash,
         "op3_lines": op3_lines,
+        "op3_long_lines": op3_long_lines,
         "op4_hash_prefix_forest": op4_hash_prefix_forest,
         "op5_token_shards": op5_token_shards,
         "op6_sharding": op6_sharding,
@@ -36,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": LICENSE_SQL, "op3_lines": LINES_SQL}
+    return {"op1_licenses": LICENSE_SQL, "op3_lines": LINES_SQL, "op3_long_lines": LONG_LINES_SQL}

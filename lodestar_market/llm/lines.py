@@ -5,7 +5,8 @@ fingerprint, so any repeated run of at least ``run`` lines is sure to share
 one.  Fingerprints that occur once rule out their windows.  The positions of
 the others are joined, and around each the match is extended to both sides,
 window by window, against the first occurrence of the same lines.  Runs that
-occur earlier are deleted.
+occur earlier are deleted.  A line of many words also counts as a run of its
+own where that is asked for.
 """
 
 from __future__ import annotations
@@ -19,49 +20,73 @@ from ._shared import table
 
 #: Lines of a window: the shortest run that is deleted.
 RUN = 2
+#: Words that make a line long enough to go alone (``op3_long_lines`` and the pipeline).
+LONG_WORDS = 50
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
 
 
-def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, at (first line, from 0), fingerprint and whole of every window."""
-    hashed = _lines(docs).select("doc_id", F.transform("lines", lambda line: F.xxhash64(line)).alias("h")).where(F.size("h") >= run)
-    starts = F.sequence(F.lit(0), F.size("h") - run)
-    window = F.transform(starts, lambda at: F.slice("h", at + 1, run))
-    selected = F.transform(window, lambda w: F.struct(F.array_min(w).alias("fingerprint"), F.xxhash64(w, F.lit(17)).alias("whole")))
-    each = hashed.select("doc_id", F.posexplode(selected).alias("at", "w"))
-    return each.select("doc_id", "at", "w.fingerprint", "w.whole")
+def _is_long(line, words: int):
+    """Whether a line has that many words (split at blanks, tabs and carriage returns)."""
+    return (F.length(line) >= 2 * words - 1) & (F.regexp_count(line, F.lit("[^ \\t\\r]+")) >= words)
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id and at of windows whose lines also start earlier."""
-    every = windows(docs, run)
+def windows(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
+    """doc_id, at (first line, from 0), fingerprint, whole and alone of every window.
+
+    With ``long_words`` each line of as many words is a window too (alone).
+    """
+    lines = _lines(docs).withColumn("h", F.transform("lines", lambda line: F.xxhash64(line)))
+    starts = F.when(F.size("h") >= run, F.sequence(F.lit(0), F.size("h") - run)).otherwise(F.array().cast("array<int>"))
+
+    def several(at):
+        lines_of = F.slice("h", at + 1, run)
+        return F.struct(at.alias("at"), F.array_min(lines_of).alias("fingerprint"), F.xxhash64(lines_of, F.lit(17)).alias("whole"), F.lit(False).alias("alone"))
+
+    def single(at):
+        own = F.xxhash64(F.get("h", at), F.lit(18))
+        return F.struct(at.alias("at"), own.alias("fingerprint"), own.alias("whole"), F.lit(True).alias("alone"))
+
+    made = F.transform(starts, several)
+    if long_words:
+        long = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda at: _is_long(F.get("lines", at), long_words))
+        made = F.concat(made, F.transform(long, single))
+    return lines.select("doc_id", F.explode(made).alias("w")).select("doc_id", "w.*")
+
+
+def repeated_windows(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
+    """doc_id, at and alone of windows whose lines also start earlier."""
+    every = windows(docs, run, long_words)
     # Map-side combine leaves one row a task for a fingerprint, however frequent.
     shared = every.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     candidates = every.join(shared, "fingerprint", "left_semi")
     firsts = candidates.groupBy("whole").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("whole", "first")
     met = candidates.join(firsts, "whole")
-    return met.where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
+    return met.where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", "alone")
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
     """The rows of ``docs`` with kept_text, n_lines, n_removed and n_runs.
 
     A line goes if it lies in a run of at least ``run`` consecutive lines that
     stands earlier too: in a row of smaller doc_id, or further up in the same
-    text.  Runs are judged on the input.  Lines end at line feeds; a null text
+    text.  With ``long_words``, a line of as many words goes also alone: if the
+    same line stands earlier, whatever its neighbours are and even if it is the
+    whole text.  Runs are judged on the input.  Lines end at line feeds; a null text
     counts as one line, takes no part and stays null; an empty one is one empty line.  Rows that repeat
     a doc_id are not told apart: a window of theirs counts as earlier or not by
     (doc_id, line) alone, so exact repeats of a row keep each other's lines.
     Rows without a doc_id count as the earliest.  Other columns stay.
     """
-    gone = repeated_windows(docs, run).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("_starts"))
-    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed", "n_runs", "_starts", "_out")]
+    gone = repeated_windows(docs, run, long_words).where("doc_id is not null").groupBy("doc_id").agg(
+        F.array_sort(F.collect_set(F.when(~F.col("alone"), F.col("at")))).alias("_starts"), F.array_sort(F.collect_set(F.when(F.col("alone"), F.col("at")))).alias("_alone")
+    )
+    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed", "n_runs", "_starts", "_alone", "_out")]
     joined = docs.select(*own).join(gone, "doc_id", "left")
     # Only texts that lose lines are sent to Python.
-    out = joined.withColumn("_out", _without_runs(run)(F.when(F.col("_starts").isNotNull(), F.col("text")), "_starts"))
+    out = joined.withColumn("_out", _without_runs(run)(F.when(F.col("_starts").isNotNull(), F.col("text")), "_starts", "_alone"))
     return out.select(
         *own,
         F.when(F.col("_starts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.col("_out.kept")).alias("kept_text"),
@@ -72,19 +97,20 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def _without_runs(run: int):
-    """A UDF that drops the lines of the windows at the given starts."""
+    """A UDF that drops the lines of the windows at the given starts, and the single lines."""
 
     @F.pandas_udf("kept string, n_removed long, n_runs long")
-    def drop(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def drop(texts: pd.Series, starts: pd.Series, singles: pd.Series) -> pd.DataFrame:
         out = []
-        for text, at in zip(texts, starts, strict=True):
+        for text, at, alone in zip(texts, starts, singles, strict=True):
             if at is None or text is None:
                 out.append((None, 0, 0))
                 continue
             lines = text.split("\n")
             keep = np.ones(len(lines) + 1, dtype=bool)
             for d in range(run):
-                keep[np.asarray(at) + d] = False
+                keep[np.asarray(at, dtype=np.int64) + d] = False
+            keep[np.asarray(alone, dtype=np.int64)] = False
             keep, before = keep[:-1], np.append(True, keep[:-2])
             out.append(("\n".join(line for line, k in zip(lines, keep, strict=True) if k), int((~keep).sum()), int((before & ~keep).sum())))
         return pd.DataFrame(out, columns=["kept", "n_removed", "n_runs"])
@@ -94,7 +120,15 @@ def _without_runs(run: int):
 
 def op3_lines(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs and kept_sha256 of each document."""
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return _digested(dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op3_long_lines(spark, sf_dir: str) -> DataFrame:
+    """As ``op3_lines``, where a line of at least ``LONG_WORDS`` words also goes alone."""
+    return _digested(dedup_lines(table(spark, sf_dir, "documents"), long_words=LONG_WORDS))
+
+
+def _digested(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -121,3 +155,15 @@ SELECT l.doc_id, CAST(len(l.lines) AS BIGINT) AS n_lines, CAST(coalesce(r.n_remo
        CAST(coalesce(r.n_runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(k.body, '')) AS kept_sha256
 FROM line l LEFT JOIN runs r ON l.doc_id = r.doc_id LEFT JOIN kept k ON l.doc_id = k.doc_id
 """
+
+_GONE = "SELECT DISTINCT doc_id, place + d AS i FROM ranked, (VALUES (0), (1)) AS step(d) WHERE k > 1"
+
+#: The rule of ``op3_long_lines``: LINES_SQL, and later occurrences of a long line.
+LONG_LINES_SQL = LINES_SQL.replace(
+    _GONE,
+    _GONE
+    + f""" UNION SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS k
+    FROM (SELECT doc_id, unnest(lines) AS body, unnest(range(0, len(lines))) AS i FROM line)
+    WHERE len(regexp_extract_all(body, '[^ \\t\\r]+')) >= {LONG_WORDS}) WHERE k > 1""",
+)

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -259,6 +260,21 @@ def test_lines_against_brute_force(spark, run):
         assert got[d]["n_runs"] == len([i for i in gone if i - 1 not in gone])
 
 
+def test_long_lines_go_alone(spark):
+    """A long line goes wherever it stood earlier, between other neighbours or as the only line; a short one stays."""
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    texts = [f"a\n{long}\nb", f"c\n{long}\nd", long, f"{short}\ne", f"f\n{short}", f"g\n{long}\n{long}", f"a\n{long}\nh"]
+    want = [texts[0], "c\nd", "", texts[3], texts[4], "g", "h"]
+    got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(docs_of(spark, texts), long_words=50).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    left = docs_of(spark, [long, f"x\n{long}"])
+    assert sorted(r["text"] for r in corpus_pipeline.line_dedup(spark, left, DIR).collect()) == sorted([long, "x"])
+
+
+def test_long_lines_by_sql(spark):
+    assert sorted(map(tuple, lines.op3_long_lines(spark, DIR).collect()), key=repr) == duck(lines.LONG_LINES_SQL)
+
+
 # -- 4 -----------------------------------------------------------------------
 
 
