@@ -140,6 +140,14 @@ def c12(spark, d):
     return out.select("symbol", "month", F.size("insights").alias("n"))
 
 
+@query("c12b_insights_of_all_rules", f"WITH {SYNTH} SELECT symbol, month, CAST((coalesce(rsi, 50) < 30)::INT + (rum > 0)::INT + (sure > 0.8)::INT AS INTEGER) AS n FROM judged")
+def c12b(spark, d):
+    """As c12, which has no signals, with those of the month's last day: all three rules can fire."""
+    signals = F.array_compact(F.array(F.when(F.col("rsi_simple") < 30, "RSI_OVERSOLD")))
+    out = S.insights(judged(spark, d).withColumn("signals", signals))
+    return out.select("symbol", "month", F.size("insights").alias("n"))
+
+
 @query("k2_ranked_recommendations", f"WITH {SYNTH} SELECT month, symbol, action, row_number() OVER (PARTITION BY month ORDER BY round(sure, 6) DESC, symbol) AS rank FROM judged QUALIFY rank <= 3")
 def k2(spark, d):
     return R.top_per(judged(spark, d), ["month"], [F.desc(F.round("action_confidence", 6)), "symbol"], 3).select("month", "symbol", "action", "rank")

@@ -12,6 +12,7 @@ from lodestar_market.operators import indicators as I
 from lodestar_market.operators import monitoring as M
 from lodestar_market.operators import signals as S
 from lodestar_market.operators import text as T
+from lodestar_market.plans import daily
 from lodestar_market.sources import files
 from lodestar_market.streaming import jobs as J
 
@@ -148,3 +149,11 @@ def test_carried_state_and_silence(spark, tmp_path):
     events = J.read_stream(spark, str(tmp_path / "e"), "source string, ts timestamp")
     quiet = J.run_available(J.silence(events), str(tmp_path / "q")).collect()
     assert [(r["source"], r["silent_since"].hour) for r in quiet] == [("a", 1)]
+
+
+def test_insights_count_oversold_months(spark):
+    d = "/root/testdata/sf0.001"
+    oversold = daily.judged(spark, d).where("rsi_simple < 30").count()
+    n = [daily.QUERIES[q](spark, d).agg(F.sum("n")).first()[0] for q in ("c12_insights", "c12b_insights_of_all_rules")]
+    assert oversold > 0
+    assert n[1] - n[0] == oversold
