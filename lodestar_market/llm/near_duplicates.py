@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, rounded_parts, run_starts, table, whole_runs
+from ._shared import Scratch, cut, rounded_parts, run_starts, table, whole_runs
 
 SEED = 42
 WORDS = 3
@@ -142,32 +142,33 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
     return dealt_out.mapInArrow(search, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, name: str = "edges") -> DataFrame:
     """node, root (the smallest node of its component) for all nodes in ``edges``.
 
-    Alternates two steps until nothing changes: each node links its larger
-    neighbours, then its smaller ones, to the smallest neighbour.  Rounds grow
-    with the logarithm of the longest path; only counts reach the driver.
+    Until all components are stars around their smallest node, each node links
+    its larger neighbours, then its smaller ones, to the smallest neighbour.
+    Rounds grow with the logarithm of the longest path; nothing but the answer
+    to "are all stars" reaches the driver.
     """
-    now = cut(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct())
-    state = _state(now)
-    while True:
+    scratch, round_ = scratch or Scratch(edges.sparkSession), 0
+    now = scratch.keep(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct(), f"{name}-0")
+    while not _all_stars(now):
         both = now.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(now.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root"))
-        large = both.join(least, "u").where("v > u").select(F.col("root").alias("low"), F.col("v").alias("high")).where("low < high").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("root").alias("low"), F.col("v").alias("high")).where("low < high")
         small_least = large.groupBy("high").agg(F.min("low").alias("root"))
         hooked = large.join(small_least, "high").select(F.col("root").alias("low"), F.col("low").alias("high")).where("low < high")
-        now = cut(hooked.unionByName(small_least.select(F.col("root").alias("low"), "high")).distinct())
-        before, state = state, _state(now)
-        if state == before:
-            break
+        now = scratch.keep(hooked.unionByName(small_least.select(F.col("root").alias("low"), "high")).distinct(), f"{name}-{round_ + 1}")
+        scratch.drop(f"{name}-{round_}")
+        round_ += 1
     heads = now.select(F.col("low").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(heads)
 
 
-def _state(edges: DataFrame) -> tuple:
-    exact = F.sum(F.pmod(F.xxhash64("low", "high"), F.lit(1_000_003))), F.sum(F.hash("high", "low").cast("long"))
-    return tuple(edges.agg(F.count("*"), *exact).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each higher end has one edge and is nowhere the lower end."""
+    ends = edges.select(F.col("high").alias("node"), F.lit(1).alias("under")).unionByName(edges.select(F.col("low").alias("node"), F.lit(0).alias("under")))
+    return ends.groupBy("node").agg(F.sum("under").alias("under"), F.count("*").alias("n")).where("under > 1 or (under = 1 and n > 1)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
@@ -214,48 +215,85 @@ def _per_text(docs: DataFrame, compute, columns: str) -> DataFrame:
 
 
 def _band_keys(words: int):
-    """A function that gives a text's digest and one key for each band of least hashes."""
+    """A function that gives the size of a text's shingle set and one key for each band of least hashes."""
     draw = np.random.default_rng(SEED)
     factors = draw.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     offsets = draw.integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64)
+    room = np.empty((256, BANDS * BAND_ROWS), np.uint64)
 
     def keys(text: str | None) -> tuple[int, list[int]]:
         hashes, least = _shingle_set(text, words), np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-        for at in range(0, len(hashes), 2048):
-            with np.errstate(over="ignore"):
-                least = np.minimum(least, (hashes[at : at + 2048, None] * factors + offsets).min(axis=0))
+        with np.errstate(over="ignore"):
+            for at in range(0, len(hashes), len(room)):
+                some = hashes[at : at + len(room), None]
+                drawn = np.multiply(some, factors, out=room[: len(some)])
+                drawn += offsets
+                np.minimum(least, drawn.min(axis=0), out=least)
         bands = least.reshape(BANDS, BAND_ROWS) if len(hashes) else []
-        digest = np.uint64(xxhash.xxh64_intdigest((text or "").encode())).view(np.int64)
-        return int(digest), [xxhash.xxh64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(bands)]
+        return len(hashes), [xxhash.xxh64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(bands)]
 
     return keys
 
 
-def _to_heads(filed: DataFrame, order: Column) -> DataFrame:
-    """head and other: each member of a bucket with the bucket's first by ``order``."""
-    filed = filed.withColumn("turn", order)
-    heads = filed.groupBy("key").agg(F.min_by("node", "turn").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    return filed.join(heads, "key").where("node <> head").select("head", F.col("node").alias("other")).distinct()
+def _texts(docs: DataFrame, words: int, similar_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One row per different text, and the doc_ids that stand on several texts.
 
+    A text has node (its smallest doc_id), fingerprint, n (distinct shingles)
+    and keys (of its bands).  Rows without a doc_id, or whose doc_id names
+    several texts, are left out.
+    """
+    keys_of = _band_keys(similar_words)
+
+    def sketch(text: str | None) -> tuple:
+        digest, print_ = np.array([xxhash.xxh64_intdigest((text or "").encode()), simhash(text, words)], np.uint64).view(np.int64).tolist()
+        return digest, print_, *keys_of(text)
+
+    sketches = scratch.keep(_per_text(docs.where("doc_id is not null"), sketch, "digest long, fingerprint long, n long, keys array<long>"), "sketches")
+    spread = sketches.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    spread = scratch.keep(spread, "spread")
+    texts = sketches.join(spread, "doc_id", "left_anti").groupBy("digest", "fingerprint", "n", "keys").agg(F.min("doc_id").alias("node"))
+    texts = scratch.keep(texts.drop("digest"), "texts")
+    scratch.drop("sketches")
+    return texts, spread
+
+
+def _against_heads(filed: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Similar pairs (a, b, label_a, label_b) of a bucket's first text and its other members.
+
+    All buckets have one order, so that a group of copies meets few heads.  A
+    head's shingles come once to each task, its members' once for each head;
+    a head of many members is dealt to several tasks.
+    """
+    turn = F.xxhash64("node")
+    heads = filed.groupBy("key").agg(F.min_by("node", turn).alias("head"), F.min_by("label", turn).alias("head_label"), F.min_by("n", turn).alias("head_n"), F.floor(F.count("*") / 1000).cast("int").alias("parts"))
+    met = filed.join(heads, "key").where("label <> head_label").where(F.least("n", "head_n") >= similarity * F.greatest("n", "head_n") - 1e-9)
+    pairs = met.groupBy("head", "head_label", F.col("node").alias("other"), "label").agg(F.max("parts").alias("parts"))
+    pairs = scratch.keep(pairs.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("parts") + 1).cast("int")), "pairs")
+    group = ["head", "parts", "salt"]
+    asked = pairs.select(*group, F.col("head").alias("node"), F.col("head_label").alias("label"), F.lit(0).alias("role")).distinct()
+    members = pairs.select(*group, F.col("other").alias("node"), "label", F.lit(1).alias("role"))
+    both = asked.unionByName(members).join(sets.select("node", "shingles"), "node").repartition(rounded_parts(filed), *group).sortWithinPartitions(*group, "role")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, ours, label = None, np.empty(0, np.uint64), 0
+        for batch in batches:
+            found = []
+            for h, role, node, its_label, shingles in zip(*(batch.column(c).to_pylist() for c in ("head", "role", "node", "label")), batch.column("shingles"), strict=True):
+                theirs = shingles.values.to_numpy().view(np.uint64)
+                if role == 0:
+                    head, ours, label = h, theirs, its_label
+                elif h == head:
+                    shared = len(np.intersect1d(ours, theirs, assume_unique=True))
+                    if shared >= similarity * (len(ours) + len(theirs) - shared) - 1e-9:
+                        found.append((h, node, label, its_label))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "label_a", "label_b"])
 
-def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a < b) whose whole shingle sets have at least the similarity."""
-    # A head of a large group is dealt to several tasks: at most one row a thousand pairs here.
-    hot = pairs.groupBy("head").agg(F.floor(F.count("*") / 1000).cast("int").alias("parts")).where("parts > 0")
-    dealt = pairs.join(hot, "head", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("parts") + 1).cast("int")).drop("parts")
-    used = pairs.select(F.explode(F.array("head", "other")).alias("doc_id")).distinct()
-    sets = cut(_per_text(docs.join(used, "doc_id", "left_semi"), lambda t: (_shingle_set(t, words).view(np.int64),), "shingles array<long>"))
-    of_head = sets.join(pairs.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnsRenamed({"doc_id": "head", "shingles": "ours"}).join(hot, "head", "left")
-    of_head = of_head.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
-    both = dealt.join(sets.withColumnsRenamed({"doc_id": "other", "shingles": "theirs"}), "other").join(of_head, ["head", "salt"])
-    both = both.withColumn("shared", F.size(F.array_intersect("ours", "theirs")))
-    alike = both.where(F.col("shared") >= similarity * (F.size("ours") + F.size("theirs") - F.col("shared")) - 1e-9)
-    return alike.select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).where("a < b").distinct()
+    return both.mapInArrow(check, "a long, b long, label_a long, label_b long")
 
 
-def _joined(node, root, sets, keys, band: int, left, right, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of a text of ``left`` and one of ``right`` (positions) that are similar and join two roots.
+def _joined(node, root, sets, keys, band: int, left, right, similarity: float) -> list[tuple[int, int, int, int]]:
+    """Pairs, and their roots, of a text of ``left`` and one of ``right`` (positions) that are similar and join two roots.
 
     Pairs that share an earlier band are left to that band's bucket.  A pair
     whose parity bitmaps differ in more bits than the similarity allows
@@ -287,43 +325,37 @@ def _joined(node, root, sets, keys, band: int, left, right, similarity: float) -
                 continue
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
-                found.append((int(node[i]), int(node[j])))
+                found.append((int(node[i]), int(node[j]), int(root[i]), int(root[j])))
                 above[one] = other
     return found
 
 
-def _settled(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
-    """Similar pairs that share a bucket and that ``pairs`` leave in different components.
+def _settled(filed: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, block: int, scratch: Scratch) -> DataFrame:
+    """Similar pairs (a, b, label_a, label_b: their roots) that share a bucket and have different roots.
 
     Every pair of texts of different components in a bucket is checked, once.
     In each bucket the component with most members is never held against
     itself: blocks of the other members meet each other and blocks of it.
     """
-    rooted = cut(texts.join(components(pairs), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")))
-    filed = rooted.select("node", "root", F.posexplode("keys").alias("band", "key"))
-    mixed = filed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    filed = cut(filed.join(mixed, "key"))
-    per_root = filed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sizes = per_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_rest"))
-    dealt = filed.join(sizes, "key").withColumns({"of_main": F.ceil(F.col("n_main") / block).cast("int"), "of_rest": F.ceil(F.col("n_rest") / block).cast("int")})
+    rooted = filed.join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label")).drop("label")
+    per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n_root"))
+    sizes = per_root.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.max("n_root").alias("n_main"), (F.sum("n_root") - F.max("n_root")).alias("n_rest")).where("n_rest > 0")
+    dealt = rooted.join(sizes, "key").withColumns({"of_main": F.ceil(F.col("n_main") / block).cast("int"), "of_rest": F.ceil(F.col("n_rest") / block).cast("int")})
     own = lambda parts: F.pmod(F.xxhash64("node", F.lit("block")), F.col(parts)).cast("int")
     main = F.col("root") == F.col("main")
-    dealt = dealt.withColumn("own", F.when(main, own("of_main") + F.col("of_rest")).otherwise(own("of_rest")))
+    dealt = scratch.keep(dealt.withColumn("own", F.when(main, own("of_main") + F.col("of_rest")).otherwise(own("of_rest"))), "dealt")
     slim = ["key", "band", "node", "root"]
     # Blocks of the rest are 0 .. of_rest - 1, those of the main component follow.
     first = F.when(F.col("n_rest") > 1, F.col("own")).otherwise(F.col("own") + 1)  # one text has no partner in its own block
     as_left = dealt.where(~main).select(*slim, F.col("own").alias("low"), F.explode(F.sequence(first, F.col("of_rest") + F.col("of_main") - 1)).alias("high"), F.lit(0).alias("side"))
     last = F.least(F.col("own"), F.col("of_rest")) - 1
     as_right = dealt.where(last >= 0).select(*slim, F.explode(F.sequence(F.lit(0), last)).alias("low"), F.col("own").alias("high"), F.lit(1).alias("side"))
-    used = filed.select(F.col("node").alias("doc_id")).distinct()
-    sets = _per_text(docs.join(used, "doc_id", "left_semi"), lambda t: (_shingle_set(t, words).view(np.int64),), "shingles array<long>")
-    sets = sets.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]).join(rooted.select("node", "keys"), "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs in whole_runs(batches, ["key", "low", "high"]):
             key, low, high, side, band, node, root = (runs.column(c).to_numpy() for c in ("key", "low", "high", "side", "band", "node", "root"))
             starts = run_starts([key, low, high])
-            found: list[tuple[int, int]] = []
+            found: list[tuple] = []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if b - a < 2:
                     continue
@@ -335,54 +367,72 @@ def _settled(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, si
                 keys = np.stack([s.values.to_numpy() for s in rows.column("keys")])
                 found += _joined(node[a:b], root[a:b], hashes, keys, int(band[a]), left, right, similarity)
             if found:
-                made = np.sort(np.array(found, dtype=np.int64), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "label_a", "label_b"])
+
+    tasks = as_left.unionByName(as_right).join(sets.select("node", "keys", "shingles"), "node").repartition(rounded_parts(filed), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return tasks.mapInArrow(check, "a long, b long, label_a long, label_b long")
+
 
-    tasks = as_left.unionByName(as_right).join(sets, "node").repartition(rounded_parts(docs), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return tasks.mapInArrow(check, "a long, b long").distinct()
+def _similar(docs: DataFrame, texts: DataFrame, links_: DataFrame | None, words: int, similarity: float, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs by heads, roots of the labels that they and ``links_`` connect, and pairs of texts of different roots.
+
+    ``texts`` has a label; texts of one label belong together anyway.
+    """
+    filed = texts.select("node", "label", "n", F.posexplode("keys").alias("band", "key"))
+    mixed = filed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    filed = scratch.keep(filed.join(mixed, "key"), "filed")
+    used = filed.select(F.col("node").alias("doc_id")).distinct()
+    # A doc_id in use names one text, so any of its rows will do.
+    rows = docs.select("doc_id", "text").join(used, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
+    keys_of = _band_keys(words)
+    sets = _per_text(rows, lambda t: (_shingle_set(t, words).view(np.int64), keys_of(t)[1]), "shingles array<long>, keys array<long>")
+    sets = scratch.keep(sets.withColumnRenamed("doc_id", "node"), "sets")
+    by_heads = scratch.keep(_against_heads(filed, sets, similarity, scratch), "by_heads")
+    edges = by_heads.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    roots = components(edges if links_ is None else edges.unionByName(links_), scratch, "by_heads")
+    settled = scratch.keep(_settled(filed, sets, roots, similarity, block, scratch), "settled")
+    scratch.drop("filed", "sets", "pairs", "dealt")
+    return by_heads, roots, settled
 
 
 def similar_pairs(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Pairs a < b of doc_ids whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
     Equal texts are one text, under their smallest doc_id.  Texts that agree in
-    a band of least hashes meet in a bucket.  Two rounds hold each against the
-    bucket's head, which connects copies with few pairs: the first has one
-    order of heads for all buckets; the second draws an order for each bucket
-    and takes up what the first left apart.  Then all members of a bucket that
-    are still in different components are held against each other, in blocks of
-    bounded size.  Pairs are checked exactly, on all shingles.  Pairs connect
-    all that is similar and shares a band but need not list it all.  Two texts
-    at 0.8 share no band with a chance of 3 in a million.
+    a band of least hashes meet in a bucket.  Each is held against the bucket's
+    first text, which connects copies with few pairs.  Then all members of a
+    bucket that are still in different components are held against each other,
+    in blocks of bounded size.  Pairs are checked exactly, on all shingles.
+    Pairs connect all that is similar and shares a band but need not list it
+    all.  Two texts at 0.8 share no band with a chance of 3 in a million.
+    Rows without a doc_id, or whose doc_id names several texts, take no part.
     """
-    digests = _per_text(docs.where("doc_id is not null"), _band_keys(words), "digest long, keys array<long>")
-    texts = cut(digests.where(F.size("keys") > 0).groupBy("digest", "keys").agg(F.min("doc_id").alias("node")))
-    filed = texts.select("node", F.explode("keys").alias("key"))
-    first = cut(_alike(docs, cut(_to_heads(filed, F.xxhash64("node"))), words, similarity))
-    grouped = components(first)
-    apart = _to_heads(filed, F.xxhash64("node", "key"))
-    for end in ("head", "other"):
-        apart = apart.join(grouped.withColumnsRenamed({"node": end, "root": f"{end}_root"}), end, "left")
-    apart = apart.where(F.coalesce("head_root", "head") != F.coalesce("other_root", "other")).select("head", "other")
-    by_heads = cut(first.unionByName(_alike(docs, cut(apart), words, similarity)).distinct())
-    return by_heads.unionByName(_settled(docs, texts, by_heads, words, similarity, block)).distinct()
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similar_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    scratch = Scratch(docs.sparkSession)
+    texts, _ = _texts(docs, WORDS, words, scratch)
+    by_heads, _, settled = _similar(docs, texts.withColumn("label", F.col("node")), None, words, similarity, block, scratch)
+    return by_heads.unionByName(settled).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similar_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the smallest doc_id.
 
-    Groups join what the fingerprints link and the pairs of ``similar_pairs``:
-    at a similarity of 0.8 fingerprints are often ten bits apart, too far for
-    blocks of bits to find.  Rows without a doc_id stay.  Of rows that repeat a
-    doc_id, all stay or go.
+    Groups join what the fingerprints link and what ``similar_pairs`` would
+    list: at a similarity of 0.8 fingerprints are often ten bits apart, too far
+    for blocks of bits to find.  Texts of one fingerprint are one node from the
+    start, so that only pairs that join fingerprints are checked.  Rows without
+    a doc_id, or whose doc_id names several texts, stay and take no part; of
+    rows equal in doc_id and text all stay or go.
     """
-    found = cut(near_duplicates(docs, radius, words).where("doc_id is not null").select("doc_id", "component_id").distinct())
-    pairs = similar_pairs(docs, similar_words, similarity)
-    by_group = pairs.join(found.withColumnsRenamed({"doc_id": "a", "component_id": "low"}), "a").join(found.withColumnsRenamed({"doc_id": "b", "component_id": "high"}), "b")
-    joined = components(by_group.select(F.col("low").alias("a"), F.col("high").alias("b")))
-    # The head of a group that joins a smaller one goes; its other rows go anyway.
-    gone = found.where("doc_id <> component_id").select("doc_id").unionByName(joined.where("node <> root").select(F.col("node").alias("doc_id")))
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    texts, spread = _texts(docs, words, similar_words, scratch)
+    texts = texts.withColumn("label", F.col("fingerprint"))
+    near = links(texts.select("fingerprint").distinct(), radius)
+    _, roots, settled = _similar(docs, texts, near, similar_words, similarity, block, scratch)
+    tops = components(settled.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), scratch, "settled").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    placed = texts.select("node", "label").join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
+    least = placed.join(tops, "root", "left").groupBy(F.coalesce("top", "root").alias("top")).agg(F.min("node").alias("doc_id"))
+    stays = least.select("doc_id").unionByName(spread)
+    return docs.where("doc_id is null").unionByName(docs.join(stays, "doc_id", "left_semi").select(*docs.columns))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
