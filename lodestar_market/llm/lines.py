@@ -1,18 +1,29 @@
 """Line dedup by winnowing over line hashes.
 
-Every window of ``run`` consecutive lines selects its smallest line hash as a
-fingerprint, so any repeated run of at least ``run`` lines is sure to share
-one.  Fingerprints that occur once rule out their windows.  The positions of
-the others are joined, and around each the match is extended to both sides,
-window by window, against the first occurrence of the same lines.  Runs that
-occur earlier are deleted.  A line of many words also counts as a run of its
-own where that is asked for.
+1. Every window of ``run`` consecutive lines selects its smallest line hash (the
+   rightmost of equal ones) as a fingerprint.  Only the selected lines become
+   rows, so any repeated run of at least ``run`` lines is sure to share one.
+2. Places with the same fingerprint are joined.  Around each the match extends
+   to both sides as far as windows hold the selected line: if the whole
+   surroundings stand earlier, they go at once.
+3. Of each different surroundings of a fingerprint the first place is held
+   window by window against the others, which finds where a match extends to
+   one side only.
+4. Runs that stand earlier are deleted.
+
+Lines are compared by 128 bits of hash.  A line of many words also
+counts as a run of its own where that is asked for.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,49 +33,116 @@ from ._shared import table
 RUN = 2
 #: Words that make a line long enough to go alone (``op3_long_lines`` and the pipeline).
 LONG_WORDS = 50
+#: Stands for a doc_id that is null: before all others.
+NO_ID = -(1 << 63)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+def _key(docs: DataFrame) -> list:
+    """doc and twin, which tell texts apart: rows equal in both are one document."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("twin")]
 
 
-def _is_long(line, words: int):
-    """Whether a line has that many words (split at blanks, tabs and carriage returns)."""
-    return (F.length(line) >= 2 * words - 1) & (F.regexp_count(line, F.lit("[^ \\t\\r]+")) >= words)
+PLACE = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("fingerprint", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("windows", pa.list_(pa.int64()))])
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(rb"[^ \t\r]+")
 
 
-def windows(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
-    """doc_id, at (first line, from 0), fingerprint, whole and alone of every window.
+def _windows(lines: np.ndarray, run: int) -> np.ndarray:
+    """A hash of each ``run`` line hashes in a row."""
+    out = np.zeros(len(lines) - run + 1, np.uint64)
+    for d in range(run):
+        out = (out ^ (out >> np.uint64(29))) * _FACTOR + lines[d : d + len(out)]
+    return out
 
-    With ``long_words`` each line of as many words is a window too (alone).
-    """
-    lines = _lines(docs).withColumn("h", F.transform("lines", lambda line: F.xxhash64(line)))
-    starts = F.when(F.size("h") >= run, F.sequence(F.lit(0), F.size("h") - run)).otherwise(F.array().cast("array<int>"))
 
-    def several(at):
-        lines_of = F.slice("h", at + 1, run)
-        return F.struct(at.alias("at"), F.array_min(lines_of).alias("fingerprint"), F.xxhash64(lines_of, F.lit(17)).alias("whole"), F.lit(False).alias("alone"))
+def _selected(h: np.ndarray, run: int, doc_of: np.ndarray) -> np.ndarray:
+    """Places of the smallest hash (the rightmost of equal ones) of each window within a text."""
+    n = len(h) - run + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    least, at = h[:n].copy(), np.arange(n)
+    for d in range(1, run):
+        nearer = h[d : d + n] <= least
+        least[nearer] = h[d : d + n][nearer]
+        at[nearer] = np.flatnonzero(nearer) + d
+    return np.unique(at[doc_of[:n] == doc_of[run - 1 : run - 1 + n]])
 
-    def single(at):
-        own = F.xxhash64(F.get("h", at), F.lit(18))
-        return F.struct(at.alias("at"), own.alias("fingerprint"), own.alias("whole"), F.lit(True).alias("alone"))
 
-    made = F.transform(starts, several)
-    if long_words:
-        long = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda at: _is_long(F.get("lines", at), long_words))
-        made = F.concat(made, F.transform(long, single))
-    return lines.select("doc_id", F.explode(made).alias("w")).select("doc_id", "w.*")
+def fingerprints(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
+    """doc, twin, fingerprint, low, high and windows of every selected line.
 
+    low to high are the lines of all windows that hold the selected line, and
+    ``windows`` has the two hashes of each (first all of one kind, then all of
+    the other).  With ``long_words`` each line of as many words (split at
+    blanks, tabs and carriage returns) is selected for itself too: low and high
+    are equal.
+    """
 
-def repeated_windows(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
-    """doc_id, at and alone of windows whose lines also start earlier."""
-    every = windows(docs, run, long_words)
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [t.encode().split(b"\n") for t in part.column("text").to_pylist()]
+                counts = np.array([len(t) for t in texts])
+                lines = [line for t in texts for line in t]
+                h, g = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">u8").astype(np.uint64).reshape(-1, 2).T
+                doc_of = np.repeat(np.arange(len(texts)), counts)
+                end = np.cumsum(counts)[doc_of]
+                begin = end - counts[doc_of]
+                p = _selected(h, run, doc_of)
+                low = np.maximum(begin[p], p - run + 1)
+                n = np.minimum(p, end[p] - run) - low + 1
+                # The windows of each place: n hashes of one kind, then n of the other.
+                size = 2 * n
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                other = within >= np.repeat(n, size)
+                window = np.repeat(low, size) + within - np.where(other, np.repeat(n, size), 0)
+                values = np.where(other, _windows(g, run)[window], _windows(h, run)[window]) if len(p) else np.empty(0, np.uint64)
+                rows = [(doc_of[p], h[p], low - begin[p], low + n + run - 2 - begin[p], size, values)]
+                if long_words:
+                    long = np.array([i for i, line in enumerate(lines) if len(line) >= 2 * long_words - 1 and len(_WORD.findall(line)) >= long_words], np.int64)
+                    rows.append((doc_of[long], h[long] * _FACTOR ^ g[long], long - begin[long], long - begin[long], np.full(len(long), 2), np.stack([h[long], g[long]], axis=1).ravel()))
+                of, print_, low, high, size, values = (np.concatenate(c) for c in zip(*rows, strict=True))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(values.view(np.int64)))
+                doc, twin = (part.column(c).take(pa.array(of)) for c in ("doc", "twin"))
+                yield pa.RecordBatch.from_arrays([doc, twin, pa.array(print_.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), lists], schema=PLACE)
+
+    return docs.where("text is not null").select(*_key(docs), "text").mapInArrow(select, "doc long, twin long, fingerprint long, low int, high int, windows array<long>")
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
+    """doc, twin, low, high (lines) of runs that also stand earlier."""
+    every = fingerprints(docs, run, long_words)
     # Map-side combine leaves one row a task for a fingerprint, however frequent.
     shared = every.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    candidates = every.join(shared, "fingerprint", "left_semi")
-    firsts = candidates.groupBy("whole").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("whole", "first")
-    met = candidates.join(firsts, "whole")
-    return met.where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", "alone")
+    places = every.join(shared, "fingerprint", "left_semi")
+    kinds = places.groupBy("fingerprint", "windows").agg(F.min(F.struct("doc", "twin", "low", "high")).alias("first"), F.count("*").alias("n"))
+    again = places.join(kinds.where("n > 1").select("fingerprint", "windows", "first"), ["fingerprint", "windows"])
+    whole = again.where(F.struct("doc", "twin", "low") > F.struct("first.doc", "first.twin", "first.low")).select("doc", "twin", "low", "high")
+    # Fingerprints with several surroundings: one row for each window of each of them.
+    several = kinds.groupBy("fingerprint").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fingerprint")
+    each = F.sequence(F.lit(0), F.expr("size(windows) div 2") - 1)
+    held = kinds.join(several, "fingerprint", "left_semi").select("first.doc", "first.twin", "first.low", "windows", F.explode(each).alias("i"))
+    held = held.select("doc", "twin", (F.col("low") + F.col("i")).alias("low"), F.get("windows", "i").alias("a"), F.get("windows", F.expr("i + size(windows) div 2")).alias("b"))
+    firsts = held.groupBy("a", "b").agg(F.min(F.struct("doc", "twin", "low")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    partly = held.join(firsts, ["a", "b"]).where(F.struct("doc", "twin", "low") > F.col("first")).select("doc", "twin", "low", (F.col("low") + run - 1).alias("high"))
+    return whole.unionByName(partly)
+
+
+def without_repeats(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
+    """row (all columns of ``docs``), text, kept_text, n_lines, n_removed and n_runs of each row."""
+    gone = repeated_runs(docs, run, long_words).groupBy("doc", "twin").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *_key(docs)).join(gone, ["doc", "twin"], "left")
+    # Only texts that lose lines are sent to Python.
+    out = joined.withColumn("out", F.pandas_udf(_without_runs, "kept string, n_removed long, n_runs long")(F.when(F.col("runs").isNotNull(), F.col("text")), "runs.low", "runs.high"))
+    return out.select(
+        "row",
+        "text",
+        F.when(F.col("runs").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.col("out.kept")).alias("kept_text"),
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.coalesce("out.n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("out.n_runs", F.lit(0)).cast("long").alias("n_runs"),
+    )
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
@@ -74,48 +152,40 @@ def dedup_lines(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFra
     stands earlier too: in a row of smaller doc_id, or further up in the same
     text.  With ``long_words``, a line of as many words goes also alone: if the
     same line stands earlier, whatever its neighbours are and even if it is the
-    whole text.  Runs are judged on the input.  Lines end at line feeds; a null text
-    counts as one line, takes no part and stays null; an empty one is one empty line.  Rows that repeat
-    a doc_id are not told apart: a window of theirs counts as earlier or not by
-    (doc_id, line) alone, so exact repeats of a row keep each other's lines.
-    Rows without a doc_id count as the earliest.  Other columns stay.
+    whole text.  Runs are judged on the input.  Lines end at line feeds; a null
+    text counts as one line, takes no part and stays null; an empty one is one
+    empty line.  Of rows that repeat a doc_id with different texts one counts
+    as the earlier (by a hash of the text); rows equal in doc_id and text are
+    one document, so they lose the same lines, and none to each other.  Rows
+    without a doc_id come before all others.  Other columns stay; one with a
+    name of the four is replaced.
     """
-    gone = repeated_windows(docs, run, long_words).where("doc_id is not null").groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.when(~F.col("alone"), F.col("at")))).alias("_starts"), F.array_sort(F.collect_set(F.when(F.col("alone"), F.col("at")))).alias("_alone")
-    )
-    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed", "n_runs", "_starts", "_alone", "_out")]
-    joined = docs.select(*own).join(gone, "doc_id", "left")
-    # Only texts that lose lines are sent to Python.
-    out = joined.withColumn("_out", _without_runs(run)(F.when(F.col("_starts").isNotNull(), F.col("text")), "_starts", "_alone"))
-    return out.select(
-        *own,
-        F.when(F.col("_starts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.col("_out.kept")).alias("kept_text"),
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce("_out.n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("_out.n_runs", F.lit(0)).cast("long").alias("n_runs"),
-    )
-
-
-def _without_runs(run: int):
-    """A UDF that drops the lines of the windows at the given starts, and the single lines."""
-
-    @F.pandas_udf("kept string, n_removed long, n_runs long")
-    def drop(texts: pd.Series, starts: pd.Series, singles: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, at, alone in zip(texts, starts, singles, strict=True):
-            if at is None or text is None:
-                out.append((None, 0, 0))
-                continue
-            lines = text.split("\n")
-            keep = np.ones(len(lines) + 1, dtype=bool)
-            for d in range(run):
-                keep[np.asarray(at, dtype=np.int64) + d] = False
-            keep[np.asarray(alone, dtype=np.int64)] = False
-            keep, before = keep[:-1], np.append(True, keep[:-2])
-            out.append(("\n".join(line for line, k in zip(lines, keep, strict=True) if k), int((~keep).sum()), int((before & ~keep).sum())))
-        return pd.DataFrame(out, columns=["kept", "n_removed", "n_runs"])
-
-    return drop
+    made = ["kept_text", "n_lines", "n_removed", "n_runs"]
+    return without_repeats(docs, run, long_words).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in made], *made)
+
+
+def cut_lines(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
+    """``docs`` with the repeated lines cut from ``text``; ``n_chars``, if there, follows it."""
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long"))
+    new = {"text": F.col("kept_text"), "n_chars": length}
+    columns = [F.coalesce(new[c], F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns]
+    return without_repeats(docs, run, long_words).select(*columns)
+
+
+def _without_runs(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
+    """Drop the lines from each low to its high."""
+    out = []
+    for text, low, high in zip(texts, lows, highs, strict=True):
+        if low is None or text is None:
+            out.append((None, 0, 0))
+            continue
+        lines = text.split("\n")
+        keep = np.ones(len(lines), dtype=bool)
+        for a, b in zip(low, high, strict=True):
+            keep[a : b + 1] = False
+        before = np.append(True, keep[:-1])
+        out.append(("\n".join(line for line, k in zip(lines, keep, strict=True) if k), int((~keep).sum()), int((before & ~keep).sum())))
+    return pd.DataFrame(out, columns=["kept", "n_removed", "n_runs"])
 
 
 def op3_lines(spark, sf_dir: str) -> DataFrame:
