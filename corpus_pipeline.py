@@ -9,12 +9,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestar_market.llm._shared import shared_folder
+from lodestar_market.llm._shared import remove, shared_folder
 from lodestar_market.llm.byte_pairs import encode_documents
 from lodestar_market.llm.decontamination import keep_uncontaminated
-from lodestar_market.llm.lines import LONG_WORDS, dedup_lines
+from lodestar_market.llm.lines import LONG_WORDS, cut_lines
 from lodestar_market.llm.near_duplicates import keep_one
 from lodestar_market.llm.toxicity import keep_clean
 
@@ -26,10 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines, and repeated long lines, are cut from the texts; all documents stay."""
-    kept = dedup_lines(docs, long_words=LONG_WORDS)
-    text = F.col("kept_text")
-    changed = kept.select(*[c for c in docs.columns if c not in ("text", "n_chars")], text.alias("text"), F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-    return changed.select(*docs.columns)
+    return cut_lines(docs, long_words=LONG_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if number < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{number}")
             docs = spark.read.parquet(f"{folder}/{number}")
+            if number:
+                remove(spark, f"{folder}/{number - 1}")  # what this stage has read
     return docs
