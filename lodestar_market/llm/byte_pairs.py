@@ -27,17 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes up to which a piece is merged directly.
-LEAF = 16
+LEAF = 4
+#: Bytes up to which a worker remembers what a string merges to.
+SHORT = 8
 #: Chunks that a worker remembers: the first ones, among them all frequent ones.
 REMEMBER = 500_000
-#: Pairs of tokens that a worker remembers before it starts anew.
-REMEMBER_PAIRS = 100_000
+#: Pairs of tokens, and short strings, that a worker remembers before it starts anew.
+REMEMBER_PAIRS = 200_000
 _NO_RANK = 1 << 62
 MARKS = (".", ",", ";", ":", "!", "?")
 
 #: A single blank between two non-blank characters: no match of the split
 #: pattern reaches over it from the left, so text can be cut before it.
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class Codec:
@@ -51,6 +54,7 @@ class Codec:
         self.pattern = regex.compile(unicode_space)
         self.leaf = leaf
         self._fits: dict[tuple[int, int], bool] = {}
+        self._merged: dict[bytes, list[int]] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -63,6 +67,12 @@ class Codec:
     def merge(self, data: bytes) -> list[int]:
         """Plain merging: always the pair of lowest rank, the leftmost first."""
         n = len(data)
+        if n <= SHORT:  # leaves and seams, most of which come again and again
+            if (known := self._merged.get(data)) is None:
+                if len(self._merged) > REMEMBER_PAIRS:
+                    self._merged.clear()
+                known = self._merged[data] = self._merge_short(data)
+            return known
         if n <= 32:
             return self._merge_short(data)
         ranks = self.ranks
@@ -127,6 +137,7 @@ class Codec:
             j = j if right_settled else min(2 * j, len(right))
 
     def reduce(self, data: bytes) -> list[int]:
+        """The encoding of both halves, joined; up to ``leaf`` bytes are merged plainly."""
         if len(data) <= self.leaf:
             return self.merge(data)
         half = len(data) // 2
@@ -191,9 +202,9 @@ class ChunkedCodec:
         """
         if not text:
             return []
-        # With single blanks and line feeds alone, every blank is a seam.
-        plain = text.count(" ") + text.count("\n") + 1 == len(text.split())
-        head, *tail = text.split(" ") if plain else _SEAM.split(text)
+        # Where every blank is a seam, a plain split does.
+        odd = text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text)
+        head, *tail = _SEAM.split(text) if odd else text.split(" ")
         later, make = self.later, self._chunk
         out = [self.first.get(head) or make(head, "", self.first)]
         out += [later.get(chunk) or make(chunk, " ", later) for chunk in tail]

@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ._shared import cut, table
 
@@ -106,24 +107,25 @@ def dense_features(text: str | None, matcher: Matcher) -> list[float]:
     upper = len(raw) - len(raw.translate(None, _UPPER_ASCII))
     marks_n = len(raw) - len(raw.translate(None, _PUNCTUATION))
     return [
-        100.0 * len(hits) / words, float(min(len(hits), 50)), float(min(len(distinct), 50)), 100.0 * near / words, 100.0 * len(persons) / words,
-        upper / letters, 100.0 * raw.count(b"!") / letters, marks_n / letters, 100.0 * len(_DIGIT_INSIDE.findall(text)) / words, float(min(disguised, 50)),
+        100.0 * len(hits) / words, float(len(hits)), float(len(distinct)), 100.0 * near / words, 100.0 * len(persons) / words,
+        upper / letters, 100.0 * raw.count(b"!") / letters, marks_n / letters, 100.0 * len(_DIGIT_INSIDE.findall(text)) / words, float(disguised),
         100.0 * len(_MARKS.findall(text)) / words, float(np.log1p(words)),
     ]
 
 
-def with_features(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id and features (array of doubles) of each row; no shuffle."""
+def with_features(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """row (as it is) and features (array of doubles) of rows with ``row`` and ``text``; no shuffle."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows = [dense_features(t, matcher) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "features"])
+                made = [dense_features(t, matcher) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(made, pa.list_(pa.float64()))], names=["row", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(compute, "doc_id long, features array<double>")
+    schema = StructType([rows.schema["row"], StructField("features", ArrayType(DoubleType()))])
+    return rows.select("row", "text").mapInArrow(compute, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -186,32 +188,39 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id and score (0 to 1) of each row, an empty or null text's too."""
+        return self.scored(docs, [F.col("doc_id").cast("long").alias("doc_id")]).select("row.doc_id", "score")
+
+    def scored(self, docs: DataFrame, columns: list) -> DataFrame:
+        """row (the given columns of each row) and score."""
+        rows = docs.select(F.struct(*columns).alias("row"), "text")
         if self.trees is None:
-            return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(float(self.constant)).alias("score"))
-        raw = self.trees.transform(with_features(docs, self.terms).withColumn("features", array_to_vector("features")))
-        margin = raw.select("doc_id", vector_to_array("probability")[1].alias("margin"))
-        return self.calibration.transform(margin).select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
+            return rows.select("row", F.lit(float(self.constant)).alias("score"))
+        raw = self.trees.transform(with_features(rows, self.terms).withColumn("features", array_to_vector("features")))
+        margin = raw.select("row", vector_to_array("probability")[1].alias("margin"))
+        return self.calibration.transform(margin).select("row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, rounds: int = 12, depth: int = 3) -> Model:
     """Fit on labelled rows of ``docs`` whose crc32(doc_id) mod 5 isn't 0.
 
-    Of those, a quarter calibrates and the rest trains.  With fewer than ten
-    rows of either label the model is the constant share of toxic rows.
-    Labels, lang, source and doc_id are no inputs of a score.
+    Of those, a quarter calibrates and the rest trains; where either part lacks
+    a label, all rows do both.  Without rows of both labels there is nothing to
+    tell apart, and the score is the constant share of toxic rows (0 without
+    any).  Rows that repeat a labelled doc_id count each.  Labels, lang, source
+    and doc_id are no inputs of a score.
     """
     sample = cut(labelled_sample(docs, labels, most))
     terms = learn_lexicon(sample)
-    counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if min(counts.get(0, 0), counts.get(1, 0)) < 10:
-        total = sum(counts.values())
-        return Model(terms, constant=counts.get(1, 0) / total if total else 0.0)
-    # Features go side by side with labels: doc_id is unique in the sample's labels.
-    features = with_features(sample, terms)
-    rows = cut(sample.select("doc_id", "toxic").join(features, "doc_id").select("doc_id", F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features")))
+    rows = with_features(sample.select(F.struct("doc_id", "toxic").alias("row"), "text"), terms)
+    rows = cut(rows.select("row.doc_id", F.col("row.toxic").cast("double").alias("label"), array_to_vector("features").alias("features")))
     calibrates = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(20)) >= 15
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=32, seed=7, featuresCol="features", labelCol="label").fit(rows.where(~calibrates).coalesce(4))
-    margins = trees.transform(rows.where(calibrates)).select("label", vector_to_array("probability")[1].alias("margin"))
+    counts = {(r["part"], r["label"]): r["n"] for r in rows.groupBy(calibrates.alias("part"), "label").agg(F.count("*").alias("n")).collect()}
+    of = {label: sum(n for (_, y), n in counts.items() if y == label) for label in (0.0, 1.0)}
+    if not of[0.0] or not of[1.0]:
+        return Model(terms, constant=of[1.0] / max(1, sum(of.values())))
+    trains, measures = (rows.where(~calibrates), rows.where(calibrates)) if len(counts) == 4 else (rows, rows)
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=32, seed=7, featuresCol="features", labelCol="label").fit(trains.coalesce(4))
+    margins = trees.transform(measures).select("label", vector_to_array("probability")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margins.coalesce(1))
     return Model(terms, trees, calibration)
 
@@ -224,10 +233,6 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold.
-
-    Scores come back by doc_id; rows without a doc_id stay.  A doc_id that
-    repeats goes as soon as one of its texts is toxic.
-    """
-    toxic = fit(docs, labels).score(docs).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose own score is below the threshold: a filter, without a shuffle."""
+    rows = fit(docs, labels).scored(docs, [F.col(f"`{c}`") for c in docs.columns])
+    return rows.where(F.col("score") < threshold).select("row.*")

@@ -232,6 +232,14 @@ def test_keep_one_and_nulls(spark):
     assert kept == [(-1, ""), (-1, "q r s"), (2, "a b c d"), (7, None)]
 
 
+def test_keep_one_with_repeated_ids(spark):
+    """A doc_id on several texts names no document: its rows stay; equal rows stay together."""
+    a, b, c = ("a b c d e f", "p q r s t u", "k l m n o p")
+    docs = docs_of(spark, [a, a, b, c, c, c], [1, 2, 2, 3, 3, 4])
+    kept = sorted((r["doc_id"], r["text"]) for r in near_duplicates.keep_one(docs).collect())
+    assert kept == [(1, a), (2, a), (2, b), (3, c), (3, c)]
+
+
 # -- 3 -----------------------------------------------------------------------
 
 
@@ -271,6 +279,36 @@ def test_long_lines_go_alone(spark):
     assert sorted(r["text"] for r in corpus_pipeline.line_dedup(spark, left, DIR).collect()) == sorted([long, "x"])
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    """Text that stands nowhere else stays, whatever doc_ids repeat or are missing."""
+    a, b = "\n".join(f"a{i}" for i in range(6)), "\n".join(f"b{i}" for i in range(6))
+    docs = docs_of(spark, [a, a, b, b, a + "\nx", "x\n" + b], [1, 2, 2, None, 3, None])
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"], r["kept_text"]) for r in lines.dedup_lines(docs).collect())
+    assert [(i, k) for i, t, k in got if t == a] == [(1, a), (2, "")]
+    assert [(i, k) for i, t, k in got if t == b and i == 2] == [(2, "")]  # the rows without an id come first
+    assert sorted(k for i, t, k in got if i == -1) in (sorted([b, "x"]), sorted(["", "x\n" + b]))
+    assert [k for i, t, k in got if i == 3] == ["x"]
+    alone = docs_of(spark, [a, b], [7, 7])
+    assert sorted(r["kept_text"] for r in lines.dedup_lines(alone).collect()) == [a, b]
+
+
+def test_fingerprints_are_window_minima(spark):
+    """Every window of a text holds a selected line, and fewer lines than there are get selected."""
+    text = "\n".join(f"line {i * i % 97}" for i in range(60))
+    rows = lines.fingerprints(docs_of(spark, [text]), 4).collect()
+    assert len(rows) < 40 and all(len(r["windows"]) == 2 * (r["high"] - r["low"] - 2) for r in rows)
+    assert {s for r in rows for s in range(r["low"], r["high"] - 2)} == set(range(57))
+
+
+def test_line_stage_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(spark, ["a\nb", "a\nb\nc"]).drop("n_chars").withColumns({c: F.lit(77) for c in ("n_lines", "kept_text", "runs", "row", "doc", "out")})
+    got = corpus_pipeline.line_dedup(spark, docs, DIR)
+    assert got.columns == docs.columns
+    assert sorted((r["text"], r["n_lines"], r["row"]) for r in got.collect()) == [("a\nb", 77, 77), ("c", 77, 77)]
+
+
 def test_long_lines_by_sql(spark):
     assert sorted(map(tuple, lines.op3_long_lines(spark, DIR).collect()), key=repr) == duck(lines.LONG_LINES_SQL)
 
@@ -360,6 +398,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert (test["predicted"] == test["toxic"]).mean() > 0.93
 
 
+def test_toxicity_of_few_and_repeated_rows(spark):
+    """A model is fitted as soon as both labels occur; repeated rows count each and come back each."""
+    good, bad = [f"a pleasant day number {i} with friends" for i in range(30)], [f"you horrible zzgrub number {i}" for i in range(6)]
+    ids = [i for i in range(1, 200) if toxicity_trains(i)][:36]
+    docs = docs_of(spark, [*good, *bad, bad[0], bad[0]], [*ids, ids[30], ids[30]])
+    labels = spark.createDataFrame([(i, int(n >= 30)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.trees is not None and model.score(docs).count() == 38
+    kept = [r["text"] for r in toxicity.keep_clean(docs, labels).collect()]
+    assert sorted(kept) == sorted(good)
+
+
+def toxicity_trains(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % 5 != 0
+
+
 def test_toxicity_of_awkward_texts(spark):
     docs, labels = docs_of(spark, AWKWARD), spark.createDataFrame([(0, 1), (1, 0), (None, 1)], "doc_id long, toxic int")
     assert toxicity.fit(docs, labels).score(docs).count() == len(AWKWARD)
@@ -406,6 +462,36 @@ def test_tree_reduction_equals_plain_merging():
             assert codec.encode(word) == enc.encode_ordinary(word)
 
 
+def test_blanks_of_all_kinds_with_ranks_that_hold_two_blanks():
+    ranks = {bytes([i]): i for i in range(256)} | {b"  ": 256, b"   ": 257, b"\t ": 258, b" c": 259, b"\n ": 260}
+    enc = tiktoken.Encoding("blanks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coders = [byte_pairs.ChunkedCodec(byte_pairs.Codec(ranks, public_tokenizers.PATTERN))]
+    rng = random.Random(6)
+    texts = ["a\tb\tc   d", " a", "a ", "  ", "a\u00a0 b", "a \n b", *("".join(rng.choices("ab \t\n\u3000\x1c", k=rng.randint(1, 12))) for _ in range(3000))]
+    for coder in coders:
+        for text in texts:
+            assert coder.ids(text).tolist() == enc.encode_ordinary(text), repr(text)
+
+
+def test_the_tree_decides_most_pieces():
+    codec = byte_pairs.Codec.load(RANKS, public_tokenizers.PATTERN)
+    joins = Counter()
+    plain = codec.join
+
+    def counted(left, right):
+        out = plain(left, right)
+        joins["all"] += 1
+        joins["seam moved"] += out != left + right
+        return out
+
+    codec.join = counted
+    text = duckdb.sql(f"SELECT text FROM '{DIR}/documents.parquet' ORDER BY doc_id LIMIT 20").fetchall()
+    matches = [m for (t,) in text for m in codec.matches(t or "") if m.encode() not in codec.ranks]
+    for m in matches:
+        codec.piece(m.encode())
+    assert joins["all"] > len(matches) and joins["seam moved"] > len(matches) / 10
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
@@ -445,6 +531,37 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.contaminated(docs_of(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_fingerprints_rule_out_windows_and_long_texts_stay_small():
+    """The Hamming index returns what is similar and drops most windows that only share a shingle."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    item = rng.choices(words, k=200)
+    part = [*rng.choices(words, k=300), *item[40:70], *rng.choices(words, k=300)]  # 30 of 200 words
+    whole = [*rng.choices(words, k=300), *item[:90], "changed", *item[91:], *rng.choices(words, k=300)]
+    index = decontamination.Index([(1, " ".join(item))], 5, 0.8, decontamination.RADIUS)
+    assert index.search(" ".join(part)) == [] and index.met > 200 and index.near_ones < index.met / 10
+    (found,) = index.search(" ".join(whole))
+    assert found[:2] == (1, 300) and found[3] > 0.9
+    import tracemalloc
+
+    long = rng.choices(words, k=20_000)
+    index = decontamination.Index([(1, " ".join(long))], 5, 0.8, decontamination.RADIUS)
+    text = " ".join(["x", *long, "y"])
+    tracemalloc.start()
+    (found,) = index.search(text)
+    assert found[1] == 1 and found[3] == 1.0
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_clean_rows_stay_whatever_their_id(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    docs = docs_of(spark, [item, "something else", item, "clean"], [1, 1, None, None])
+    benchmark = spark.createDataFrame([(1, item), (2, "w " * 50), (3, None)], "item_id long, text string")
+    for block in (decontamination.BLOCK_BYTES, 100):
+        assert sorted(r["text"] for r in decontamination.keep_uncontaminated(docs, benchmark, block_bytes=block).collect()) == ["clean", "something else"]
+
+
 # -- 10 ----------------------------------------------------------------------
 
 
