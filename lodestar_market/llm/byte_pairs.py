@@ -31,9 +31,9 @@ LEAF = 4
 #: Bytes up to which a worker remembers what a string merges to.
 SHORT = 8
 #: Chunks that a worker remembers: the first ones, among them all frequent ones.
-REMEMBER = 500_000
+REMEMBER = 300_000
 #: Pairs of tokens, and short strings, that a worker remembers before it starts anew.
-REMEMBER_PAIRS = 200_000
+REMEMBER_PAIRS = 100_000
 _NO_RANK = 1 << 62
 MARKS = (".", ",", ";", ":", "!", "?")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import run_starts, table
+from ._shared import cut, run_starts, table
 
 LENGTH = 100
 GRAM = 32
@@ -373,15 +373,32 @@ def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, doc and text: ``doc`` tells texts apart and puts them in the order of doc_id.
+
+    It is the doc_id itself unless one names several texts.  If any does, all
+    texts are numbered in the order of doc_id (null first) and of a hash of the
+    text.  Rows equal in doc_id and text are one document.
+    """
+    plain = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain.alias("doc"), "text")
+    hashed = docs.select(plain.alias("id"), F.xxhash64("text").alias("twin"))
+    if hashed.groupBy("id").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").isEmpty():
+        return keyed
+    # The ids of partitions and rows rise along the sorted ranges.
+    ranked = cut(hashed.distinct().repartitionByRange("id", "twin").sortWithinPartitions("id", "twin").withColumn("doc", F.monotonically_increasing_id()))
+    again = keyed.withColumnsRenamed({"doc": "id"}).withColumn("twin", F.xxhash64("text"))
+    return again.join(ranked, ["id", "twin"]).select("doc_id", "doc", "text")
+
+
+def repeated_spans(keyed: DataFrame) -> DataFrame:
     """doc, low, high (bytes) of strings of LENGTH bytes that start earlier too, as spans."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    keyed = keyed.select("doc", "text")
     anchors = keyed.mapInArrow(find_anchors, "gram long, context long, doc long, off long, right int")
     dealt = anchors.repartition("gram").sortWithinPartitions("gram", "context", "doc", "off")
     compared = dealt.mapInArrow(compare_contexts, "kind byte, doc long, low long, high long")
     candidates = compared.where(F.col("kind") == CANDIDATE).groupBy("doc").agg(F.collect_set("low").alias("offs"))
-    texts = keyed.repartition("doc")
-    suffixes = texts.join(candidates, "doc").mapInArrow(cut_suffixes, "lead binary, context binary, doc long, off long, low long")
+    suffixes = keyed.repartition("doc").join(candidates, "doc").mapInArrow(cut_suffixes, "lead binary, context binary, doc long, off long, low long")
     buckets = suffixes.repartitionByRange("lead", "context", "doc", "off").sortWithinPartitions("lead", "context", "doc", "off")
     met = buckets.mapInArrow(compare_buckets, "kind byte, doc long, low long, high long, a long, b long")
     # Spans have no digests; a salt deals them out evenly.
@@ -396,13 +413,14 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     Removed is each byte that lies in a string of 100 bytes which also starts
     earlier: in a row of smaller doc_id, or further up in the same text.
     Strings are judged on the input.  A null text counts as empty; texts under
-    100 bytes stay whole.  A null doc_id counts as the smallest.  Rows that
-    repeat a doc_id are one document for this order: exact repeats keep each
-    other's bytes, other texts share what is removed.  Extra columns are left out.
+    100 bytes stay whole.  A null doc_id counts as the smallest.  Of rows that
+    repeat a doc_id with different texts one counts as the earlier, by a hash
+    of the text; rows equal in doc_id and text are one document, so they lose
+    the same bytes, and none to each other.  Extra columns are left out.
     """
-    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").repartition("doc")
-    joined = keyed.join(spans, "doc", "left").withColumn("doc_id", F.when(F.col("doc") != NO_ID, F.col("doc")))
+    keyed = numbered(docs)
+    spans = repeated_spans(keyed).groupBy("doc").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    joined = keyed.repartition("doc").join(spans, "doc", "left")
     return joined.select("doc_id", "text", "lows", "highs").mapInArrow(remove_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -114,18 +115,19 @@ def dense_features(text: str | None, matcher: Matcher) -> list[float]:
 
 
 def with_features(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """row (as it is) and features (array of doubles) of rows with ``row`` and ``text``; no shuffle."""
+    """row (as it is) and features (array of doubles) of rows with ``row``, which holds ``text``; no shuffle."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                made = [dense_features(t, matcher) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(made, pa.list_(pa.float64()))], names=["row", "features"])
+                rows_ = part.column("row")
+                made = [dense_features(t, matcher) for t in pc.struct_field(rows_, "text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows_, pa.array(made, pa.list_(pa.float64()))], names=["row", "features"])
 
     schema = StructType([rows.schema["row"], StructField("features", ArrayType(DoubleType()))])
-    return rows.select("row", "text").mapInArrow(compute, schema)
+    return rows.select("row").mapInArrow(compute, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -188,11 +190,11 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id and score (0 to 1) of each row, an empty or null text's too."""
-        return self.scored(docs, [F.col("doc_id").cast("long").alias("doc_id")]).select("row.doc_id", "score")
+        return self.scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row.doc_id", "score")
 
-    def scored(self, docs: DataFrame, columns: list) -> DataFrame:
-        """row (the given columns of each row) and score."""
-        rows = docs.select(F.struct(*columns).alias("row"), "text")
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """row (all columns of each row) and score."""
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         if self.trees is None:
             return rows.select("row", F.lit(float(self.constant)).alias("score"))
         raw = self.trees.transform(with_features(rows, self.terms).withColumn("features", array_to_vector("features")))
@@ -211,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, rounds: in
     """
     sample = cut(labelled_sample(docs, labels, most))
     terms = learn_lexicon(sample)
-    rows = with_features(sample.select(F.struct("doc_id", "toxic").alias("row"), "text"), terms)
+    rows = with_features(sample.select(F.struct("doc_id", "toxic", "text").alias("row")), terms)
     rows = cut(rows.select("row.doc_id", F.col("row.toxic").cast("double").alias("label"), array_to_vector("features").alias("features")))
     calibrates = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(20)) >= 15
     counts = {(r["part"], r["label"]): r["n"] for r in rows.groupBy(calibrates.alias("part"), "label").agg(F.count("*").alias("n")).collect()}
@@ -234,5 +236,5 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose own score is below the threshold: a filter, without a shuffle."""
-    rows = fit(docs, labels).scored(docs, [F.col(f"`{c}`") for c in docs.columns])
+    rows = fit(docs, labels).scored(docs)
     return rows.where(F.col("score") < threshold).select("row.*")

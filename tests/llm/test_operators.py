@@ -385,6 +385,34 @@ def test_sharding_is_even_and_keeps_groups(spark):
     assert sorted(r["slot"] for r in sharding.assign_shards(docs_of(spark, ["a", "a", None]), 8).collect()) == [0, 0, 0]
 
 
+def sharded_edges(spark, docs, rounds):
+    out = sharding.assign_shards(docs, 8, rounds).join(docs.select("doc_id", "text"), "doc_id")
+    return sharding.cut_links(out, "text")
+
+
+def test_propagation_cuts_fewer_links_than_no_rounds(spark):
+    texts = [f"text {i % 700}" for i in range(3000)] + ["hot"] * 900 + [f"single {i}" for i in range(600)]
+    docs = docs_of(spark, texts)
+    none, some = sharded_edges(spark, docs, 0), sharded_edges(spark, docs, sharding.ROUNDS)
+    forced = 900 - (4500 + 7) // 8  # rows of the hot group that no shard can hold beside the others
+    assert none - forced > 1000 and some - forced < 20
+    # On given tables no more groups are split than an even cut of shards in a row must split.
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = sharding.assign_shards(given).join(given.select("doc_id", "text"), "doc_id")
+    pieces = out.select("text", "shard").distinct().groupBy("text").count()
+    assert pieces.where("count > 1").count() <= 7
+
+
+def test_quotas_bind(spark):
+    """A shard takes what is free and what leaves it, whole groups only, those that move most first."""
+    assert sharding.quotas([10, 10, 10], {(0, 1): 4, (1, 0): 4}, 10) == [4, 4, 0]
+    assert sharding.quotas([10, 10, 10], {(0, 1): 4, (2, 1): 4}, 12) == [0, 2, 0]
+    asking = spark.createDataFrame([(1, 0, 8), (2, 0, 5), (3, 0, 3), (4, 0, 1), (5, 1, 2)], "group long, target int, moves long")
+    taken = {r["group"]: r["target"] for r in sharding.granted(asking, [9, 1]).collect()}
+    assert taken.get(1) == 0 and 5 not in taken
+    assert sum({1: 8, 2: 5, 3: 3, 4: 1}[g] for g in taken) <= 9
+
+
 # -- 7 -----------------------------------------------------------------------
 
 
@@ -624,6 +652,18 @@ def local_spans(texts, ids):
     return {d: int(g.sum()) for d, g in gone.items()}
 
 
+def test_suffixes_of_rows_that_repeat_an_id(spark):
+    """Bytes that stand nowhere else stay, whatever doc_ids repeat or are missing."""
+    draw = random.Random(8)
+    a, b, c = ("".join(draw.choices("abcdefgh ", k=300)) for _ in range(3))
+    docs = docs_of(spark, [a, a, b, c, c + b, b], [1, 2, 2, None, None, 9])
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.dedup_bytes(docs).collect())
+    assert got[2:] == [(1, 300, 0), (2, 300, 300), (2, 300, 300), (9, 300, 300)]
+    assert [n for _, n, _ in got[:2]] == [300, 600] and sum(r for _, _, r in got[:2]) == 300
+    alone = suffixes.dedup_bytes(docs_of(spark, [a, a, b], [1, 2, 2])).collect()
+    assert sorted((r["doc_id"], r["n_removed"], bytes(r["kept"]).decode()) for r in alone) == [(1, 0, a), (2, 0, b), (2, 300, "")]
+
+
 # -- all ---------------------------------------------------------------------
 
 
