@@ -373,27 +373,26 @@ def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, doc and text: ``doc`` tells texts apart and puts them in the order of doc_id.
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc and text, where ``doc`` tells texts apart and puts them in the order of doc_id; and the id of each doc.
 
-    It is the doc_id itself unless one names several texts.  If any does, all
-    texts are numbered in the order of doc_id (null first) and of a hash of the
-    text.  Rows equal in doc_id and text are one document.
+    ``doc`` is the doc_id itself (and no table of ids is needed) unless one
+    names several texts.  If any does, all texts are numbered in the order of
+    doc_id (null first) and of a hash of the text.  Rows equal in doc_id and
+    text are one document.
     """
     plain = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain.alias("doc"), "text")
     hashed = docs.select(plain.alias("id"), F.xxhash64("text").alias("twin"))
     if hashed.groupBy("id").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").isEmpty():
-        return keyed
+        return docs.select(plain.alias("doc"), "text"), None
     # The ids of partitions and rows rise along the sorted ranges.
     ranked = cut(hashed.distinct().repartitionByRange("id", "twin").sortWithinPartitions("id", "twin").withColumn("doc", F.monotonically_increasing_id()))
-    again = keyed.withColumnsRenamed({"doc": "id"}).withColumn("twin", F.xxhash64("text"))
-    return again.join(ranked, ["id", "twin"]).select("doc_id", "doc", "text")
+    again = docs.select(plain.alias("id"), F.xxhash64("text").alias("twin"), "text")
+    return again.join(ranked, ["id", "twin"]).select("doc", "text"), ranked.select("doc", "id")
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """doc, low, high (bytes) of strings of LENGTH bytes that start earlier too, as spans."""
-    keyed = keyed.select("doc", "text")
     anchors = keyed.mapInArrow(find_anchors, "gram long, context long, doc long, off long, right int")
     dealt = anchors.repartition("gram").sortWithinPartitions("gram", "context", "doc", "off")
     compared = dealt.mapInArrow(compare_contexts, "kind byte, doc long, low long, high long")
@@ -418,10 +417,12 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     of the text; rows equal in doc_id and text are one document, so they lose
     the same bytes, and none to each other.  Extra columns are left out.
     """
-    keyed = numbered(docs)
+    keyed, ids = numbered(docs)
     spans = repeated_spans(keyed).groupBy("doc").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    joined = keyed.repartition("doc").join(spans, "doc", "left")
-    return joined.select("doc_id", "text", "lows", "highs").mapInArrow(remove_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    joined = keyed.repartition("doc").join(spans, "doc", "left")  # the texts are dealt out once for both uses
+    joined = joined.withColumn("id", F.col("doc")) if ids is None else joined.join(ids, "doc")
+    named = joined.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "lows", "highs")
+    return named.mapInArrow(remove_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:
