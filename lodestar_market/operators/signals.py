@@ -160,10 +160,30 @@ def market_component(index_change: Column, volume_ratio: Column, foreign_net: Co
     return clamp(score)
 
 
+#: Why an action is taken; a warning follows where there are rumours.
+ACTION_REASONS = {
+    "STRONG_BUY": ("Technical signals are positive", "Market sentiment is optimistic"),
+    "BUY": ("Short-term trend is up",),
+    "HOLD": ("Market moves sideways, wait for a clearer signal",),
+    "SELL": ("Selling pressure grows",),
+    "STRONG_SELL": ("Technical signals are strongly negative",),
+}
+RUMOUR_WARNING = "WARNING: unconfirmed rumours found"
+
+
+def forecast_reasons(action: Column, rumours: Column) -> Column:
+    """The reasons of an action, and the warning where ``rumours`` is true."""
+    reasons = F.array().cast("array<string>")
+    for name, texts in ACTION_REASONS.items():
+        reasons = F.when(action == name, F.array(*map(F.lit, texts))).otherwise(reasons)
+    return F.when(rumours, F.array_append(reasons, F.lit(RUMOUR_WARNING))).otherwise(reasons)
+
+
 def forecast(df: DataFrame, scale: str = "unit") -> DataFrame:
     """Adds final_score, action, action_confidence from tech_score, sent_score, market_score.
 
-    ``scale="signed"`` reads the bands on -1 to 1.
+    ``scale="signed"`` reads the bands on -1 to 1.  Where ``rumour_mentions`` is
+    at hand, action_reasons is added too.
     """
     final = F.col("tech_score") * 0.4 + F.col("sent_score") * 0.3 + F.col("market_score") * 0.3
     f = _c("final_score")
@@ -171,7 +191,8 @@ def forecast(df: DataFrame, scale: str = "unit") -> DataFrame:
     action = F.when(f >= bands[0], "STRONG_BUY").when(f >= bands[1], "BUY").when(f >= bands[2], "HOLD").when(f >= bands[3], "SELL").when(f.isNotNull(), "STRONG_SELL")
     sure = F.when(f >= bands[1], f).when(f >= bands[2], 0.6).otherwise(1 - f)
     # Nine digits: a band must not hang on the order in which parts are added.
-    return df.withColumn("final_score", F.round(final if scale == "unit" else 2 * final - 1, 9)).withColumns({"action": action, "action_confidence": sure})
+    out = df.withColumn("final_score", F.round(final if scale == "unit" else 2 * final - 1, 9)).withColumns({"action": action, "action_confidence": sure})
+    return out.withColumn("action_reasons", forecast_reasons(_c("action"), _c("rumour_mentions") > 0)) if "rumour_mentions" in df.columns else out
 
 
 def risk_level(volatility_: Column, negative_ratio: Column, has_rumours: Column) -> Column:

@@ -86,7 +86,8 @@ def model_sentiment(df: DataFrame, text: str, load: Callable[[], Callable[[list[
     """Adds model_sentiment and model_confidence (0 to 100) by an injected scorer.
 
     ``load`` runs once a worker and gives a function from texts to negative,
-    neutral and positive logits; texts are cut at ``most_words`` words.
+    neutral and positive logits.  It sees a text in pieces of ``most_words``
+    words, whose logits are averaged; a text without words is one empty piece.
     """
 
     @F.pandas_udf("model_sentiment string, model_confidence double")
@@ -95,9 +96,13 @@ def model_sentiment(df: DataFrame, text: str, load: Callable[[], Callable[[list[
 
         scorer = load()
         for series in batches:
-            texts = [" ".join((t or "").split()[:most_words]) for t in series]
-            rows = [r for i in range(0, len(texts), batch) for r in scorer(texts[i : i + batch])]
+            words_of = [(t or "").split() for t in series]
+            counts = np.array([max(1, -(-len(w) // most_words)) for w in words_of], dtype=int)
+            pieces = [" ".join(w[i * most_words : (i + 1) * most_words]) for w, n in zip(words_of, counts, strict=True) for i in range(n)]
+            rows = [r for i in range(0, len(pieces), batch) for r in scorer(pieces[i : i + batch])]
             logits = np.array(rows, dtype=float).reshape(-1, 3)
+            if len(logits):
+                logits = np.add.reduceat(logits, np.cumsum(counts) - counts, axis=0) / counts[:, None]
             odds = np.exp(logits - logits.max(axis=1, keepdims=True)) if len(logits) else logits
             odds = odds / odds.sum(axis=1, keepdims=True) if len(logits) else odds
             best = odds.argmax(axis=1) if len(logits) else []

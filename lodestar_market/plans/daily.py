@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from ..operators import indicators as I
 from ..operators import monitoring as M
 from ..operators import report as R
 from ..operators import signals as S
+from ..sources import files
 from ..streaming import jobs as J
 from .news import HOT, MENTIONED, hot
-from .tables import BARS, SUBSCRIPTIONS, bars, events, read, subscriptions, symbol_of, symbol_sql
+from .tables import BARS, SUBSCRIPTIONS, TECHNICAL, TEXTS, bars, events, read, subscriptions, symbol_of, symbol_sql, texts
 from .technical import OVERVIEW
 
 QUERIES: dict = {}
@@ -109,14 +111,22 @@ def j4(spark, d):
     return synthesis(spark, d).select("symbol", "month", "recommendation", "rumour_mentions")
 
 
-@query("c7_component_scores", f"WITH {SYNTH} SELECT symbol, month, round(tech, 4) AS tech_score, round(sent, 4) AS sent_score, round(market, 4) AS market_score FROM syn")
+@query("c7_component_scores", f"WITH {SYNTH} SELECT symbol, month, round(tech, 9) AS tech_score, round(sent, 9) AS sent_score, round(market, 9) AS market_score FROM syn")
 def c7(spark, d):
-    return synthesis(spark, d).select("symbol", "month", *[F.round(c, 4).alias(c) for c in ("tech_score", "sent_score", "market_score")])
+    return synthesis(spark, d).select("symbol", "month", *[F.round(c, 9).alias(c) for c in ("tech_score", "sent_score", "market_score")])
 
 
-@query("c8_forecast", f"WITH {SYNTH} SELECT symbol, month, round(final, 4) AS final_score, action, round(sure, 4) AS action_confidence FROM judged")
+@query("c8_forecast", f"WITH {SYNTH} SELECT symbol, month, round(final, 9) AS final_score, action, round(sure, 9) AS action_confidence FROM judged")
 def c8(spark, d):
-    return judged(spark, d).select("symbol", "month", F.round("final_score", 4).alias("final_score"), "action", F.round("action_confidence", 4).alias("action_confidence"))
+    return judged(spark, d).select("symbol", "month", F.round("final_score", 9).alias("final_score"), "action", F.round("action_confidence", 9).alias("action_confidence"))
+
+
+_REASONS_SQL = "CASE action " + " ".join(f"WHEN '{a}' THEN '{'; '.join(texts)}'" for a, texts in S.ACTION_REASONS.items()) + " END"
+
+
+@query("c8_forecast_reasons", f"WITH {SYNTH} SELECT symbol, month, {_REASONS_SQL} || CASE WHEN rum > 0 THEN '; {S.RUMOUR_WARNING}' ELSE '' END AS reasons FROM judged")
+def c8_reasons(spark, d):
+    return judged(spark, d).select("symbol", "month", F.array_join("action_reasons", "; ").alias("reasons"))
 
 
 @query("c9_risk_level", f"WITH {SYNTH} SELECT symbol, month, risk, CASE WHEN atr / close > 0.05 OR neg > 0.5 OR rum > 5 THEN 'HIGH' WHEN atr / close > 0.03 OR neg > 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_by_thresholds FROM judged")
@@ -267,8 +277,15 @@ def _stream(spark, d) -> DataFrame:
 
 
 def _folder(spark) -> str:
-    """The shared folder of the session; a folder of its own only where none is named."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    """The shared folder of the session; a folder of its own only where none is named and all runs on one machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return named or tempfile.mkdtemp(prefix="stream-")
+
+
+def _new_folder(spark) -> str:
+    return f"{_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL {}"
@@ -281,11 +298,18 @@ def st1(spark, d):
     return J.run_available(J.new_articles(articles), _folder(spark)).select("hash").distinct()
 
 
-@query("st2_scored_requests")
+@query("st2_scored_requests", "SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(user_id AS VARCHAR) AS correlation_id, CAST(1 AS INTEGER) AS results FROM events")
 def st2(spark, d):
     body = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.col("user_id").cast("string").alias("correlation_id"), F.array(F.struct(F.lit("1").alias("id"), F.col("event_type").alias("content"))).alias("texts")))
-    scored = J.run_available(J.score_requests(_stream(spark, d).select(body.alias("value"))), _folder(spark))
-    return J.regroup_requests(scored).select("request_id", "correlation_id", F.size("results").alias("results"))
+    done = J.run_regrouped(J.score_requests(_stream(spark, d).select(body.alias("value"))), _folder(spark))
+    return done.select("request_id", "correlation_id", F.size("results").alias("results"))
+
+
+@query("st4_silence_stream", "WITH g AS (SELECT user_id AS source, ts AS silent_since, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS later FROM events) SELECT source, silent_since FROM g WHERE epoch_us(coalesce(later, (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)) - epoch_us(silent_since) > 36 * 3600000000")
+def st4_stream(spark, d):
+    """As st4_gaps in the stream, and those that are silent when it ends."""
+    seen = _stream(spark, d).select(F.col("user_id").cast("string").alias("source"), "ts")
+    return J.run_available(J.silence(seen, 36 * 60), _folder(spark)).select(F.col("source").cast("long").alias("source"), "silent_since")
 
 
 SLIDING = f"""WITH w AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i) AS window_start, event_type FROM events, range(0, 10) AS r(i)), c AS (
@@ -315,6 +339,37 @@ def st7(spark, d):
     return J.run_available(J.bars_of_ticks(ticks), _folder(spark))
 
 
+CARRIED = ["ema", "rsi", "atr"]
+
+
+@query("st8_carried_indicators", f"WITH {TECHNICAL} SELECT symbol, trade_date, round(ema_12, 9) AS ema, round(rsi_14, 9) AS rsi, round(atr_14, 9) AS atr, CASE WHEN rsi_14 < 30 THEN 'RSI_OVERSOLD' WHEN rsi_14 > 70 THEN 'RSI_OVERBOUGHT' END AS alert FROM technical")
+def st8(spark, d):
+    """The bars come in two goes; the second starts from the state that the first left."""
+    all_bars, at = bars(spark, d), _new_folder(spark)
+    for until, since in (("1995-06-30", "1900-01-01"), ("2100-01-01", "1995-06-30")):
+        all_bars.where((F.col("trade_date") > since) & (F.col("trade_date") <= until)).write.mode("append").parquet(f"{at}/bars")
+        out = J.run_available(J.carried_indicators(J.read_stream(spark, f"{at}/bars", all_bars.schema)), at, again=True)
+    return out.select("symbol", "trade_date", *[F.round(c, 9).alias(c) for c in CARRIED], "alert")
+
+
+# -- sources and sinks: written to the shared folder and read again -----------------
+
+
+@query("io1_read_bars", f"WITH {BARS} SELECT symbol, trade_date, round(open, 9) AS open, round(close, 9) AS close, volume FROM bars")
+def io1(spark, d):
+    at = _new_folder(spark)
+    bars(spark, d).write.option("header", True).csv(at)
+    return files.read_bars(spark, at, "csv").select("symbol", "trade_date", F.round("open", 9).alias("open"), F.round("close", 9).alias("close"), "volume")
+
+
+@query("io2_read_texts", f"WITH {TEXTS} SELECT CAST(doc_id AS VARCHAR) AS id, source, CAST(published_at AS DATE) AS day, md5(text) AS digest FROM texts")
+def io2(spark, d):
+    at = _new_folder(spark)
+    rows = texts(spark, d).select(F.col("doc_id").cast("string").alias("id"), "source", "source_type", "title", F.col("text").alias("body"), "published_at")
+    rows.withColumn("day", F.to_date("published_at")).write.partitionBy("day").json(at)
+    return files.read_texts(spark, at).select("id", "source", F.to_date("published_at").alias("day"), F.md5("body").alias("digest"))
+
+
 @query("st9_alert_stream", f"WITH {SUBSCRIPTIONS}, a AS (SELECT {symbol_sql('user_id % 10')} AS symbol, 'HIGH_RISK' AS alert_type FROM events WHERE event_type = 'error') SELECT symbol, alert_type, user_id, count(*) AS n FROM a JOIN subs USING (symbol) WHERE is_active AND list_contains(alert_types, alert_type) GROUP BY ALL")
 def st9(spark, d):
     raised = _stream(spark, d).where("event_type = 'error'").select(symbol_of(F.col("user_id") % 10).alias("symbol"), F.lit("HIGH_RISK").alias("alert_type"))

@@ -81,9 +81,9 @@ def t2(spark, d):
     return texts(spark, d).select("doc_id", F.md5(T.replace_slang(F.col("text"), TOKENS)).alias("digest"))
 
 
-@query("t3_special_characters", f"WITH {TEXTS} SELECT doc_id, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) AS kept FROM texts")
+@query("t3_special_characters", f"WITH {TEXTS} SELECT doc_id, md5(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g')) AS digest FROM texts")
 def t3(spark, d):
-    return texts(spark, d).select("doc_id", F.length(F.replace(T.remove_special(F.col("text")), F.lit("\x00"))).alias("all"), F.length(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", "")).cast("long").alias("kept")).drop("all")
+    return texts(spark, d).select("doc_id", F.md5(T.remove_special(F.col("text"))).alias("digest"))
 
 
 def _symbols_sql(text: str, listed: bool) -> str:
@@ -192,15 +192,13 @@ def a14(spark, d):
     return M.quality(judged, "p", "t")
 
 
-@query("io3_parse_feed", f"WITH {TEXTS} SELECT source, title, count(*) AS n FROM texts WHERE trim(title) <> '' GROUP BY ALL")
+@query("io3_parse_feed", f"WITH {TEXTS} SELECT source, trim(title, ' ' || chr(9) || chr(10) || chr(13)) AS title, count(*) AS n FROM texts WHERE trim(title) <> '' GROUP BY ALL")
 def io3(spark, d):
-    """Texts are put into feed payloads and parsed again."""
+    """Titles are put into feed payloads and parsed again; the parser drops blanks around them."""
     escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace("title", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     xml = F.concat(F.lit("<rss><channel><item><title>"), escaped, F.lit("</title><link>l</link><description>d</description><pubDate>2024-01-01 00:00:00</pubDate></item><item><title>-</title></item></channel></rss>"))
-    items = parse_feed(texts(spark, d).where("trim(title) <> ''").select("source", "title", xml.alias("xml")), "xml")
-    original = texts(spark, d).where("trim(title) <> ''").groupBy("source", "title").agg(F.count("*").alias("n"))
-    parsed = items.where("link = 'l'").groupBy("source").agg(F.count("*").alias("items"))
-    return original.join(parsed, "source").select("source", "title", "n")
+    items = parse_feed(texts(spark, d).where("trim(title) <> ''").select("source", xml.alias("xml")), "xml")
+    return items.where("link = 'l'").groupBy("source", "title").agg(F.count("*").alias("n"))
 
 
 @query("u1_union_of_news_and_posts", f"WITH {TEXTS} SELECT kind, count(*) AS items FROM (SELECT source_type AS kind FROM texts UNION ALL SELECT 'chat' FROM conversations WHERE role = 'user') GROUP BY 1")
@@ -210,9 +208,10 @@ def u1(spark, d):
     return both.groupBy("kind").agg(F.count("*").alias("items"))
 
 
-@query("u4_dedup_by_hash", f"WITH {TEXTS} SELECT source, title, min(doc_id) AS doc_id FROM texts GROUP BY ALL")
+@query("u4_dedup_by_hash", f"WITH {TEXTS} SELECT md5(source || ':' || title || ':' || strftime(published_at, '%Y-%m-%d')) AS hash, min(doc_id) AS doc_id FROM texts GROUP BY 1")
 def u4(spark, d):
-    return T.keep_first(texts(spark, d).select("source", "title", "doc_id"), ["source", "title"], ["doc_id"]).select("source", "title", "doc_id")
+    hashed = texts(spark, d).select("doc_id", T.content_hash(F.col("source"), F.col("title"), F.to_date("published_at")).alias("hash"))
+    return T.keep_first(hashed, ["hash"], ["doc_id"]).select("hash", "doc_id")
 
 
 @query("a1_mentions", f"WITH {MENTIONED} SELECT symbol, CAST(sum(mentions) AS BIGINT) AS mentions, CAST(sum(articles) AS BIGINT) AS articles FROM per_source GROUP BY 1")

@@ -26,11 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, names: list[str], *keys: str, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, names: list[str], *keys: str, digits: int = 9) -> DataFrame:
     return df.select(*keys, *[F.round(c, digits).alias(c) for c in names])
 
 
-def rsql(names: list[str], digits: int = 4) -> str:
+def rsql(names: list[str], digits: int = 9) -> str:
     return ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in names)
 
 
@@ -44,7 +44,7 @@ def w21(spark, d):
     return rounded(bars(spark, d), OHLCV, *KEY, "volume")
 
 
-TICKS = "SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bar_start, round(first(value ORDER BY ts, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY ts, event_id), 4) AS close, count(*) AS volume FROM events GROUP BY 1, 2"
+TICKS = "SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bar_start, round(first(value ORDER BY ts, event_id), 9) AS open, round(max(value), 9) AS high, round(min(value), 9) AS low, round(last(value ORDER BY ts, event_id), 9) AS close, count(*) AS volume FROM events GROUP BY 1, 2"
 
 
 @query("w21_hourly_bars_from_ticks", TICKS)
@@ -133,7 +133,7 @@ for _name, _columns in KERNEL_QUERIES.items():
 
 @query("w2_ema_blocked", f"WITH {TECHNICAL} SELECT symbol, trade_date, {rsql(['ema_12'])} FROM technical WHERE ema_12 IS NOT NULL")
 def w2_blocked(spark, d):
-    return I.blocked_ema(bars(spark, d), 12, block=100).select(*KEY, F.round("ema", 4).alias("ema_12"))
+    return I.blocked_ema(bars(spark, d), 12, block=100).select(*KEY, F.round("ema", 9).alias("ema_12"))
 
 
 CROSS = "CASE WHEN prev_macd_line <= prev_macd_signal AND macd_line > macd_signal THEN 'bullish' WHEN prev_macd_line >= prev_macd_signal AND macd_line < macd_signal THEN 'bearish' END"
@@ -158,7 +158,7 @@ RECENT = "recent AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY
 
 
 def _levels(column: str, flag: str, ascending: bool, name: str, i: int) -> str:
-    return f"round(list_sort(list({column}) FILTER (WHERE {flag}), '{'ASC' if ascending else 'DESC'}')[{i}], 4) AS {name}_{i}"
+    return f"round(list_sort(list({column}) FILTER (WHERE {flag}), '{'ASC' if ascending else 'DESC'}')[{i}], 9) AS {name}_{i}"
 
 
 def _level_sql(h: str, low: str, source: str, ascending: bool) -> str:
@@ -167,7 +167,7 @@ def _level_sql(h: str, low: str, source: str, ascending: bool) -> str:
 
 
 def _flat_levels(df: DataFrame) -> DataFrame:
-    return df.select("symbol", *[F.round(F.get(n, F.lit(i)), 4).alias(f"{n}_{i + 1}") for n in ("resistance", "support") for i in range(3)])
+    return df.select("symbol", *[F.round(F.get(n, F.lit(i)), 9).alias(f"{n}_{i + 1}") for n in ("resistance", "support") for i in range(3)])
 
 
 @query("w16_local_extrema", f"WITH {BARS}, {EXTREMA.format(h='high', l='low', t='bars')} SELECT symbol, trade_date, is_max, is_min FROM ext WHERE is_max OR is_min")
@@ -185,26 +185,26 @@ def w17b(spark, d):
     return _flat_levels(I.support_resistance(bars(spark, d), close_based=True))
 
 
-@query("w17c_support_bands", f"WITH {BARS}, c AS (SELECT symbol, arg_max(close, trade_date) AS c, max(close) AS hi, min(close) AS lo FROM bars GROUP BY 1) SELECT symbol, round(c * 0.97, 4) AS support_3, round(c * 0.95, 4) AS support_5, round(c * 1.03, 4) AS resistance_3, round(c * 1.05, 4) AS resistance_5, round(hi, 4) AS highest, round(lo, 4) AS lowest FROM c")
+@query("w17c_support_bands", f"WITH {BARS}, c AS (SELECT symbol, arg_max(close, trade_date) AS c, max(close) AS hi, min(close) AS lo FROM bars GROUP BY 1) SELECT symbol, round(c * 0.97, 9) AS support_3, round(c * 0.95, 9) AS support_5, round(c * 1.03, 9) AS resistance_3, round(c * 1.05, 9) AS resistance_5, round(hi, 9) AS highest, round(lo, 9) AS lowest FROM c")
 def w17c(spark, d):
     names = ["support_3", "support_5", "resistance_3", "resistance_5", "highest", "lowest"]
     return rounded(I.support_bands(bars(spark, d)), names, "symbol")
 
 
-FIBS = ", ".join(f"round(recent_low + {r} * (recent_high - recent_low), 4) AS fib_{round(r * 1000)}" for r in I.FIBONACCI)
-FIBS_DOWN = ", ".join(f"round(hi - {r} * (hi - lo), 4) AS fib_{round(r * 1000)}" for r in (0.0, *I.FIBONACCI, 1.0))
+FIBS = ", ".join(f"round(recent_low + {r} * (recent_high - recent_low), 9) AS fib_{round(r * 1000)}" for r in I.FIBONACCI)
+FIBS_DOWN = ", ".join(f"round(hi - {r} * (hi - lo), 9) AS fib_{round(r * 1000)}" for r in (0.0, *I.FIBONACCI, 1.0))
 
 
 @query("w18_fibonacci", f"WITH {FRAMES} SELECT symbol, {FIBS} FROM frames QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1")
 def w18(spark, d):
     levels = I.fibonacci(F.col("recent_high"), F.col("recent_low"))
-    return I.latest(I.frame_indicators(bars(spark, d)).select(*KEY, "recent_high", "recent_low")).select("symbol", *[F.round(v, 4).alias(k) for k, v in levels.items()])
+    return I.latest(I.frame_indicators(bars(spark, d)).select(*KEY, "recent_high", "recent_low")).select("symbol", *[F.round(v, 9).alias(k) for k, v in levels.items()])
 
 
 @query("w18b_fibonacci_down", f"WITH {BARS}, x AS (SELECT symbol, max(high) AS hi, min(low) AS lo FROM bars GROUP BY 1) SELECT symbol, {FIBS_DOWN} FROM x")
 def w18b(spark, d):
     levels = I.fibonacci(F.col("hi"), F.col("lo"), down=True)
-    return bars(spark, d).groupBy("symbol").agg(F.max("high").alias("hi"), F.min("low").alias("lo")).select("symbol", *[F.round(v, 4).alias(k) for k, v in levels.items()])
+    return bars(spark, d).groupBy("symbol").agg(F.max("high").alias("hi"), F.min("low").alias("lo")).select("symbol", *[F.round(v, 9).alias(k) for k, v in levels.items()])
 
 
 ALL = sorted({c for cs in [*FRAME_QUERIES.values(), *KERNEL_QUERIES.values()] for c in cs})
@@ -305,10 +305,10 @@ def c5(spark, d):
     return rounded(snapshot(spark, d).withColumns(levels), ["bb_upper", "bb_lower", "recent_high", "sma_20", *levels], "symbol")
 
 
-@query("c5b_targets_by_label", f"WITH {TECHNICAL}, {SCORED} SELECT symbol, round(CASE WHEN recommendation LIKE '%BUY' THEN close * 1.05 WHEN recommendation LIKE '%SELL' THEN close * 0.95 ELSE close END, 4) AS target, round(CASE WHEN recommendation LIKE '%BUY' THEN close * 0.95 WHEN recommendation LIKE '%SELL' THEN close * 1.05 ELSE close * 0.97 END, 4) AS stop FROM recommended")
+@query("c5b_targets_by_label", f"WITH {TECHNICAL}, {SCORED} SELECT symbol, round(CASE WHEN recommendation LIKE '%BUY' THEN close * 1.05 WHEN recommendation LIKE '%SELL' THEN close * 0.95 ELSE close END, 9) AS target, round(CASE WHEN recommendation LIKE '%BUY' THEN close * 0.95 WHEN recommendation LIKE '%SELL' THEN close * 1.05 ELSE close * 0.97 END, 9) AS stop FROM recommended")
 def c5b(spark, d):
     target, stop = S.targets_by_label(F.col("recommendation"), F.col("close"))
-    return recommended(spark, d).select("symbol", F.round(target, 4).alias("target"), F.round(stop, 4).alias("stop"))
+    return recommended(spark, d).select("symbol", F.round(target, 9).alias("target"), F.round(stop, 9).alias("stop"))
 
 
 @query("c6_basic_signal", f"WITH {TECHNICAL} SELECT symbol, CASE WHEN rsi_14 < 30 THEN 'BUY' WHEN rsi_14 > 70 THEN 'SELL' ELSE 'HOLD' END AS basic, round(CAST(0.5 + CASE WHEN rsi_14 < 30 OR rsi_14 > 70 THEN 0.2 ELSE 0 END + CASE WHEN close > sma_20 THEN 0.1 ELSE -0.1 END + CASE WHEN macd_line > macd_signal THEN 0.15 ELSE 0 END AS DOUBLE), 6) AS confidence FROM snap")
@@ -321,19 +321,19 @@ VOTES = """votes AS (SELECT symbol, CASE WHEN rsi_14 < 30 THEN 1 ELSE 0 END + CA
   CASE WHEN rsi_14 < 30 THEN (30 - rsi_14) / 30 * 100 WHEN rsi_14 > 70 THEN (rsi_14 - 70) / 30 * 100 ELSE 0 END + CASE WHEN macd_line <> macd_signal THEN 70 ELSE 0 END + CASE WHEN close < bb_lower OR close > bb_upper THEN 60 ELSE 0 END AS c FROM snap)"""
 
 
-@query("c6b_vote_signal", f"WITH {TECHNICAL}, {VOTES} SELECT symbol, CASE WHEN b > s THEN 'BUY' WHEN s > b THEN 'SELL' ELSE 'HOLD' END AS vote, round(CAST(CASE WHEN b = s THEN 50 ELSE c / nullif(b + s, 0) END AS DOUBLE), 4) AS confidence FROM votes")
+@query("c6b_vote_signal", f"WITH {TECHNICAL}, {VOTES} SELECT symbol, CASE WHEN b > s THEN 'BUY' WHEN s > b THEN 'SELL' ELSE 'HOLD' END AS vote, round(CAST(CASE WHEN b = s THEN 50 ELSE c / nullif(b + s, 0) END AS DOUBLE), 9) AS confidence FROM votes")
 def c6b(spark, d):
-    return S.vote_signal(snapshot(spark, d)).select("symbol", "vote", F.round("vote_confidence", 4).alias("confidence"))
+    return S.vote_signal(snapshot(spark, d)).select("symbol", "vote", F.round("vote_confidence", 9).alias("confidence"))
 
 
-@query("c10_expected_return", f"WITH {TECHNICAL} SELECT symbol, round((coalesce(bb_upper, close * 1.05) - close) / close * 100, 4) AS expected_return FROM snap")
+@query("c10_expected_return", f"WITH {TECHNICAL} SELECT symbol, round((coalesce(bb_upper, close * 1.05) - close) / close * 100, 9) AS expected_return FROM snap")
 def c10(spark, d):
-    return snapshot(spark, d).select("symbol", F.round(S.expected_return(F.col("close"), F.col("bb_upper")), 4).alias("expected_return"))
+    return snapshot(spark, d).select("symbol", F.round(S.expected_return(F.col("close"), F.col("bb_upper")), 9).alias("expected_return"))
 
 
-@query("c13_volatility", f"WITH {TECHNICAL} SELECT symbol, round(atr_14 / close * 100, 4) AS volatility FROM snap")
+@query("c13_volatility", f"WITH {TECHNICAL} SELECT symbol, round(atr_14 / close * 100, 9) AS volatility FROM snap")
 def c13(spark, d):
-    return snapshot(spark, d).select("symbol", F.round(S.volatility(F.col("atr_14"), F.col("close")), 4).alias("volatility"))
+    return snapshot(spark, d).select("symbol", F.round(S.volatility(F.col("atr_14"), F.col("close")), 9).alias("volatility"))
 
 
 @query("j8_enrich", f"WITH {TECHNICAL}, {SCORED}, {STOCKS} SELECT symbol, exchange, industry, recommendation FROM recommended JOIN stocks USING (symbol) WHERE is_active")
@@ -341,7 +341,7 @@ def j8(spark, d):
     return recommended(spark, d).join(stocks(spark, d).where("is_active"), "symbol").select("symbol", "exchange", "industry", "recommendation")
 
 
-@query("j9_latest_as_of", f"WITH {BARS} SELECT symbol, trade_date, round(close, 4) AS close FROM bars WHERE trade_date <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1")
+@query("j9_latest_as_of", f"WITH {BARS} SELECT symbol, trade_date, round(close, 9) AS close FROM bars WHERE trade_date <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1")
 def j9(spark, d):
     known = bars(spark, d).where(F.col("trade_date") <= F.lit(AS_OF).cast("date")).select(*KEY, "close")
     return rounded(I.latest(known), ["close"], *KEY)
@@ -410,6 +410,6 @@ def io10(spark, d):
     return kept.withColumn("disposal", F.lit("keep")).unionByName(gone).groupBy("trade_date", "disposal").agg(F.count("*").alias("bars"))
 
 
-@query("t17_math_helpers", f"WITH {BARS} SELECT symbol, trade_date, round(abs(close - open), 4) AS move, round(greatest(0, least(1000, close)), 4) AS clamped, round(sqrt(volume), 4) AS root FROM bars")
+@query("t17_math_helpers", f"WITH {BARS} SELECT symbol, trade_date, round(abs(close - open), 9) AS move, round(greatest(0, least(1000, close)), 9) AS clamped, round(sqrt(volume), 9) AS root FROM bars")
 def t17(spark, d):
-    return bars(spark, d).select(*KEY, F.round(F.abs(F.col("close") - F.col("open")), 4).alias("move"), F.round(S.clamp(F.col("close"), 0.0, 1000.0), 4).alias("clamped"), F.round(F.sqrt("volume"), 4).alias("root"))
+    return bars(spark, d).select(*KEY, F.round(F.abs(F.col("close") - F.col("open")), 9).alias("move"), F.round(S.clamp(F.col("close"), 0.0, 1000.0), 9).alias("clamped"), F.round(F.sqrt("volume"), 9).alias("root"))

@@ -20,9 +20,12 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", pe
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
 
 
-def run_available(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, to Parquet in ``folder``, and read the result."""
-    at = f"{folder}/stream-{uuid.uuid4().hex}"
+def run_available(df: DataFrame, folder: str, mode: str = "append", again: bool = False) -> DataFrame:
+    """Run a stream over what is there, to Parquet in ``folder``, and read the result.
+
+    With ``again`` the folder is this stream's own: state and results go on from where they were.
+    """
+    at = folder if again else f"{folder}/stream-{uuid.uuid4().hex}"
     schema = df.schema
     df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return df.sparkSession.read.schema(schema).parquet(f"{at}/out")
@@ -44,6 +47,21 @@ def regroup_requests(scored: DataFrame) -> DataFrame:
     return scored.groupBy("request_id", "correlation_id").agg(F.array_sort(F.collect_list(F.struct("id", "base_sentiment", "base_confidence"))).alias("results"))
 
 
+def run_regrouped(scored: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of scored texts and put each micro-batch's requests together again.
+
+    A batch that is run again overwrites what it wrote before.
+    """
+    at = f"{folder}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        regroup_requests(batch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    scored.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    results = "results array<struct<id: string, base_sentiment: string, base_confidence: double>>"
+    return scored.sparkSession.read.schema(f"request_id string, correlation_id string, {results}").parquet(f"{at}/out")
+
+
 def success_rate(log: DataFrame, length: str = "10 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Sliding windows with their success rate and whether it alerts (below 80 %)."""
     ok = F.count_if(F.col("status") == "ok")
@@ -119,6 +137,41 @@ def carried_ema(bars: DataFrame, n: int = 12) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, trade_date date, ema double", "count long, value double", "append", GroupStateTimeout.NoTimeout)
 
 
+def carried_indicators(bars: DataFrame, ema: int = 12, n: int = 14) -> DataFrame:
+    """EMA, RSI and ATR of each new bar from state, with an alert where the RSI leaves 30 to 70.
+
+    The state of a symbol is the number of bars, the last close and four
+    averages, which are sums until their first value is due.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, last, mean, gain, loss, atr = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        rows = pd.concat(list(batches)).sort_values("trade_date")
+        out = []
+        for day, high, low, close in zip(rows["trade_date"], rows["high"], rows["low"], rows["close"], strict=True):
+            count += 1
+            reach = high - low if count == 1 else max(high - low, abs(high - last), abs(low - last))
+            up, down = (0.0, 0.0) if count == 1 else (max(close - last, 0.0), max(last - close, 0.0))
+            mean = mean + close if count < ema else (mean + close) / ema if count == ema else mean + (close - mean) * 2 / (ema + 1)
+            atr = atr + reach if count < n else (atr + reach) / n if count == n else (atr * (n - 1) + reach) / n
+            if count <= n + 1:  # the first change is the second bar's
+                gain, loss = gain + up, loss + down
+                if count == n + 1:
+                    gain, loss = gain / n, loss / n
+            else:
+                gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
+            last = close
+            known = count > n
+            rsi = None if not known else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+            alert = None if rsi is None else "RSI_OVERSOLD" if rsi < 30 else "RSI_OVERBOUGHT" if rsi > 70 else None
+            out.append((key[0], day, mean if count >= ema else None, rsi, atr if known else None, alert))
+        state.update((count, float(last), float(mean), float(gain), float(loss), float(atr)))
+        yield pd.DataFrame(out, columns=["symbol", "trade_date", "ema", "rsi", "atr", "alert"])
+
+    held = "count long, last double, mean double, gain double, loss double, atr double"
+    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, trade_date date, ema double, rsi double, atr double, alert string", held, "append", GroupStateTimeout.NoTimeout)
+
+
 def route_alerts(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Stream of alerts joined with the static table of subscriptions."""
     active = subscriptions.where("is_active").select("user_id", "symbol", "alert_types")

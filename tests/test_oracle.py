@@ -18,9 +18,9 @@ ORACLE = catalog.oracle_sql()
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 4) + 0.0
+        return None if math.isnan(value) else round(value, 7) + 0.0
     if isinstance(value, decimal.Decimal):
-        return round(float(value), 4)
+        return round(float(value), 7)
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     return float(value) if isinstance(value, int) and not isinstance(value, bool) else value
@@ -47,5 +47,5 @@ def test_query(spark, duck, name):
     at = [names.index(c) for c in columns]
     want = sorted((tuple(plain(r[i]) for i in at) for r in out.fetchall()), key=repr)
     assert len(got) == len(want)
-    wrong = [(g, w) for g, w in zip(got, want, strict=True) if g != w and not all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-4) for x, y in zip(g, w, strict=True))]
+    wrong = [(g, w) for g, w in zip(got, want, strict=True) if g != w and not all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-7)) for x, y in zip(g, w, strict=True))]
     assert not wrong, wrong[:3]

@@ -118,6 +118,21 @@ def test_forecast_vectors(spark):
     assert tuple(risk) == ("MEDIUM", "HIGH", "LOW")
 
 
+def test_model_sees_whole_texts(spark):
+    """Pieces of 256 words are scored each and their logits averaged."""
+    text = " ".join(["calm"] * 300 + ["rise"] * 212)
+    load = lambda: lambda batch: [(0.0, float(t.count("calm")), float(t.count("rise"))) for t in batch]
+    rows = T.model_sentiment(spark.createDataFrame([(text,), ("rise",), (None,), ("",)], "t string"), "t", load).collect()
+    assert [r["model_sentiment"] for r in rows] == ["neutral", "positive", "negative", "negative"]
+    assert abs(rows[1]["model_confidence"] - 100 * 2.718281828459045 / (2 + 2.718281828459045)) < 1e-6
+
+
+def test_forecast_reasons(spark):
+    df = spark.createDataFrame([(0.9, 0.9, 0.9, 1), (0.5, 0.5, 0.5, 0)], "tech_score double, sent_score double, market_score double, rumour_mentions int")
+    got = [r["action_reasons"] for r in S.forecast(df).collect()]
+    assert got == [[*S.ACTION_REASONS["STRONG_BUY"], S.RUMOUR_WARNING], [*S.ACTION_REASONS["HOLD"]]]
+
+
 def test_error_rules(spark):
     messages = ["connection timeout", "HTTP 429", "ECONNREFUSED", "bad JSON", "401", "503", "etc"]
     got = [r["e"]["error_type"] for r in spark.createDataFrame([(m,) for m in messages], "m string").select(M.classify_error(F.col("m")).alias("e")).collect()]
@@ -144,6 +159,13 @@ def test_carried_state_and_silence(spark, tmp_path):
     got = {r["trade_date"]: r["ema"] for r in J.run_available(J.carried_ema(stream), str(tmp_path / "s")).collect()}
     want = {r["trade_date"]: r["ema_12"] for r in I.technical(bars).collect()}
     assert got.keys() == want.keys()
+    assert all((got[d] is None) == (want[d] is None) and (want[d] is None or abs(got[d] - want[d]) < 1e-9) for d in want)
+    stream = J.read_stream(spark, str(tmp_path / "bars"), bars.schema, per_trigger=1)
+    carried = {r["trade_date"]: (r["ema"], r["rsi"], r["atr"]) for r in J.run_available(J.carried_indicators(stream), str(tmp_path / "c")).collect()}
+    whole = {r["trade_date"]: (r["ema_12"], r["rsi_14"], r["atr_14"]) for r in I.technical(bars).collect()}
+    assert carried.keys() == whole.keys()
+    for day, row in whole.items():
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(carried[day], row, strict=True)), day
     rows = [("a", datetime.datetime(2024, 1, 1, h)) for h in (0, 1, 6)] + [("b", datetime.datetime(2024, 1, 1, h)) for h in (0, 1, 2, 3, 4, 5, 6)]
     spark.createDataFrame(rows, "source string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "e"))
     events = J.read_stream(spark, str(tmp_path / "e"), "source string, ts timestamp")
