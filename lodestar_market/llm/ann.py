@@ -14,6 +14,7 @@ have the same length, which makes the largest inner product the least angle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,15 +89,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_
     their ids, which are all that can be among the k nearest of a query.  The
     score is the inner product in double precision; ties go to the smaller id.
     Rows whose vector is null, empty, zero or not finite, or whose id is null,
-    take no part; vectors of another length than most rows' don't either.
+    take no part.  Vectors of different lengths have no inner product: each
+    length is searched for itself, with an index of its own.
     Repeated rows of one id count once.  With k or fewer candidates all are returned.
     """
     clean = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id"])
-    sizes = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
+    lengths = [r["d"] for r in clean.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    if not lengths:
         return vectors.sparkSession.range(0).selectExpr("id AS query_id", "cast(0 as int) AS rank", "id AS vec_id", "0.0D AS score")
-    dims = sizes[0]["d"]
-    clean = clean.where(F.size("v") == dims)
+    return reduce(DataFrame.unionByName, [_nearest_of(clean.where(F.size("v") == dims), dims, every, k, trees, share, least, block_rows) for dims in lengths])
+
+
+def _nearest_of(clean: DataFrame, dims: int, every: int, k: int, trees: int, share: float, least: int, block_rows: int) -> DataFrame:
+    """``nearest`` among vectors of one length."""
     # Before the shuffle each task keeps the k + 1 smallest ids of a vector.
     order = W.Window.partitionBy("v").orderBy("vec_id")
     few = clean.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)

@@ -337,6 +337,12 @@ def test_ann_of_nothing_and_of_few(spark):
     assert few[["query_id", "rank", "vec_id", "score"]].values.tolist() == [[0, 1, 1, 0.5], [0, 2, 2, -1.0]]
 
 
+def test_ann_searches_every_length(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 2.0, 3.0]), (21, [0.0, 1.0, 0.0]), (40, [7.0])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in found) == [(0, 1, 0.5), (20, 21, 2.0)]
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
