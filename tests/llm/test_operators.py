@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -355,18 +356,49 @@ def test_permutation_is_one_to_one_and_inverts(size):
 
 def test_token_shards_hold_every_text(spark, tmp_path):
     texts = [*AWKWARD, *corpus(9, 20)]
-    ordered = token_shards.materialise(docs_of(spark, texts), RANKS, public_tokenizers.PATTERN, stride=16, shard_sequences=32)
-    token_shards.write_shards(ordered, str(tmp_path / "shards"))
-    rows = sorted(spark.read.parquet(str(tmp_path / "shards")).collect(), key=lambda r: r["slot"])
+    folder = f"file://{tmp_path}/shards"
+    index = token_shards.write_shards(docs_of(spark, texts), RANKS, public_tokenizers.PATTERN, folder, stride=16, shard_sequences=32)
+    rows = sorted(index.collect(), key=lambda r: r["slot"])
     assert [r["slot"] for r in rows] == list(range(len(rows)))
-    assert {len(r["tokens"]) for r in rows} == {32}
-    assert all(r["shard"] == r["slot"] // 32 and r["byte_offset"] == r["slot"] % 32 * 32 for r in rows)
+    files = sorted(p for p in (tmp_path / "shards").iterdir() if p.name.startswith("shard-"))
+    assert len(files) == -(-len(rows) // 32) and all(len(f.name) == len(files[0].name) for f in files)
+    assert {f.stat().st_size for f in files[:-1]} == {32 * 32}
     enc = reference_encoder()
+    found = {}
+    for r in rows:
+        raw = files[r["shard"]].read_bytes()[r["byte_offset"] : r["byte_offset"] + 32]
+        assert r["byte_offset"] == r["slot"] % 32 * 32 and hashlib.sha256(raw).hexdigest() == r["tokens_sha256"]
+        ids = np.frombuffer(raw, "<u2").tolist()
+        assert set(ids[r["n_tokens"] :]) <= {token_shards.END}
+        found.setdefault(r["doc_id"], []).append((r["part"], ids[: r["n_tokens"]]))
     for d, text in enumerate(texts):
-        parts = sorted((r["part"], r["n_tokens"], r["tokens"]) for r in rows if r["doc_id"] == d)
-        ids = [i for _, n, raw in parts for i in np.frombuffer(raw, "<u2")[:n].tolist()]
-        assert ids == [*enc.encode_ordinary(text or ""), token_shards.END]
-    assert [r["slot"] for r in token_shards.read_from(spark, str(tmp_path / "shards"), 40, 7).orderBy("slot").collect()] == list(range(40, 47))
+        assert [i for _, ids in sorted(found[d]) for i in ids] == [*enc.encode_ordinary(text or ""), token_shards.END]
+    later = sorted(token_shards.read_from(spark, folder, 40, 30).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in later] == list(range(40, 70))
+    assert all(hashlib.sha256(r["tokens"]).hexdigest() == rows[r["slot"]]["tokens_sha256"] for r in later)
+    assert token_shards.read_from(spark, folder).count() == len(rows)
+    assert token_shards.read_from(spark, folder, len(rows)).count() == 0
+
+
+def test_token_shards_do_not_depend_on_the_partitioning(spark, tmp_path):
+    texts = [*AWKWARD, *corpus(10, 20), "same", "same", "other", None]
+    ids = [*range(len(texts) - 4), 5, 5, 5, None]
+    docs = docs_of(spark, texts, ids)
+    written = []
+    for n in (1, 3, 7):
+        folder = tmp_path / str(n)
+        index = token_shards.write_shards(docs.repartition(n), RANKS, public_tokenizers.PATTERN, str(folder), stride=16, shard_sequences=64, waves=n)
+        assert not (folder / "sequences").exists()
+        written.append((sorted(map(tuple, index.collect())), [f.read_bytes() for f in sorted(folder.glob("shard-*.bin"))]))
+    assert written[0] == written[1] == written[2]
+
+
+def test_token_shards_refuse_ids_that_do_not_fit(spark, tmp_path):
+    ranks = tmp_path / "wide.tiktoken"
+    lines_ = [base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)]
+    ranks.write_bytes(b"\n".join([*lines_, base64.b64encode(b"ab") + b" 70000"]) + b"\n")
+    with pytest.raises(Exception, match="ranks must stay below"):
+        token_shards.write_shards(docs_of(spark, ["ab"]), str(ranks), public_tokenizers.PATTERN, str(tmp_path / "shards"))
 
 
 # -- 6 -----------------------------------------------------------------------
@@ -673,7 +705,7 @@ def test_suffixes_of_rows_that_repeat_an_id(spark):
 # -- all ---------------------------------------------------------------------
 
 
-def test_extra_columns_and_empty_tables(spark):
+def test_extra_columns_and_empty_tables(spark, tmp_path):
     from pyspark.sql import functions as F
 
     clash = docs_of(spark, AWKWARD).withColumns({c: F.lit(1) for c in ("fingerprint", "u", "root", "kept_text", "block", "label", "doc", "off", "gram", "group", "features", "score", "lows", "word")})
@@ -684,7 +716,7 @@ def test_extra_columns_and_empty_tables(spark):
         assert licenses.licenses(docs).count() == rows
         assert near_duplicates.near_duplicates(docs).count() == rows
         assert lines.dedup_lines(docs).count() == rows
-        assert token_shards.materialise(docs, RANKS, public_tokenizers.PATTERN).select("doc_id").distinct().count() == rows
+        assert token_shards.write_shards(docs, RANKS, public_tokenizers.PATTERN, str(tmp_path / str(rows))).select("doc_id").distinct().count() == rows
         assert sharding.assign_shards(docs).count() == rows
         assert toxicity.fit(docs, labels).score(docs).count() == rows
         assert byte_pairs.encode_documents(docs, RANKS, public_tokenizers.PATTERN).count() == rows
