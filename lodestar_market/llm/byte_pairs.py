@@ -195,6 +195,13 @@ class ChunkedCodec:
             known[chunk] = got
         return got
 
+    def split(self, text: str) -> tuple[str, list[str]]:
+        """The first chunk, and the others without the blank they begin with."""
+        # Where every blank is a seam, a plain split does.
+        odd = text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text)
+        head, *tail = _SEAM.split(text) if odd else text.split(" ")
+        return head, tail
+
     def chunks(self, text: str) -> list[tuple]:
         """(count, ids as text, decoded bytes, ids as 32-bit numbers) of each chunk in turn.
 
@@ -202,9 +209,7 @@ class ChunkedCodec:
         """
         if not text:
             return []
-        # Where every blank is a seam, a plain split does.
-        odd = text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text)
-        head, *tail = _SEAM.split(text) if odd else text.split(" ")
+        head, tail = self.split(text)
         later, make = self.later, self._chunk
         out = [self.first.get(head) or make(head, "", self.first)]
         out += [later.get(chunk) or make(chunk, " ", later) for chunk in tail]
@@ -215,7 +220,7 @@ class ChunkedCodec:
 
 
 class LibraryCodec(ChunkedCodec):
-    """Gives the same ids, but encodes chunks it has not met with the tiktoken library."""
+    """Ids alone; chunks it has not met go to the tiktoken library, those of a text in one call."""
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -223,15 +228,40 @@ class LibraryCodec(ChunkedCodec):
         import tiktoken
 
         coder = cls(Codec.load(path, pattern))
-        coder.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=coder.codec.ranks, special_tokens={})
+        ranks = coder.codec.ranks
+        coder.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        coder.met = {}
+        coder.begins = np.zeros(max(ranks.values()) + 1, bool)
+        coder.begins[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
         return coder
 
-    def _chunk(self, chunk: str, blank: str, known: dict[str, tuple]) -> tuple:
-        ids = self.encoding.encode_ordinary(blank + chunk)
-        got = (len(ids), None, None, array("i", ids).tobytes())
-        if len(chunk) <= 48 and len(known) < REMEMBER:
-            known[chunk] = got
-        return got
+    def _plain(self, text: str) -> bytes:
+        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.int32).tobytes()
+
+    def _fresh(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk; in a row, as a chunk without blanks inside has one in its first id alone."""
+        ids = np.asarray(self.encoding.encode_to_numpy(" " + " ".join(chunks), disallowed_special=()), np.int32)
+        edges = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), 4 * len(ids)]
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+    def ids(self, text: str) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.int32)
+        head, tail = self.split(text)
+        met = self.met
+        out = [met.get(chunk) for chunk in tail]
+        unmet = [i for i, known in enumerate(out) if known is None]
+        for i in unmet:
+            if " " in tail[i]:
+                out[i] = self._plain(" " + tail[i])
+        rest = [i for i in unmet if out[i] is None]
+        if rest:
+            for i, got in zip(rest, self._fresh([tail[i] for i in rest]), strict=True):
+                out[i] = got
+                if len(met) < REMEMBER and len(tail[i]) <= 48:
+                    met[tail[i]] = got
+        return np.frombuffer(b"".join([self._plain(head), *out]), np.int32)
 
 
 @lru_cache(maxsize=2)

@@ -380,6 +380,16 @@ def test_token_shards_hold_every_text(spark, tmp_path):
     assert token_shards.read_from(spark, folder, len(rows)).count() == 0
 
 
+def test_library_codec_equals_the_library():
+    enc = reference_encoder()
+    rng = random.Random(5)
+    coder = byte_pairs.LibraryCodec.of(RANKS, public_tokenizers.PATTERN)
+    bits = ["a", "word", " ", " ", "  ", "\n", " \n", "\t", "\u00a0", "\u3000", "1234", ".", ",\n\n", "don't", "\u65e5\u672c", "\x00", "\U0001f600", "e\u0301"]
+    texts = [*(t for t in AWKWARD if t), *corpus(12, 20), *("".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(20_000))]
+    for text in texts:
+        assert coder.ids(text).tolist() == enc.encode_ordinary(text), repr(text)
+
+
 def test_token_shards_do_not_depend_on_the_partitioning(spark, tmp_path):
     texts = [*AWKWARD, *corpus(10, 20), "same", "same", "other", None]
     ids = [*range(len(texts) - 4), 5, 5, 5, None]
