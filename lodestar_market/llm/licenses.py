@@ -22,6 +22,10 @@ GRAM = 3
 SLACK = 6
 #: Share of a template's k-grams that a span must hold.
 COVERAGE = 0.6
+#: Template positions that one mask holds; longer templates have several.
+MASK = 62
+#: Copies of a row that are written from one array.
+COPIES = 65_536
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: The base phrases and their labels.
@@ -41,6 +45,26 @@ NOTICES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to "
+        "the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability "
+        "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
 )
 
 
@@ -64,8 +88,6 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES, k: int = GR
         if len(words) < k:
             raise ValueError(f"a template needs {k} words: {text!r}")
         grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-        if len(grams) > 62:
-            raise ValueError(f"a template has at most {61 + k} words: {text!r}")
         rows += [(gram, number, label, base, i, len(grams)) for i, gram in enumerate(grams)]
     values = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, TEMPLATE, strict=True)]) for row in rows])
     return spark.range(1, numPartitions=1).select(F.inline(values))
@@ -90,10 +112,11 @@ def grams_of(docs: DataFrame, k: int = GRAM) -> DataFrame:
 
 
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = GRAM, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
-    """One row per verified span: doc_id, twin, n_words, label, base, first_word, last_word, share.
+    """One row per verified span: doc_id, twin, n_words, copies, label, base, first_word, last_word, share.
 
-    A document without a span has one row with label null.  ``twin`` is a hash
-    of the text: rows equal in doc_id and text are one document.
+    Each document has one more row with label null, whose ``copies`` is the
+    number of rows equal in doc_id and text; elsewhere it is null.  ``twin`` is
+    a hash of the text.
     """
     spark = docs.sparkSession
     words = F.split("gram", " ")
@@ -103,21 +126,22 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = GRAM, slack
     # The hash finds template positions; equal grams verify them word by word.
     hits = grams.join(known, (F.col("hash") == F.col("template_hash")) & F.col("gram").eqNullSafe(F.col("template_gram")))
     diagonal = F.col("position") - F.col("at")
-    votes = hits.groupBy("doc_id", "twin", "n_words", "template", "label", "base", "grams", diagonal.alias("diagonal")).agg(
+    votes = hits.groupBy("doc_id", "twin", "n_words", "template", "label", "base", "grams", diagonal.alias("diagonal"), F.expr(f"at div {MASK}").alias("part")).agg(
         # Each template position votes once: one bit of a mask, so repeated rows don't count twice.
-        F.expr("bit_or(shiftleft(1L, at))").alias("mask"), F.min("position").alias("low"), F.max("position").alias("high")
+        F.expr(f"bit_or(shiftleft(1L, at % {MASK}))").alias("mask"), F.min("position").alias("low"), F.max("position").alias("high"), F.count("*").alias("n")
     )
     per_row = ["doc_id", "twin", "n_words"]
     # Neighbouring diagonals of one template are merged: a new span begins where
     # the offset jumps.  Each place of a base phrase is a span of its own.
     along = W.Window.partitionBy("doc_id", "twin", "template").orderBy("diagonal")
-    jump = F.coalesce((F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > slack)).cast("int"), F.lit(1))
-    spans = votes.withColumn("span", F.sum(jump).over(along)).groupBy(*per_row, "template", "label", "base", "grams", "span").agg(
-        F.bit_count(F.bit_or("mask")).alias("votes"), F.min("low").alias("first_word"), (F.max("high") + k - 1).alias("last_word")
-    )
+    apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.when(F.col("base"), 0).otherwise(slack)
+    spanned = votes.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(along))
+    of_span = [*per_row, "template", "label", "base", "grams", "span"]
+    parts = spanned.groupBy(*of_span, "part").agg(F.bit_count(F.bit_or("mask")).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("n"))
+    spans = parts.groupBy(*of_span).agg(F.sum("votes").alias("votes"), F.min("low").alias("first_word"), (F.max("high") + k - 1).alias("last_word"), F.max("n").alias("n"))
     share = F.when(F.col("template") < 0, F.lit(0.0)).otherwise(F.col("votes") / F.greatest("grams", F.lit(1)))
     holds = (F.col("template") < 0) | F.when(F.col("base"), F.col("votes") == F.col("grams")).otherwise(F.col("share") >= coverage)
-    return spans.withColumn("share", share).where(holds).select(*per_row, "label", "base", "first_word", "last_word", "share")
+    return spans.withColumn("share", share).where(holds).select(*per_row, F.when(F.col("template") < 0, F.col("n")).alias("copies"), "label", "base", "first_word", "last_word", "share")
 
 
 def licenses(docs: DataFrame, **options) -> DataFrame:
@@ -126,14 +150,16 @@ def licenses(docs: DataFrame, **options) -> DataFrame:
     n_base counts the places of base phrases, first_word and last_word are the
     smallest and largest start of one (null without any), score is the largest
     share of a template found (0 for none).  A null or empty text has no words
-    and no labels.  Rows equal in doc_id and text give one row; a null doc_id
-    is a value like others.  Extra columns are left out.
+    and no labels.  Rows equal in doc_id and text are scanned together and come
+    back as many times; a null doc_id is a value like others.  Extra columns
+    are left out.
     """
     found = scan(docs, **options)
     base = F.col("base")
-    return (
+    each = (
         found.groupBy("doc_id", "twin")
         .agg(
+            F.max("copies").alias("copies"),
             F.max("n_words").alias("n_words"),
             F.count_if(base).alias("n_base"),
             F.min(F.when(base, F.col("first_word"))).cast("long").alias("first_word"),
@@ -142,8 +168,10 @@ def licenses(docs: DataFrame, **options) -> DataFrame:
             F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
             F.max("share").alias("score"),
         )
-        .drop("twin")
+        .withColumn("block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+        .withColumn("copy", F.explode(F.expr(f"sequence(1L, least({COPIES}L, copies - block * {COPIES}))")))
     )
+    return each.drop("twin", "copies", "block", "copy")
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +197,7 @@ word AS (
   SELECT doc_id, i AS position, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram
   FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM word)
 ), vote AS (
-  SELECT doc_id, template, label, base, grams, position - place AS diagonal, bit_or((1::BIGINT) << place) AS mask, count(*) AS votes, min(position) AS low
+  SELECT doc_id, template, label, base, grams, position - place AS diagonal, list(DISTINCT place) AS places, count(*) AS votes, min(position) AS low
   FROM gram JOIN template USING (gram) GROUP BY ALL
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(low) AS first_word, max(low) AS last_word,
@@ -181,7 +209,7 @@ word AS (
 ), span AS (
   SELECT *, sum(jump) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM jump
 ), notice AS (
-  SELECT doc_id, label, least(1.0::DOUBLE, bit_count(bit_or(mask))::DOUBLE / grams) AS share
+  SELECT doc_id, label, len(list_distinct(flatten(list(places))))::DOUBLE / grams AS share
   FROM span GROUP BY doc_id, template, label, grams, span
 ), noticed AS (
   SELECT doc_id, list(label) AS found, max(share) AS share FROM notice WHERE share >= {COVERAGE} GROUP BY doc_id

@@ -96,6 +96,29 @@ def test_licenses_against_brute_force(spark):
     assert got[len(AWKWARD) + 1]["labels"] == "bsd"
 
 
+def test_licenses_of_whole_notices_and_repeated_rows(spark):
+    """A notice longer than a mask is scanned whole; rows that repeat come back each."""
+    whole = next(text for label, text in licenses.NOTICES if label == "bsd" and len(text.split()) > 200).split()
+    most, half = " ".join(whole), " ".join(whole[70:170])
+    docs = docs_of(spark, [most, half, "nothing of it", "nothing of it", "nothing of it", most], [1, 2, 3, 3, None, 1])
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["labels"], round(r["score"], 3)) for r in licenses.licenses(docs).collect())
+    n = len(whole)
+    assert got == [(-1, 3, "", 0.0), (1, n, "bsd", 1.0), (1, n, "bsd", 1.0), (2, 100, "", 0.0), (3, 3, "", 0.0), (3, 3, "", 0.0)]
+    share = (n - 60 - 2) / (n - 2)  # the first 60 words are missing, so their 3-grams are too
+    only = licenses.licenses(docs_of(spark, ["x " * 7 + " ".join(whole[60:])]), notices=(("whole", most),)).first()
+    assert only["labels"] == "whole" and only["score"] == pytest.approx(share)
+
+
+def test_licenses_by_sql_on_whole_notices(spark):
+    """The SQL agrees where masks have several parts."""
+    texts = [t for _, t in licenses.NOTICES] + [" ".join(t.split()[5:]) for _, t in licenses.NOTICES] + [t.replace(" the ", " any of the ") for _, t in licenses.NOTICES]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = sorted(map(tuple, con.execute(licenses.LICENSE_SQL).fetchall()), key=repr)
+    assert sorted(map(tuple, licenses.licenses(docs_of(spark, texts)).collect()), key=repr) == want
+
+
 def duck(sql):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
@@ -326,9 +349,27 @@ def test_ann_recall_and_exclusions(spark):
     assert set(found["query_id"]) == set(range(0, 3000, 20))
     assert (found.groupby("query_id")["rank"].apply(list).apply(lambda r: r == list(range(1, 21)))).all()
     assert ann.recall(found, np.arange(3000), x.astype(np.float64)) >= 0.9
-    # The query's copies are its nearest; ties go to the smaller id, the query itself is left out.
-    if (x[20].astype(float) @ x.astype(float).T).argmax() == 20:
-        assert found[found["query_id"] == 20].sort_values("rank")["vec_id"].tolist() == list(range(100, 120))
+
+
+def test_ann_ties_go_to_the_smaller_id(spark):
+    x = np.random.default_rng(4).standard_normal((400, 16))
+    x[20] *= 3  # longer than the others, so its copies are its nearest
+    x[100:160] = x[20]
+    found = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    assert found[found["query_id"] == 20].sort_values("rank")["vec_id"].tolist() == list(range(100, 120))
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_ann_recall_on_the_given_tables(spark, size):
+    """The registered query at its own settings, against brute force over all vectors."""
+    table = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    found = ann.op4_hash_prefix_forest(spark, f"/root/testdata/{size}").toPandas()
+    ids, vectors = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(np.float64)
+    assert set(found["query_id"]) == {int(i) for i in ids if i % 20 == 0}
+    place = {int(i): n for n, i in enumerate(ids)}
+    exact = np.einsum("ij,ij->i", vectors[[place[i] for i in found["query_id"]]], vectors[[place[i] for i in found["vec_id"]]])
+    assert np.allclose(found["score"], exact, rtol=0, atol=1e-12)
+    assert ann.recall(found, ids, vectors) >= 0.9
 
 
 def test_ann_of_nothing_and_of_few(spark):

@@ -1,6 +1,8 @@
 """Each stage of the pipeline on its own input, and the whole of it."""
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
 
@@ -17,3 +19,56 @@ def test_stages_keep_the_columns_and_the_clean(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == names, name
     assert corpus_pipeline.run(spark, DIR).count() == rows
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the stages use themselves.
+CLASHING = (
+    "_starts", "_out", "row", "out", "runs", "low", "high", "doc", "twin", "windows", "kept_text", "n_lines", "n_removed", "n_runs", "features", "score", "margin", "probability", "prediction",
+    "rawPrediction", "fingerprint", "label", "root", "top", "node", "head", "band", "block", "shingles", "item_id", "toxic", "text_a",
+)
+LONG = "word " * 60
+FILTERS = corpus_pipeline.STAGES[:-1]
+
+
+def awkward(spark):
+    """Null ids, repeated rows and ids, null, empty and long texts, ties."""
+    texts = [(1, "alpha beta\ngamma delta"), (1, "alpha beta\ngamma delta"), (2, "alpha beta\ngamma delta"), (2, "quite another text"), (None, "a row without an id"), (None, None), (3, None), (4, ""), (5, "\n\n\n"), (6, LONG * 400), (7, LONG), (8, LONG)]
+    return spark.createDataFrame([(i, t, None if i == 4 else "en", None, None if t is None else len(t)) for i, t in texts], SCHEMA)
+
+
+@pytest.mark.parametrize(("name", "stage"), FILTERS, ids=[name for name, _ in FILTERS])
+def test_stages_on_awkward_rows(spark, name, stage):
+    """No new rows; other columns come back as they were, whatever their names; an empty table stays empty."""
+    docs = awkward(spark).withColumns({c: F.lit(77) for c in CLASHING})
+    out = stage(spark, docs, DIR)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert 0 < len(rows) <= docs.count()
+    assert all(r[c] == 77 for r in rows for c in CLASHING)
+    kept = {(r["doc_id"], r["lang"], r["source"]) for r in rows}
+    assert kept <= {(r["doc_id"], r["lang"], r["source"]) for r in docs.collect()}
+    # A text that nothing resembles, and rows without text, stay in every stage.
+    assert {(None, "a row without an id"), (2, "quite another text"), (3, None)} <= {(r["doc_id"], r["text"]) for r in rows}
+    assert stage(spark, docs.limit(0), DIR).count() == 0
+    without = docs.select("text", "doc_id")
+    assert stage(spark, without, DIR).columns == ["text", "doc_id"]
+
+
+def test_line_dedup_and_near_duplicates_on_awkward_rows(spark):
+    docs = awkward(spark)
+    cut = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in corpus_pipeline.line_dedup(spark, docs, DIR).collect())
+    assert len(cut) == docs.count()
+    # The row of doc_id 2 loses what stands in 1; rows equal in doc_id and text keep theirs alike.
+    assert [t for i, t in cut if i in (1, 2)] == ["alpha beta\ngamma delta"] * 2 + ["", "quite another text"]
+    assert [t for i, t in cut if i in (7, 8)] == [LONG, ""]
+    ids = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()]
+    # Of the two like texts the smaller doc_id stays, and so does every row without one.
+    assert ids.count(7) + ids.count(8) <= 1 and ids.count(None) == 2 and ids.count(1) == 2
+
+
+def test_last_stage_on_awkward_rows(spark):
+    _, stage = corpus_pipeline.STAGES[-1]
+    docs = awkward(spark).withColumns({c: F.lit(77) for c in ("ids", "token_ids", "n_tokens")})
+    assert stage(spark, docs, DIR).count() == docs.count()
+    assert stage(spark, docs.limit(0), DIR).count() == 0
