@@ -8,7 +8,8 @@ shuffle.  Values are null until there is enough history.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -98,9 +99,12 @@ def _smooth(x: np.ndarray, begin: int, seed: float, decay: float, gain: float) -
     """y[begin] = seed; y[i] = decay * y[i-1] + gain * x[i]; NaN before."""
     y = np.full(len(x), np.nan)
     if begin < len(x):
-        y[begin] = now = seed
-        for i in range(begin + 1, len(x)):
-            y[i] = now = decay * now + gain * x[i]
+        now = float(seed)
+        out = [now]
+        for value in x[begin + 1 :].tolist():
+            now = decay * now + gain * value
+            out.append(now)
+        y[begin:] = out
     return y
 
 
@@ -148,16 +152,20 @@ def recurrences(close: np.ndarray, tr: np.ndarray, pdm: np.ndarray, mdm: np.ndar
 
 
 def recursive_indicators(frames: DataFrame) -> DataFrame:
-    """Frames with EMA, MACD, RSI, ATR and ADX added, one pass per symbol."""
+    """Frames with EMA, MACD, RSI, ATR and ADX added, one pass per symbol.
+
+    Columns that the recurrences don't read pass through as Arrow arrays.
+    """
     schema = StructType([*frames.schema.fields, *[StructField(c, DoubleType()) for c in RECURRENT]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date", kind="stable")
-        values = [pdf[c].fillna(0.0).to_numpy(float) for c in ("close", "true_range", "plus_dm", "minus_dm")]
-        new = pd.DataFrame({k: pd.Series(v, index=pdf.index) for k, v in recurrences(*values).items()})
-        return pd.concat([pdf, new.astype(object).where(new.notna(), None)], axis=1)
+    def run(bars: pa.Table) -> pa.Table:
+        bars = bars.sort_by("trade_date")
+        values = [pc.fill_null(pc.cast(bars.column(c), pa.float64()), 0.0).to_numpy() for c in ("close", "true_range", "plus_dm", "minus_dm")]
+        for name, value in recurrences(*values).items():
+            bars = bars.append_column(name, pa.array(value, mask=np.isnan(value)))
+        return bars
 
-    return frames.groupBy("symbol").applyInPandas(run, schema)
+    return frames.groupBy("symbol").applyInArrow(run, schema)
 
 
 def technical(bars: DataFrame) -> DataFrame:
@@ -231,42 +239,58 @@ def fibonacci(high: Column, low: Column, down: bool = False) -> dict[str, Column
     return {f"fib_{round(r * 1000)}": high - r * (high - low) if down else low + r * (high - low) for r in levels}
 
 
-def blocked_ema(bars: DataFrame, n: int, block: int = 100_000) -> DataFrame:
+def blocked_ema(bars: DataFrame, n: int, block: int = 365) -> DataFrame:
     """EMA of series too long for one task, by prefix-combining affine maps.
 
-    Each block of a symbol is one map y -> a * y + b; the few maps of a symbol
-    are combined in order, and each block is then run from its own start.
+    A block is a symbol's rows of ``block`` days.  Its first row number follows
+    from the counts of the blocks before it, so no task sees a whole series.
+    Each block is one map y -> a * y + b; the few maps of a symbol are combined
+    in order, and each block is then run from its own start.  The seed is the
+    average of the first ``n`` rows, which lie in at most ``n`` blocks.
     """
-    numbered = bars.withColumn("_i", F.row_number().over(series()) - 1).withColumn("_block", F.expr(f"_i div {block}"))
-    alpha = 2.0 / (n + 1)
-    seed = F.avg("close").over(last_rows(n))
-    x = numbered.withColumn("_x", F.when(F.col("_i") == n - 1, seed).otherwise(F.col("close"))).where(F.col("_i") >= n - 1)
-
-    def one_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
+    alpha, blocks = 2.0 / (n + 1), Window.partitionBy("symbol").orderBy("_block")
+    x = bars.select("symbol", "trade_date", F.col("close").cast("double").alias("close"), F.floor(F.unix_date(F.to_date("trade_date")) / block).alias("_block"))
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy("symbol", "_block").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = x.join(counts, ["symbol", "_block"])
+    first = numbered.where(F.col("_base") < n).withColumn("_i", F.row_number().over(series())).where(F.col("_i") <= n)
+    seeds = first.groupBy("symbol").agg(F.sum("close").alias("_sum"), F.count("*").alias("_n")).where(F.col("_n") == n).select("symbol", (F.col("_sum") / n).alias("_seed"))
+    ready = numbered.join(seeds, "symbol")
+
+    def rows_of(block: pa.Table) -> tuple[pa.Table, list[float], int]:
+        """The block in order, its closes from row n - 1 on (the seed for that one), and that row's place or one below zero."""
+        block = block.sort_by("trade_date")
+        base, seed = block.column("_base")[0].as_py(), block.column("_seed")[0].as_py()
+        at = n - 1 - base
+        block = block.slice(max(0, at))
+        closes = block.column("close").to_pylist()
+        if closes and at >= 0:
+            closes[0] = seed
+        return block, closes, at
+
+    def one_map(key: tuple, block: pa.Table) -> pa.Table:
+        _, closes, at = rows_of(block)
         a, b = 1.0, 0.0
-        for i, v in zip(pdf["_i"], pdf["_x"], strict=True):
-            a, b = (0.0, v) if i == n - 1 else (a * (1 - alpha), b * (1 - alpha) + alpha * v)
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "a": [a], "b": [b]})
-
-    maps = x.select("symbol", "_block", "_i", "_x").groupBy("symbol", "_block").applyInPandas(one_map, "symbol string, _block long, a double, b double")
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        begins, y = [], 0.0
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            begins.append(y)
+        for i, v in enumerate(closes):
+            a, b = (0.0, v) if i == 0 and at >= 0 else (a * (1 - alpha), b + (v - b) * alpha)
+        return pa.table({"symbol": [key[0].as_py()], "_block": [key[1].as_py()], "a": [a], "b": [b]})
+
+    def combine(key: tuple, maps: pa.Table) -> pa.Table:
+        maps, starts, y = maps.sort_by("_block"), [], 0.0
+        for a, b in zip(maps.column("a").to_pylist(), maps.column("b").to_pylist(), strict=True):
+            starts.append(y)
             y = a * y + b
-        return pdf[["symbol", "_block"]].assign(_start=begins)
-
-    starts = maps.groupBy("symbol").applyInPandas(combine, "symbol string, _block long, _start double")
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        y, out = pdf["_start"].iloc[0], []
-        for i, v in zip(pdf["_i"], pdf["_x"], strict=True):
-            y = v if i == n - 1 else y + (v - y) * alpha
+        return maps.select(["symbol", "_block"]).append_column("_start", pa.array(starts, pa.float64()))
+
+    def run(key: tuple, block: pa.Table) -> pa.Table:
+        y = block.column("_start")[0].as_py()
+        block, closes, at = rows_of(block)
+        out = []
+        for i, v in enumerate(closes):
+            y = v if i == 0 and at >= 0 else y + (v - y) * alpha
             out.append(y)
-        return pdf[["symbol", "trade_date"]].assign(ema=out)
+        return block.select(["symbol", "trade_date"]).append_column("ema", pa.array(out, pa.float64()))
 
-    return x.select("symbol", "trade_date", "_block", "_i", "_x").join(starts, ["symbol", "_block"]).groupBy("symbol", "_block").applyInPandas(apply, "symbol string, trade_date date, ema double")
+    maps = ready.groupBy("symbol", "_block").applyInArrow(one_map, "symbol string, _block long, a double, b double")
+    starts = maps.groupBy("symbol").applyInArrow(combine, "symbol string, _block long, _start double")
+    return ready.join(starts, ["symbol", "_block"]).groupBy("symbol", "_block").applyInArrow(run, StructType([bars.schema["symbol"], bars.schema["trade_date"], StructField("ema", DoubleType())]))

@@ -225,6 +225,6 @@ def insights(df: DataFrame) -> DataFrame:
     found = F.array(
         F.when(F.array_contains("signals", "RSI_OVERSOLD"), "RSI is oversold"),
         F.when(_c("rumour_mentions") > 0, "Rumours on social media"),
-        F.when(_c("action_confidence") > 0.8, F.format_string("High confidence (%.1f%%)", _c("action_confidence") * 100)),
+        F.when(_c("action_confidence") > 0.8, F.format_string("High confidence (%.1f%%)", F.round(_c("action_confidence") * 100, 6))),
     )
     return df.withColumn("insights", F.array_compact(found))

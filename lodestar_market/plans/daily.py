@@ -16,7 +16,7 @@ from ..sources import files
 from ..streaming import jobs as J
 from .news import HOT, MENTIONED, hot
 from .tables import BARS, SUBSCRIPTIONS, TECHNICAL, TEXTS, bars, events, read, subscriptions, symbol_of, symbol_sql, texts
-from .technical import OVERVIEW
+from .technical import LABEL, OVERVIEW, SURE, score_sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -33,12 +33,10 @@ def query(name: str, sql: str | None = None):
 
 
 def snapshots(spark, d) -> DataFrame:
-    """Per symbol and month: last close, band, range-based volatility, direction of the month."""
-    return (
-        I.frame_indicators(bars(spark, d)).where("sma_20 is not null").withColumn("month", F.to_date(F.date_trunc("month", "trade_date")))
-        .groupBy("symbol", "month")
-        .agg(*[F.max_by(c, "trade_date").alias(c) for c in ("close", "sma_20", "bb_upper", "atr_simple", "rsi_simple")], F.max("trade_date").alias("trade_date"))
-    )
+    """Per symbol and month: the indicators of its last day, and what they recommend."""
+    shown = I.technical(bars(spark, d)).where("sma_20 is not null").withColumn("month", F.to_date(F.date_trunc("month", "trade_date")))
+    last = shown.groupBy("symbol", "month").agg(F.max_by(F.struct(*[c for c in shown.columns if c not in ("symbol", "month")]), "trade_date").alias("s"))
+    return S.recommend(last.select("symbol", "month", "s.*"))
 
 
 def opinions(spark, d) -> DataFrame:
@@ -60,10 +58,9 @@ def context(spark, d) -> DataFrame:
 
 
 def synthesis(spark, d) -> DataFrame:
-    """Technical and sentiment by (symbol, month), context by month; a missing side is neutral."""
+    """Recommendation and sentiment by (symbol, month), context by month; a missing side is neutral."""
     both = snapshots(spark, d).join(opinions(spark, d), ["symbol", "month"], "full_outer").join(context(spark, d), "month", "left")
-    label = F.when(F.col("rsi_simple") < 45, "BUY").when(F.col("rsi_simple") > 55, "SELL").otherwise("HOLD")
-    sure = F.coalesce(F.abs(F.col("rsi_simple") - 50) / 50, F.lit(0.0))
+    label, sure = F.coalesce("recommendation", F.lit("HOLD")), F.coalesce(F.col("confidence") / 100, F.lit(0.0))
     return both.withColumns(
         {
             "recommendation": label,
@@ -76,28 +73,26 @@ def synthesis(spark, d) -> DataFrame:
 
 
 def judged(spark, d) -> DataFrame:
-    risk = S.risk_level(S.volatility(F.col("atr_simple"), F.col("close")), F.col("negative_ratio"), F.col("rumour_mentions") > 5)
+    risk = S.risk_level(S.volatility(F.col("atr_14"), F.col("close")), F.col("negative_ratio"), F.col("rumour_mentions") > 5)
     return S.forecast(synthesis(spark, d)).withColumn("risk", risk)
 
 
 SYNTH = (
-    BARS
-    + f""", {OVERVIEW}, s0 AS (
-  SELECT *, row_number() OVER s AS rn, avg(close) OVER w20 AS a20, stddev_pop(close) OVER w20 AS sd, close - lag(close) OVER s AS ch,
-         coalesce(greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)), high - low) AS tr
-  FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY trade_date), w20 AS (PARTITION BY symbol ORDER BY trade_date ROWS 19 PRECEDING)
-), s1 AS (SELECT *, sum(greatest(ch, 0)) OVER w AS g, sum(greatest(-ch, 0)) OVER w AS o, sum(tr) OVER w / 14 AS atr FROM s0 WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS 13 PRECEDING)
-), shot AS (SELECT symbol, date_trunc('month', trade_date)::DATE AS month, arg_max(close, trade_date) AS close, arg_max(a20 + 2 * sd, trade_date) AS bb_upper, arg_max(atr, trade_date) AS atr,
-  arg_max(CASE WHEN o = 0 THEN 100 ELSE 100 * g / nullif(g + o, 0) END, trade_date) AS rsi FROM s1 WHERE rn >= 20 GROUP BY 1, 2
+    TECHNICAL
+    + f""", {OVERVIEW}, shot AS (
+  SELECT *, date_trunc('month', trade_date)::DATE AS month FROM technical WHERE sma_20 IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY symbol, date_trunc('month', trade_date) ORDER BY trade_date DESC) = 1
+), marked AS (SELECT *, {score_sql(False)} AS score FROM shot
+), told AS (SELECT symbol, month, close, atr_14 AS atr, rsi_14 AS rsi, rsi_simple, {LABEL} AS label, {SURE} / 200 AS half FROM marked
 ), opinion AS (SELECT {symbol_sql("l_suppkey")} AS symbol, date_trunc('month', o_orderdate)::DATE AS month, avg(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS pos,
   avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS neg, count(*) FILTER (WHERE l_returnflag = 'R') AS rum FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
 ), flow AS (SELECT CAST(l_shipdate AS DATE) AS trade_date, sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END) AS net FROM lineitem GROUP BY 1
 ), ctx AS (SELECT date_trunc('month', trade_date)::DATE AS month, arg_max(index_change, trade_date) AS ic, arg_max(market_volume_ratio, trade_date) AS vr, arg_max(net, trade_date) AS net
   FROM overview LEFT JOIN flow USING (trade_date) GROUP BY 1
-), syn AS (SELECT symbol, month, close, bb_upper, atr, rsi, neg, coalesce(rum, 0) AS rum, CASE WHEN rsi < 45 THEN 'BUY' WHEN rsi > 55 THEN 'SELL' ELSE 'HOLD' END AS recommendation,
-  greatest(0::DOUBLE, least(1::DOUBLE, 0.5 + CASE WHEN rsi < 45 THEN abs(rsi - 50) / 100 WHEN rsi > 55 THEN -abs(rsi - 50) / 100 ELSE 0 END)) AS tech, coalesce((pos - neg + 1) / 2, 0.5) AS sent,
+), syn AS (SELECT symbol, month, close, atr, rsi, rsi_simple, neg, coalesce(rum, 0) AS rum, coalesce(label, 'HOLD') AS recommendation,
+  greatest(0::DOUBLE, least(1::DOUBLE, 0.5 + CASE WHEN label LIKE '%BUY' THEN half WHEN label LIKE '%SELL' THEN -half ELSE 0 END)) AS tech, coalesce((pos - neg + 1) / 2, 0.5) AS sent,
   greatest(0::DOUBLE, least(1::DOUBLE, 0.5::DOUBLE + CASE WHEN coalesce(ic, 0) > 0 THEN 0.2 WHEN coalesce(ic, 0) < -1 THEN -0.2 ELSE 0 END + CASE WHEN vr > 1.2 THEN 0.1 ELSE 0 END + CASE WHEN net > 0 THEN 0.15 ELSE 0 END)) AS market
-  FROM shot FULL JOIN opinion USING (symbol, month) LEFT JOIN ctx USING (month)
+  FROM told FULL JOIN opinion USING (symbol, month) LEFT JOIN ctx USING (month)
 ), fin AS (SELECT *, round(0.4::DOUBLE * tech + 0.3::DOUBLE * sent + 0.3::DOUBLE * market, 9) AS final FROM syn
 ), judged AS (SELECT *, CASE WHEN final >= 0.7 THEN 'STRONG_BUY' WHEN final >= 0.55 THEN 'BUY' WHEN final >= 0.45 THEN 'HOLD' WHEN final >= 0.3 THEN 'SELL' ELSE 'STRONG_SELL' END AS action,
   CASE WHEN final >= 0.55 THEN final WHEN final >= 0.45 THEN 0.6 ELSE 1 - final END AS sure,
@@ -131,7 +126,7 @@ def c8_reasons(spark, d):
 
 @query("c9_risk_level", f"WITH {SYNTH} SELECT symbol, month, risk, CASE WHEN atr / close > 0.05 OR neg > 0.5 OR rum > 5 THEN 'HIGH' WHEN atr / close > 0.03 OR neg > 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_by_thresholds FROM judged")
 def c9(spark, d):
-    other = S.risk_by_thresholds(F.col("atr_simple") / F.col("close"), F.col("negative_ratio"), F.col("rumour_mentions") > 5)
+    other = S.risk_by_thresholds(F.col("atr_14") / F.col("close"), F.col("negative_ratio"), F.col("rumour_mentions") > 5)
     return judged(spark, d).select("symbol", "month", "risk", other.alias("risk_by_thresholds"))
 
 
@@ -144,13 +139,22 @@ def c11(spark, d):
     return S.alerts(judged(spark, d)).select("symbol", "month", "alert_type")
 
 
+_INSIGHTS = """list_filter([CASE WHEN rsi < 30 THEN 'RSI is oversold' END, CASE WHEN rum > 0 THEN 'Rumours on social media' END,
+  CASE WHEN sure > 0.8 THEN 'High confidence (' || CAST(CAST(round(sure * 100, 6) AS DECIMAL(18, 6)) AS DECIMAL(18, 1)) || '%)' END], lambda x: x IS NOT NULL)"""
+
+
+def _insights(spark, d) -> DataFrame:
+    """Insights per symbol and month; a month without bars has no signals."""
+    return S.insights(judged(spark, d).withColumn("signals", F.coalesce("signals", F.array().cast("array<string>"))))
+
+
 @query("c12_insights", f"WITH {SYNTH} SELECT symbol, month, CAST((rum > 0)::INT + (sure > 0.8)::INT AS INTEGER) AS n FROM judged")
 def c12(spark, d):
     out = S.insights(judged(spark, d).withColumn("signals", F.array().cast("array<string>")))
     return out.select("symbol", "month", F.size("insights").alias("n"))
 
 
-@query("c12b_insights_of_all_rules", f"WITH {SYNTH} SELECT symbol, month, CAST((coalesce(rsi, 50) < 30)::INT + (rum > 0)::INT + (sure > 0.8)::INT AS INTEGER) AS n FROM judged")
+@query("c12b_insights_of_all_rules", f"WITH {SYNTH} SELECT symbol, month, CAST((coalesce(rsi_simple, 50) < 30)::INT + (rum > 0)::INT + (sure > 0.8)::INT AS INTEGER) AS n FROM judged")
 def c12b(spark, d):
     """As c12, which has no signals, with those of the month's last day: all three rules can fire."""
     signals = F.array_compact(F.array(F.when(F.col("rsi_simple") < 30, "RSI_OVERSOLD")))
@@ -158,9 +162,15 @@ def c12b(spark, d):
     return out.select("symbol", "month", F.size("insights").alias("n"))
 
 
-@query("k2_ranked_recommendations", f"WITH {SYNTH} SELECT month, symbol, action, row_number() OVER (PARTITION BY month ORDER BY round(sure, 6) DESC, symbol) AS rank FROM judged QUALIFY rank <= 3")
+@query("c12c_insight_texts", f"WITH {SYNTH} SELECT symbol, month, array_to_string({_INSIGHTS}, '; ') AS insights FROM judged")
+def c12c(spark, d):
+    return _insights(spark, d).select("symbol", "month", F.array_join("insights", "; ").alias("insights"))
+
+
+@query("k2_ranked_recommendations", f"WITH {SYNTH} SELECT month, symbol, action, {_INSIGHTS}[1] AS key_reason, row_number() OVER (PARTITION BY month ORDER BY round(sure, 6) DESC, symbol) AS rank FROM judged QUALIFY rank <= 3")
 def k2(spark, d):
-    return R.top_per(judged(spark, d), ["month"], [F.desc(F.round("action_confidence", 6)), "symbol"], 3).select("month", "symbol", "action", "rank")
+    top = R.top_per(_insights(spark, d), ["month"], [F.desc(F.round("action_confidence", 6)), "symbol"], 3)
+    return top.select("month", "symbol", "action", F.get("insights", F.lit(0)).alias("key_reason"), "rank")
 
 
 @query("j6_alert_fan_out", f"WITH {SYNTH}, {ALERTS}, {SUBSCRIPTIONS} SELECT alert.symbol, month, alert_type, count(*) AS users FROM alert JOIN subs ON alert.symbol = subs.symbol AND is_active AND list_contains(alert_types, alert_type) GROUP BY ALL")

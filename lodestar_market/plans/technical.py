@@ -226,7 +226,7 @@ def snapshot(spark, d) -> DataFrame:
     return I.latest(I.recursive_indicators(frames))
 
 
-def _score_sql(service: bool) -> str:
+def score_sql(service: bool) -> str:
     scored = "rsi_14 > 0" if service else "rsi_14 IS NOT NULL"
     ratio = "volume_ratio_prev" if service else "volume_ratio"
     up, down = ("macd_line > macd_signal", "macd_line < macd_signal") if service else (CROSS.split(" THEN ")[0].removeprefix("CASE WHEN "), CROSS.split("WHEN ")[2].split(" THEN ")[0])
@@ -240,7 +240,7 @@ def _score_sql(service: bool) -> str:
 
 LABEL = "CASE WHEN score >= 4 THEN 'STRONG_BUY' WHEN score >= 2 THEN 'BUY' WHEN score >= -2 THEN 'HOLD' WHEN score >= -4 THEN 'SELL' ELSE 'STRONG_SELL' END"
 SURE = "CAST(CASE WHEN score >= 4 THEN least(95, 70 + (score - 4) * 5) WHEN score >= 2 THEN least(85, 60 + (score - 2) * 5) WHEN score >= -2 THEN 50 + abs(score) * 5 WHEN score >= -4 THEN least(85, 60 + abs(score + 2) * 5) ELSE least(95, 70 + abs(score + 4) * 5) END AS DOUBLE)"
-SCORED = f"scored AS (SELECT *, {_score_sql(False)} AS score FROM snap), recommended AS (SELECT *, {LABEL} AS recommendation, {SURE} AS confidence FROM scored)"
+SCORED = f"scored AS (SELECT *, {score_sql(False)} AS score FROM snap), recommended AS (SELECT *, {LABEL} AS recommendation, {SURE} AS confidence FROM scored)"
 
 
 def recommended(spark, d) -> DataFrame:
@@ -252,7 +252,7 @@ def c1(spark, d):
     return recommended(spark, d).select(*KEY, "score")
 
 
-@query("c1_additive_score_service", f"WITH {TECHNICAL} SELECT symbol, trade_date, {_score_sql(True)} AS score FROM snap")
+@query("c1_additive_score_service", f"WITH {TECHNICAL} SELECT symbol, trade_date, {score_sql(True)} AS score FROM snap")
 def c1_service(spark, d):
     return S.additive_score(snapshot(spark, d), parity="service", macd_rule="state").select(*KEY, "score")
 
