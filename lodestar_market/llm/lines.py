@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,6 +32,8 @@ from ._shared import table
 RUN = 2
 #: Words that make a line long enough to go alone (``op3_long_lines`` and the pipeline).
 LONG_WORDS = 50
+#: Texts that are Python objects at a time.
+SLICE = 200
 #: Stands for a doc_id that is null: before all others.
 NO_ID = -(1 << 63)
 
@@ -80,8 +81,8 @@ def fingerprints(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFr
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 texts = [t.encode().split(b"\n") for t in part.column("text").to_pylist()]
                 counts = np.array([len(t) for t in texts])
                 lines = [line for t in texts for line in t]
@@ -130,16 +131,18 @@ def repeated_runs(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataF
 
 
 def without_repeats(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
-    """row (all columns of ``docs``), text, kept_text, n_lines, n_removed and n_runs of each row."""
+    """row (all columns of ``docs``), kept_text, n_lines, n_removed and n_runs of each row."""
     gone = repeated_runs(docs, run, long_words).groupBy("doc", "twin").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *_key(docs)).join(gone, ["doc", "twin"], "left")
+    # The text travels in its row only, once.
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs)).join(gone, ["doc", "twin"], "left")
     # Only texts that lose lines are sent to Python.
-    out = joined.withColumn("out", F.pandas_udf(_without_runs, "kept string, n_removed long, n_runs long")(F.when(F.col("runs").isNotNull(), F.col("text")), "runs.low", "runs.high"))
+    text = F.col("row.text")
+    cut_out = F.arrow_udf(_without_runs, "kept string, n_removed long, n_runs long")
+    out = joined.withColumn("out", cut_out(F.when(F.col("runs").isNotNull(), text), "runs.low", "runs.high"))
     return out.select(
         "row",
-        "text",
-        F.when(F.col("runs").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.col("out.kept")).alias("kept_text"),
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.when(F.col("runs").isNull() | text.isNull(), text).otherwise(F.col("out.kept")).alias("kept_text"),
+        F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long").alias("n_lines"),
         F.coalesce("out.n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("out.n_runs", F.lit(0)).cast("long").alias("n_runs"),
     )
@@ -172,20 +175,29 @@ def cut_lines(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame
     return without_repeats(docs, run, long_words).select(*columns)
 
 
-def _without_runs(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
-    """Drop the lines from each low to its high."""
-    out = []
-    for text, low, high in zip(texts, lows, highs, strict=True):
-        if low is None or text is None:
-            out.append((None, 0, 0))
-            continue
-        lines = text.split("\n")
-        keep = np.ones(len(lines), dtype=bool)
-        for a, b in zip(low, high, strict=True):
-            keep[a : b + 1] = False
-        before = np.append(True, keep[:-1])
-        out.append(("\n".join(line for line, k in zip(lines, keep, strict=True) if k), int((~keep).sum()), int((before & ~keep).sum())))
-    return pd.DataFrame(out, columns=["kept", "n_removed", "n_runs"])
+def _without_runs(texts: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
+    """Drop the lines from each low to its high; a few texts at a time leave Arrow's memory, as bytes."""
+    out, kind = [], pa.struct([("kept", pa.string()), ("n_removed", pa.int64()), ("n_runs", pa.int64())])
+    for at in range(0, len(texts), SLICE):
+        kept, n_removed, n_runs = [], [], []
+        for text, low, high in zip(texts.slice(at, SLICE).cast(pa.binary()), lows.slice(at, SLICE), highs.slice(at, SLICE), strict=True):
+            if not low.is_valid or not text.is_valid:
+                kept.append(None)
+                n_removed.append(0)
+                n_runs.append(0)
+                continue
+            lines = text.as_py().split(b"\n")
+            keep = np.ones(len(lines), dtype=bool)
+            for a, b in zip(low.values.to_pylist(), high.values.to_pylist(), strict=True):
+                keep[a : b + 1] = False
+            before = np.append(True, keep[:-1])
+            kept.append(b"\n".join([lines[i] for i in np.flatnonzero(keep)]))
+            n_removed.append(int((~keep).sum()))
+            n_runs.append(int((before & ~keep).sum()))
+        # What goes is cut at line feeds, so the bytes stay valid UTF-8.
+        made = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_removed, pa.int64()), pa.array(n_runs, pa.int64())]
+        out.append(pa.StructArray.from_arrays(made, fields=list(kind)))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
 
 
 def op3_lines(spark, sf_dir: str) -> DataFrame:
