@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op4_hash_prefix_forest
 from .byte_pairs import op8_byte_pairs
+from .collocations import COLLOCATIONS_SQL, op11_collocations
 from .decontamination import op9_decontamination
 from .licenses import LICENSE_SQL, op1_licenses
 from .lines import LINES_SQL, LONG_LINES_SQL, op3_lines, op3_long_lines
@@ -33,8 +34,14 @@ def queries() -> dict[str, Query]:
         "op8_byte_pairs": op8_byte_pairs,
         "op9_decontamination": op9_decontamination,
         "op10_suffixes": op10_suffixes,
+        "op11_collocations": op11_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": LICENSE_SQL, "op3_lines": LINES_SQL, "op3_long_lines": LONG_LINES_SQL}
+    return {
+        "op1_licenses": LICENSE_SQL,
+        "op3_lines": LINES_SQL,
+        "op3_long_lines": LONG_LINES_SQL,
+        "op11_collocations": COLLOCATIONS_SQL,
+    }

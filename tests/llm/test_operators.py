@@ -17,28 +17,12 @@ import tiktoken
 import xxhash
 
 from lodestar_market.llm import ann, byte_pairs, decontamination, licenses, lines, near_duplicates, sharding, suffixes, token_shards, toxicity
+from tests.llm.awkward import AWKWARD
 
 DIR = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
-AWKWARD = [
-    "",
-    None,
-    " ",
-    "\n\n\n",
-    "a",
-    "x" * 5000,
-    "ab " * 4000,
-    "no blanks here" * 300,
-    "Under the MIT license. Under the  MIT-license! apache license version 2.0 cc-by-nc cc by nc",
-    "tab\tand\x00nul\x1cseparators wide   spaces  end ",
-    "日本語のテキスト" * 40,
-    "naïve café ÀÉÎ\nline\nline\nline\nline",
-    "naïve café ÀÉÎ\nline\nline\nline\nline",
-    "'s 't 're I'll don't 12345 !!! ???\r\n\r\n  x",
-]
-
 
 def docs_of(spark, texts, ids=None):
     ids = list(range(len(texts))) if ids is None else ids
