@@ -10,6 +10,7 @@ from .ann import op4_hash_prefix_forest
 from .byte_pairs import op8_byte_pairs
 from .collocations import COLLOCATIONS_SQL, op11_collocations
 from .decontamination import op9_decontamination
+from .hard_negatives import NEGATIVES_SQL, op12_hard_negatives
 from .licenses import LICENSE_SQL, op1_licenses
 from .lines import LINES_SQL, LONG_LINES_SQL, op3_lines, op3_long_lines
 from .near_duplicates import op2_simhash
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op9_decontamination": op9_decontamination,
         "op10_suffixes": op10_suffixes,
         "op11_collocations": op11_collocations,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
@@ -44,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_lines": LINES_SQL,
         "op3_long_lines": LONG_LINES_SQL,
         "op11_collocations": COLLOCATIONS_SQL,
+        "op12_hard_negatives": NEGATIVES_SQL,
     }
