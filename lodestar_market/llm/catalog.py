@@ -11,6 +11,7 @@ from .byte_pairs import op8_byte_pairs
 from .collocations import COLLOCATIONS_SQL, op11_collocations
 from .decontamination import op9_decontamination
 from .hard_negatives import NEGATIVES_SQL, op12_hard_negatives
+from .html_text import op13_main_text
 from .licenses import LICENSE_SQL, op1_licenses
 from .lines import LINES_SQL, LONG_LINES_SQL, op3_lines, op3_long_lines
 from .near_duplicates import op2_simhash
@@ -37,6 +38,7 @@ def queries() -> dict[str, Query]:
         "op10_suffixes": op10_suffixes,
         "op11_collocations": op11_collocations,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_main_text": op13_main_text,
     }
 
 
