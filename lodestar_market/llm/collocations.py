@@ -36,9 +36,11 @@ SHARDS = 4
 #: Bits of the set that carries the candidates: 8 MB, whatever the input.
 SET_BITS = 1 << 26
 #: Bytes of text that are arrays at a time.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Counts that a task holds before it hands them on.
-HELD = 1 << 22
+HELD = 1 << 21
+#: Texts that are Python objects at a time.
+TEXTS = 1000
 #: Ways over which a frequent word is dealt where its phrases are joined to it.
 SALTS = 8
 
@@ -143,12 +145,13 @@ def _phrases(batch: pa.RecordBatch, sizes: range, longest: int) -> Iterator[tupl
     langs = batch.column("lang").to_pylist()
     seed = {name: xxhash.xxh64_intdigest(name.encode()) for name in set(langs)}
     seeds = np.array([seed[name] for name in langs], np.uint64)
-    for data, ends, number, skip in _slices(batch.column("text").cast(pa.binary()).to_pylist(), longest):
-        found = Pieces(data, ends, skip)
-        first = {n: found.of_size(n) for n in sizes}
-        text = {n: number + found.text[first[n]] for n in sizes}
-        key = {n: _mixed(_POWERS[0].of_slices(found.data, *found.span(first[n], n)) ^ seeds[text[n]]) for n in sizes}
-        yield found, first, key, text
+    for at in range(0, batch.num_rows, TEXTS):
+        for data, ends, number, skip in _slices(batch.column("text").slice(at, TEXTS).cast(pa.binary()).to_pylist(), longest):
+            found = Pieces(data, ends, skip)
+            first = {n: found.of_size(n) for n in sizes}
+            text = {n: at + number + found.text[first[n]] for n in sizes}
+            key = {n: _mixed(_POWERS[0].of_slices(found.data, *found.span(first[n], n)) ^ seeds[text[n]]) for n in sizes}
+            yield found, first, key, text
 
 
 class BitSet:
