@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import daily, news, technical
+from .plans import analysis, daily, feeds, news, streams, technical
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (technical, news, daily)
+MODULES = (technical, news, feeds, daily, streams, analysis)
 
 
 def queries() -> dict[str, Query]:

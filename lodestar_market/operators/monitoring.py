@@ -70,3 +70,35 @@ def gaps(df: DataFrame, by: list[str], hours: float) -> DataFrame:
     after = F.lead("ts").over(Window.partitionBy(*by).orderBy("ts"))
     spaced = df.select(*by, F.col("ts").alias("gap_start"), after.alias("gap_end"))
     return spaced.where(F.unix_timestamp("gap_end") - F.unix_timestamp("gap_start") > int(hours * 3600))
+
+
+#: Of a KLL sketch: ranks are within about one in k of the exact ones, mostly.
+SKETCH_K = 1000
+
+
+def latency_sketches(log: DataFrame, by: list[str], value: str, ts: str, k: int = SKETCH_K) -> DataFrame:
+    """A mergeable sketch of the values, and their number, of each hour; bounded, whatever the number of requests."""
+    return log.where(F.col(value).isNotNull()).groupBy(*by, F.date_trunc("hour", F.col(ts)).alias("hour")).agg(F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"), F.count("*").alias("requests"))
+
+
+def rolled_up(sketches: DataFrame, by: list[str], k: int = SKETCH_K) -> DataFrame:
+    """p50, p95, p99 and requests of coarser groups, from sketches alone."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("_s"), F.sum("requests").alias("requests"))
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return merged.select(*by, *[F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(n) for n, q in points.items()], "requests")
+
+
+def preferences(df: DataFrame, body: str) -> DataFrame:
+    """Adds status, symbol (the first), above, quiet and kinds (their number) of bodies with any keys.
+
+    Numbers and truth values may come as text.  A body that isn't JSON has the
+    status ``broken``, one whose alerts aren't an object with a list of symbols
+    ``mistyped``; both keep nulls.  A limit that is missing or no number is null.
+    """
+    v = F.try_parse_json(body)
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    symbols = get("$.alerts.symbols", "array<string>")
+    status = F.when(v.isNull(), "broken").when(symbols.isNull(), "mistyped").otherwise("ok")
+    kinds = get("$.alerts.kinds", "array<string>")
+    found = {"symbol": F.get(symbols, F.lit(0)), "above": get("$.limits.above", "double"), "quiet": get("$.quiet", "boolean"), "kinds": F.when(kinds.isNotNull(), F.size(kinds))}
+    return df.withColumn("status", status).withColumns({name: F.when(F.col("status") == "ok", value) for name, value in found.items()})

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import monitoring as M
 from ..operators import report as R
 from ..operators import text as T
-from ..sources.files import parse_feed
 from .tables import TEXTS, read, texts
 
 QUERIES: dict = {}
@@ -129,15 +128,6 @@ def t7(spark, d):
     return ruled(spark, d).select("doc_id", "base_sentiment", "base_confidence", "score_positive", "score_negative", "score_neutral")
 
 
-def _length_scorer():
-    return lambda batch: [(0.0, len(t) % 3 / 10, len(t) % 5 / 10) for t in batch]
-
-
-@query("t8_model_sentiment")
-def t8(spark, d):
-    return T.model_sentiment(texts(spark, d).select("doc_id", "text"), "text", _length_scorer).drop("text")
-
-
 @query("t9_content_hash", f"WITH {TEXTS} SELECT doc_id, md5(source || ':' || title || ':' || strftime(published_at, '%Y-%m-%d %H:%M:%S')) AS hash FROM texts")
 def t9(spark, d):
     return texts(spark, d).select("doc_id", T.content_hash(F.col("source"), F.col("title"), F.col("published_at")).alias("hash"))
@@ -192,15 +182,6 @@ def a14(spark, d):
     return M.quality(judged, "p", "t")
 
 
-@query("io3_parse_feed", f"WITH {TEXTS} SELECT source, trim(title, ' ' || chr(9) || chr(10) || chr(13)) AS title, count(*) AS n FROM texts WHERE trim(title) <> '' GROUP BY ALL")
-def io3(spark, d):
-    """Titles are put into feed payloads and parsed again; the parser drops blanks around them."""
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace("title", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    xml = F.concat(F.lit("<rss><channel><item><title>"), escaped, F.lit("</title><link>l</link><description>d</description><pubDate>2024-01-01 00:00:00</pubDate></item><item><title>-</title></item></channel></rss>"))
-    items = parse_feed(texts(spark, d).where("trim(title) <> ''").select("source", xml.alias("xml")), "xml")
-    return items.where("link = 'l'").groupBy("source", "title").agg(F.count("*").alias("n"))
-
-
 @query("u1_union_of_news_and_posts", f"WITH {TEXTS} SELECT kind, count(*) AS items FROM (SELECT source_type AS kind FROM texts UNION ALL SELECT 'chat' FROM conversations WHERE role = 'user') GROUP BY 1")
 def u1(spark, d):
     chat = read(spark, d, "conversations").where("role = 'user'").select(F.lit("chat").alias("kind"), "text")

@@ -1,4 +1,4 @@
-"""Sources and sinks: bars, texts, feeds, dimensions, results, reports."""
+"""Sources and sinks: bars, texts, dimensions, results, reports."""
 
 from __future__ import annotations
 
@@ -25,13 +25,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TEXT).json(path)
 
 
-def parse_feed(df: DataFrame, xml: str, source: str = "source") -> DataFrame:
-    """source, title, link, description, published_at of each item of a feed payload."""
-    schema = "channel struct<item: array<struct<title: string, link: string, description: string, pubDate: string>>>"
-    items = df.select(source, F.explode(F.from_xml(F.col(xml), schema)["channel"]["item"]).alias("i"))
-    return items.select(source, "i.title", "i.link", "i.description", F.try_to_timestamp("i.pubDate").alias("published_at"))
-
-
 def load_dim(spark: SparkSession, name: str) -> DataFrame:
     """stocks, slang, keywords, slang_tokens, spam_keywords, spam_patterns or valid_symbols: fixed, small tables."""
     tables = {
@@ -73,4 +66,4 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", column: str = "bod
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").format("json" if fmt == "json" else "text").save(path)
 
 
-__all__ = ["BAR", "BAR_COLUMNS", "TEXT", "load_dim", "parse_feed", "read_bars", "read_texts", "technical_rows", "write_report", "write_technical"]
+__all__ = ["BAR", "BAR_COLUMNS", "TEXT", "load_dim", "read_bars", "read_texts", "technical_rows", "write_report", "write_technical"]
