@@ -102,3 +102,24 @@ def preferences(df: DataFrame, body: str) -> DataFrame:
     kinds = get("$.alerts.kinds", "array<string>")
     found = {"symbol": F.get(symbols, F.lit(0)), "above": get("$.limits.above", "double"), "quiet": get("$.quiet", "boolean"), "kinds": F.when(kinds.isNotNull(), F.size(kinds))}
     return df.withColumn("status", status).withColumns({name: F.when(F.col("status") == "ok", value) for name, value in found.items()})
+
+
+# Where an alert of each severity goes.
+CHANNELS = {"critical": ("telegram", "email"), "high": ("telegram",), "warning": ("telegram",), "medium": ("log",)}
+
+
+def route_by_severity(alerts: DataFrame, severity: str = "severity", channels: dict[str, tuple[str, ...]] = CHANNELS) -> DataFrame:
+    """A row for each channel of each alert; a severity without channels goes to the log, so that nothing is lost."""
+    where = F.array(F.lit("log"))
+    for name, listed in channels.items():
+        where = F.when(F.col(severity) == name, F.array(*map(F.lit, listed))).otherwise(where)
+    return alerts.withColumn("channel", F.explode(where))
+
+
+def crawl_counters(log: DataFrame, by: list[str], key: str, ts: str, days: int = 7) -> DataFrame:
+    """articles and duplicates: rows whose key stood within the days before."""
+    from pyspark.sql import Window
+
+    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
+    again = F.coalesce(F.col(ts) - before <= F.make_dt_interval(days=F.lit(days)), F.lit(False))
+    return log.withColumn("_again", again).groupBy(*by).agg(F.count("*").alias("articles"), F.count_if("_again").alias("duplicates"))

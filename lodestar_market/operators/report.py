@@ -68,3 +68,21 @@ def markdown(title: Column, lines: Column) -> Column:
 
 def html(title: Column, lines: Column) -> Column:
     return F.concat(F.lit("<h1>"), title, F.lit("</h1><ul>"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), ""), F.lit(f"</ul><p>{DISCLAIMER}</p>"))
+
+
+#: Characters that a message may have.
+MESSAGE_LIMIT = 4096
+
+
+def short_message(title: Column, index: Column, change: Column, picks: Column, most: int = 3) -> Column:
+    """The market in a few lines: index and its change, the first picks (structs of symbol, recommendation, confidence), the disclaimer.
+
+    Signs of the mark-up are escaped in what comes from data; what would be too
+    long loses picks, never the disclaimer.
+    """
+    escape = lambda c: F.regexp_replace(c, r"([_*`\[])", r"\\$1")
+    line = lambda p: F.format_string("• %s - %s (%d%%)", escape(p["symbol"]), escape(p["recommendation"]), F.round(p["confidence"] * 100).cast("int"))
+    head = F.concat(F.lit("*"), escape(title), F.lit("*\n\n"), F.when(change.isNotNull(), F.format_string("Index: %.2f (%+.2f%%)\n", index, change)).when(index.isNotNull(), F.format_string("Index: %.2f\n", index)).otherwise(""))
+    listed = F.transform(F.slice(F.coalesce(picks, F.array().cast("array<struct<symbol:string,recommendation:string,confidence:double>>")), 1, most), line)
+    text = lambda lines: F.concat(head, F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""), F.lit(f"\n_{DISCLAIMER}_"))
+    return F.when(F.length(text(listed)) <= MESSAGE_LIMIT, text(listed)).otherwise(text(F.slice(listed, 1, 0)))

@@ -14,7 +14,7 @@ from ..operators import report as R
 from ..operators import signals as S
 from ..sources import files
 from ..streaming import jobs as J
-from .news import HOT, MENTIONED, hot
+from .news import HOT, MENTIONED, NEGATIVE, POSITIVE, RULES, hot
 from .tables import BARS, SUBSCRIPTIONS, TECHNICAL, TEXTS, bars, events, read, subscriptions, symbol_of, symbol_sql, texts
 from .technical import LABEL, OVERVIEW, SURE, score_sql
 
@@ -148,15 +148,16 @@ def _insights(spark, d) -> DataFrame:
     return S.insights(judged(spark, d).withColumn("signals", F.coalesce("signals", F.array().cast("array<string>"))))
 
 
-@query("c12_insights", f"WITH {SYNTH} SELECT symbol, month, CAST((rum > 0)::INT + (sure > 0.8)::INT AS INTEGER) AS n FROM judged")
+@query("c12_insights", f"WITH {SYNTH}, told_all AS (SELECT symbol, month, {_INSIGHTS} AS i FROM judged) SELECT symbol, month, CAST(len(i) AS INTEGER) AS n, i[1] AS first, i[-1] AS last FROM told_all")
 def c12(spark, d):
-    out = S.insights(judged(spark, d).withColumn("signals", F.array().cast("array<string>")))
-    return out.select("symbol", "month", F.size("insights").alias("n"))
+    """How many insights the month's last day gives, the first and the last."""
+    told = _insights(spark, d)
+    return told.select("symbol", "month", F.size("insights").alias("n"), F.get("insights", F.lit(0)).alias("first"), F.try_element_at("insights", F.lit(-1)).alias("last"))
 
 
 @query("c12b_insights_of_all_rules", f"WITH {SYNTH} SELECT symbol, month, CAST((coalesce(rsi_simple, 50) < 30)::INT + (rum > 0)::INT + (sure > 0.8)::INT AS INTEGER) AS n FROM judged")
 def c12b(spark, d):
-    """As c12, which has no signals, with those of the month's last day: all three rules can fire."""
+    """From the signals of the month's last day: all three rules can fire."""
     signals = F.array_compact(F.array(F.when(F.col("rsi_simple") < 30, "RSI_OVERSOLD")))
     out = S.insights(judged(spark, d).withColumn("signals", signals))
     return out.select("symbol", "month", F.size("insights").alias("n"))
@@ -192,15 +193,33 @@ def j2(spark, d):
     return hot(spark, d).join(volume, "symbol", "left").select("day", "symbol", "mentions", F.coalesce("volume", F.lit(0)).alias("volume"))
 
 
-@query("t18_daily_report", f"WITH {SYNTH}, {ALERTS} SELECT month, count(*) AS symbols, count(*) FILTER (WHERE action LIKE '%BUY') AS buys, (SELECT count(*) FROM alert a WHERE a.month = j.month) AS alerts FROM judged j GROUP BY month")
+T18_SQL = f"""
+WITH {SYNTH}, {ALERTS}, {MENTIONED}, {HOT}, best AS (
+  SELECT month, row_number() OVER (PARTITION BY month ORDER BY round(sure, 6) DESC, symbol) AS rank, symbol, action, round(sure, 4) AS sure FROM judged QUALIFY rank <= 3
+), picks AS (SELECT month, to_json(list({{'rank': rank, 'symbol': symbol, 'recommendation': action, 'confidence': sure}} ORDER BY rank)) AS recommendations FROM best GROUP BY month
+), warned AS (SELECT month, count(*) AS alerts, to_json(list({{'symbol': symbol, 'alert_type': alert_type}} ORDER BY symbol, alert_type)) AS alert_list FROM alert GROUP BY month
+), named AS (SELECT day - INTERVAL 28 YEAR AS month, to_json(list({{'rank': rank, 'symbol': symbol, 'mentions': mentions}} ORDER BY rank)) AS hot FROM hot GROUP BY day
+), over AS (SELECT month, count(*) AS symbols, count(*) FILTER (WHERE action LIKE '%BUY') AS buys FROM judged GROUP BY month)
+SELECT month, symbols, buys, coalesce(alerts, 0) AS alerts, CAST(recommendations AS VARCHAR) AS recommendations, CAST(alert_list AS VARCHAR) AS alert_list, CAST(hot AS VARCHAR) AS hot
+FROM over LEFT JOIN picks USING (month) LEFT JOIN warned USING (month) LEFT JOIN named USING (month)
+"""
+
+
+@query("t18_daily_report", T18_SQL)
 def t18(spark, d):
-    j = judged(spark, d)
-    overview = j.groupBy(F.col("month").alias("trade_date")).agg(F.count("*").alias("symbols"), F.count_if(F.col("action").endswith("BUY")).alias("buys"))
-    top = R.top_per(j, ["month"], [F.desc("action_confidence"), "symbol"], 3).select(F.col("month").alias("trade_date"), "rank", "symbol", F.col("action").alias("recommendation"), F.col("action_confidence").alias("confidence"))
-    all_alerts = S.alerts(j).select(F.col("month").alias("trade_date"), "symbol", "alert_type", "message")
-    ranked = hot(spark, d).select(F.col("day").alias("trade_date"), "rank", "symbol", "mentions")
+    """A report of each month with its lists; mentions are of 28 years later, as the texts are."""
+    at, wanted = _new_folder(spark), ["symbol", "month", "action", "action_confidence", "risk", "rumour_mentions"]
+    judged(spark, d).select(wanted).write.parquet(at)  # three lists come from it
+    j = spark.read.parquet(at).withColumnRenamed("month", "trade_date")
+    overview = j.groupBy("trade_date").agg(F.count("*").alias("symbols"), F.count_if(F.col("action").endswith("BUY")).alias("buys"))
+    top = R.top_per(j, ["trade_date"], [F.desc(F.round("action_confidence", 6)), "symbol"], 3)
+    top = top.select("trade_date", F.col("rank"), "symbol", F.col("action").alias("recommendation"), F.round("action_confidence", 4).alias("confidence"))
+    all_alerts = S.alerts(j).select("trade_date", "symbol", "alert_type", "message")
+    ranked = hot(spark, d).select(F.add_months("day", -12 * 28).alias("trade_date"), "rank", "symbol", "mentions")
     report = R.assemble(overview, top, all_alerts, ranked)
-    return report.select(F.col("trade_date").alias("month"), "symbols", "buys", F.coalesce(F.size("alerts"), F.lit(0)).cast("long").alias("alerts"))
+    listed = F.transform("alerts", lambda a: F.struct(a["symbol"].alias("symbol"), a["alert_type"].alias("alert_type")))
+    count = F.coalesce(F.size("alerts"), F.lit(0)).cast("long")
+    return report.select(F.col("trade_date").alias("month"), "symbols", "buys", count.alias("alerts"), F.to_json("recommendations").alias("recommendations"), F.to_json(listed).alias("alert_list"), F.to_json("hot").alias("hot"))
 
 
 REPORT_LINES = f"WITH {BARS}, {OVERVIEW}, l AS (SELECT trade_date, ['volume ' || total_volume, 'advancing ' || advancing, 'declining ' || declining] AS lines FROM overview)"
@@ -222,6 +241,35 @@ def t14(spark, d):
     return _report(spark, d).select("trade_date", R.markdown(title, F.col("lines")).alias("markdown"), R.html(F.lit("Market"), F.col("lines")).alias("html"))
 
 
+MESSAGE_SQL = f"""
+WITH {BARS}, {OVERVIEW}, rise AS (
+  SELECT symbol, trade_date, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY trade_date), 0) - 1 AS up FROM bars
+), best AS (
+  SELECT trade_date, symbol, least(round(up, 9), 1::DOUBLE) AS sure, row_number() OVER (PARTITION BY trade_date ORDER BY round(up, 9) DESC, symbol) AS rank FROM rise WHERE up > 0 QUALIFY rank <= 3
+), said AS (SELECT trade_date, string_agg('• ' || symbol || ' - UP (' || CAST(round(sure * 100) AS INTEGER) || '%)', chr(10) ORDER BY rank) || chr(10) AS picks FROM best GROUP BY trade_date)
+SELECT trade_date, '*Market ' || strftime(trade_date, '%Y-%m-%d') || '*' || chr(10) || chr(10)
+  || coalesce('Index: ' || CAST(CAST(round(market_index, 6) AS DECIMAL(30, 2)) AS VARCHAR)
+    || coalesce(' (' || CASE WHEN round(index_change, 2) >= 0 THEN '+' ELSE '' END || CAST(CAST(round(index_change, 6) AS DECIMAL(30, 2)) AS VARCHAR) || '%)', '') || chr(10), '')
+  || coalesce(picks, '') || chr(10) || '_{R.DISCLAIMER}_' AS message
+FROM overview LEFT JOIN said USING (trade_date)
+"""
+
+
+@query("t14_short_message", MESSAGE_SQL)
+def t14_message(spark, d):
+    """The message of each day, with its three largest rises."""
+    b = bars(spark, d)
+    up = F.round(F.col("close") / F.nullif(F.lag("close").over(I.series()), F.lit(0.0)) - 1, 9)
+    best = R.top_per(b.select("symbol", "trade_date", up.alias("up")).where("up > 0"), ["trade_date"], [F.desc("up"), "symbol"], 3)
+    pick = F.struct("rank", "symbol", F.lit("UP").alias("recommendation"), F.least("up", F.lit(1.0)).alias("confidence"))
+    picks = best.groupBy("trade_date").agg(F.array_sort(F.collect_list(pick)).alias("picks"))
+    days = R.market_overview(b).join(picks, "trade_date", "left")
+    title = F.concat(F.lit("Market "), F.date_format("trade_date", "yyyy-MM-dd"))
+    bare = F.transform("picks", lambda p: F.struct(p["symbol"].alias("symbol"), p["recommendation"].alias("recommendation"), p["confidence"].alias("confidence")))
+    cents = lambda c: F.round(c, 6).cast("decimal(30,2)").cast("double")
+    return days.select("trade_date", R.short_message(title, cents(F.col("market_index")), cents(F.col("index_change")), bare).alias("message"))
+
+
 @query("t15_parse_message", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def t15(spark, d):
     return events(spark, d).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -256,9 +304,21 @@ def t12(spark, d):
     return M.route_errors(errors(spark, d)).select("event_id", "route", "retry_at")
 
 
-@query("a6_crawl_counters", "SELECT CAST(ts AS DATE) AS day, event_type AS source, count(*) AS articles, count(*) FILTER (WHERE user_id % 10 = 0) AS duplicates FROM events GROUP BY 1, 2")
+COUNTERS_SQL = """
+WITH h AS (SELECT ts, event_type, ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) <= INTERVAL 7 DAY AS again FROM events)
+SELECT CAST(ts AS DATE) AS day, event_type AS source, count(*) AS articles, count(*) FILTER (WHERE again) AS duplicates FROM h GROUP BY 1, 2
+"""
+
+
+@query("a6_crawl_counters", COUNTERS_SQL)
 def a6(spark, d):
-    return events(spark, d).groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("source")).agg(F.count("*").alias("articles"), F.count_if(F.col("user_id") % 10 == 0).alias("duplicates"))
+    log = events(spark, d).select(F.to_date("ts").alias("day"), F.col("event_type").alias("source"), "ts", F.concat_ws(":", "event_type", "user_id").alias("hash"))
+    return M.crawl_counters(log, ["day", "source"], "hash", "ts")
+
+
+@query("a6_error_counters", f"WITH {ERRORS_SQL} SELECT {KINDS} AS error_type, CAST(ts AS DATE) AS day, count(*) AS errors FROM err GROUP BY ALL")
+def a6_errors(spark, d):
+    return errors(spark, d).groupBy("error_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("errors"))
 
 
 @query("a7_source_health", "WITH c AS (SELECT user_id AS source, count(*) FILTER (WHERE event_type <> 'error') AS ok, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1) SELECT source, ok, failed, round(ok::DOUBLE / (ok + failed + 1), 6) AS success_rate, CASE WHEN ok::DOUBLE / (ok + failed + 1) > 0.8 THEN 'healthy' ELSE 'degraded' END AS health, failed > 10 AS alert FROM c")
@@ -301,18 +361,22 @@ def _new_folder(spark) -> str:
 CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL {}"
 
 
-@query("st1_dedup_articles", "SELECT DISTINCT event_type || ':' || user_id AS hash FROM events")
-def st1(spark, d):
-    # Within seven days of the first; over the month at hand a hash may come again, so hashes are compared.
-    articles = _stream(spark, d).select(F.concat_ws(":", "event_type", "user_id").alias("hash"), F.col("ts").alias("published_at"))
-    return J.run_available(J.new_articles(articles), _folder(spark)).select("hash").distinct()
+_REQUESTED = "texts AS (SELECT doc_id, source, '1' AS id, text FROM documents UNION ALL SELECT doc_id, source, '2', substr(text, 1, 80) FROM documents)"
 
 
-@query("st2_scored_requests", "SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(user_id AS VARCHAR) AS correlation_id, CAST(1 AS INTEGER) AS results FROM events")
+@query(
+    "st2_scored_requests",
+    f"WITH {RULES.replace(TEXTS, _REQUESTED)} SELECT CAST(doc_id AS VARCHAR) AS request_id, source AS correlation_id, string_agg(id || ' ' || base_sentiment || ' ' || CAST(CAST(base_confidence AS DECIMAL(6, 4)) AS VARCHAR), ', ' ORDER BY id) AS results FROM ruled GROUP BY 1, 2",
+)
 def st2(spark, d):
-    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.col("user_id").cast("string").alias("correlation_id"), F.array(F.struct(F.lit("1").alias("id"), F.col("event_type").alias("content"))).alias("texts")))
-    done = J.run_regrouped(J.score_requests(_stream(spark, d).select(body.alias("value"))), _folder(spark))
-    return done.select("request_id", "correlation_id", F.size("results").alias("results"))
+    """Each document asks for the scores of its text and of its beginning."""
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    docs = J.read_stream(spark, f"{d}/document[s].parquet", schema)
+    asked = F.array(*[F.struct(F.lit(i).alias("id"), c.alias("content")) for i, c in (("1", F.col("text")), ("2", F.substring("text", 1, 80)))])
+    body = F.to_json(F.struct(F.col("doc_id").cast("string").alias("request_id"), F.col("source").alias("correlation_id"), asked.alias("texts")))
+    done = J.run_regrouped(J.score_requests(docs.select(body.alias("value")), positive=POSITIVE, negative=NEGATIVE), _folder(spark))
+    line = lambda r: F.concat_ws(" ", r["id"], r["base_sentiment"], r["base_confidence"].cast("decimal(6,4)").cast("string"))
+    return done.select("request_id", "correlation_id", F.array_join(F.transform("results", line), ", ").alias("results"))
 
 
 @query("st4_silence_stream", "WITH g AS (SELECT user_id AS source, ts AS silent_since, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS later FROM events) SELECT source, silent_since FROM g WHERE epoch_us(coalesce(later, (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)) - epoch_us(silent_since) > 36 * 3600000000")
@@ -354,10 +418,12 @@ CARRIED = ["ema", "rsi", "atr"]
 
 @query("st8_carried_indicators", f"WITH {TECHNICAL} SELECT symbol, trade_date, round(ema_12, 9) AS ema, round(rsi_14, 9) AS rsi, round(atr_14, 9) AS atr, CASE WHEN rsi_14 < 30 THEN 'RSI_OVERSOLD' WHEN rsi_14 > 70 THEN 'RSI_OVERBOUGHT' END AS alert FROM technical")
 def st8(spark, d):
-    """The bars come in two goes; the second starts from the state that the first left."""
+    """The bars come in two goes, halved at the day in the middle; the second starts from the state that the first left."""
     all_bars, at = bars(spark, d), _new_folder(spark)
-    for until, since in (("1995-06-30", "1900-01-01"), ("2100-01-01", "1995-06-30")):
-        all_bars.where((F.col("trade_date") > since) & (F.col("trade_date") <= until)).write.mode("append").parquet(f"{at}/bars")
+    first, last = all_bars.agg(F.min("trade_date"), F.max("trade_date")).first()
+    middle = first + (last - first) / 2 if first else None
+    for part in (F.col("trade_date") <= F.lit(middle), F.col("trade_date") > F.lit(middle)):
+        all_bars.where(part).write.mode("append").parquet(f"{at}/bars")
         out = J.run_available(J.carried_indicators(J.read_stream(spark, f"{at}/bars", all_bars.schema)), at, again=True)
     return out.select("symbol", "trade_date", *[F.round(c, 9).alias(c) for c in CARRIED], "alert")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import monitoring as M
 from ..sources import topics
 from ..streaming import jobs as J
 from ..streaming import stateful as S
-from .daily import CLOSED, _new_folder, _stream
+from .daily import CLOSED, ERRORS_SQL, KINDS, MESSAGES, _new_folder, _stream
 from .tables import read, symbol_of, symbol_sql
 
 QUERIES: dict = {}
@@ -118,3 +119,54 @@ def st5_hot(spark, d):
     """The ten most mentioned symbols of each hour."""
     posts = _stream(spark, d).select("ts", symbol_of(F.col("user_id") % 100).alias("symbol"))
     return S.run_hot_list(J.mentions_per_window(posts), _new_folder(spark))
+
+
+FIRST_SQL = """
+WITH RECURSIVE e AS (SELECT event_type || ':' || user_id AS hash, ts FROM events), w AS (
+  SELECT hash, min(ts) AS let FROM e GROUP BY hash
+  UNION ALL
+  SELECT w.hash, min(e.ts) FROM w JOIN e ON e.hash = w.hash AND e.ts >= w.let + INTERVAL 7 DAY GROUP BY w.hash
+)
+SELECT hash, let AS published_at FROM w WHERE let <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+"""
+
+
+@query("st1_dedup_articles", FIRST_SQL)
+def st1(spark, d):
+    """A hash is let through once in seven days."""
+    own = S.state_session(spark)
+    articles = _stream(own, d).select(F.concat_ws(":", "event_type", "user_id").alias("hash"), F.col("ts").alias("published_at"))
+    return J.run_available(S.first_of_days(articles), _new_folder(spark), again=True)
+
+
+RATE_SQL = f"""
+WITH w AS (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(i) AS window_start, event_type, user_id % 20 AS source FROM events, range(0, 6) AS r(i)
+), c AS (
+  SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, source, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) AS total FROM w GROUP BY ALL
+)
+SELECT *, round(failed::DOUBLE / total, 6) AS error_rate, 'warning' AS severity FROM c WHERE failed::DOUBLE / total > 0.05 AND {CLOSED.format("10 MINUTE")}
+"""
+
+
+@query("st3_error_rate", RATE_SQL)
+def st3_errors(spark, d):
+    """Windows of six hours, as sources report seldom here, in which more than a twentieth of a source's requests failed."""
+    log = _stream(spark, d).select("ts", (F.col("user_id") % 20).alias("source"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"))
+    return J.run_available(J.error_rate(log, length="6 hours", slide="1 hour"), _new_folder(spark), again=True)
+
+
+_SEVERITY = "CASE kind " + " ".join(f"WHEN '{kind}' THEN '{severity}'" for _, kind, severity, _ in M.ERROR_RULES) + " ELSE 'medium' END"
+_ROUTES = "CASE severity " + " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in M.CHANNELS.items()) + " END"
+
+
+@query(
+    "st9_routes_by_severity",
+    f"WITH {ERRORS_SQL}, k AS (SELECT event_id, {KINDS} AS kind FROM err), s AS (SELECT *, {_SEVERITY} AS severity FROM k) SELECT event_id, kind AS error_type, severity, unnest({_ROUTES}) AS channel FROM s",
+)
+def st9_routes(spark, d):
+    """Errors as they come, each to the channels of its severity."""
+    k = F.get_json_object("props", "$.k").cast("int") % 7
+    log = _stream(spark, d).where("event_type = 'error'").select("event_id", F.get(F.array(*map(F.lit, MESSAGES)), k).alias("message"))
+    routed = M.route_by_severity(log.withColumn("e", M.classify_error(F.col("message"))).select("event_id", "e.error_type", "e.severity"))
+    return J.run_available(routed, _new_folder(spark), again=True)

@@ -36,10 +36,10 @@ def new_articles(articles: DataFrame) -> DataFrame:
     return articles.withWatermark("published_at", "7 days").dropDuplicatesWithinWatermark(["hash"])
 
 
-def score_requests(requests: DataFrame, body: str = "value") -> DataFrame:
-    """One scored row per text of each request, with its ids."""
+def score_requests(requests: DataFrame, body: str = "value", **terms) -> DataFrame:
+    """One scored row per text of each request, with its ids; ``terms`` are the positive and negative ones, if not the usual."""
     r = requests.select(F.from_json(F.col(body), REQUEST).alias("r")).select("r.request_id", "r.correlation_id", F.explode("r.texts").alias("t"))
-    return rule_sentiment(r.select("request_id", "correlation_id", F.col("t.id").alias("id"), F.col("t.content").alias("content")), "content")
+    return rule_sentiment(r.select("request_id", "correlation_id", F.col("t.id").alias("id"), F.col("t.content").alias("content")), "content", **terms)
 
 
 def regroup_requests(scored: DataFrame) -> DataFrame:
@@ -70,6 +70,14 @@ def success_rate(log: DataFrame, length: str = "10 minutes", slide: str = "1 min
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "ok", "total", F.round(rate, 6).alias("success_rate"), (rate < 0.8).alias("alert"))
 
 
+def error_rate(log: DataFrame, limit: float = 0.05, length: str = "10 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """Sliding windows of a source in which more than ``limit`` of the requests failed."""
+    failed = F.count_if(F.col("status") != "ok")
+    out = log.withWatermark("ts", delay).groupBy(F.window("ts", length, slide), "source").agg(failed.alias("failed"), F.count("*").alias("total"))
+    rate = F.col("failed") / F.col("total")
+    return out.where(rate > limit).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "source", "failed", "total", F.round(rate, 6).alias("error_rate"), F.lit("warning").alias("severity"))
+
+
 def mentions_per_window(posts: DataFrame, length: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     out = posts.withWatermark("ts", delay).groupBy(F.window("ts", length), "symbol").agg(F.count("*").alias("mentions"))
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "symbol", "mentions")

@@ -121,6 +121,33 @@ class RequestWindows(InEventTime):
         return out, held, held[0] + self.length if held else None
 
 
+class FirstOfDays(InEventTime):
+    """Rows of a key that come ``days`` or more after the last that was let through."""
+
+    layout = "let long"
+    columns = ["at"]
+
+    def __init__(self, days: int):
+        self.length = days * 24 * 60 * MINUTE
+
+    def step(self, held, due, mark):
+        out = []
+        for at, _ in due:
+            if held is None or at >= held[0] + self.length:
+                out.append((at,))
+                held = (at,)
+        # Nothing at or before the watermark is to come: then the key can be forgotten.
+        over = held is not None and held[0] + self.length <= mark
+        return out, None if over else held, held[0] + self.length if held and not over else None
+
+
+def first_of_days(articles: DataFrame, days: int = 7, delay: str = "10 minutes") -> DataFrame:
+    """hash and published_at of articles whose hash wasn't let through in the ``days`` before; also over restarts."""
+    kept = articles.where("hash is not null and published_at is not null").withColumnRenamed("published_at", "ts")
+    found = _keyed(kept, "hash", F.lit(0), delay).groupBy("key").transformWithStateInPandas(FirstOfDays(days), "key string, at long", "Append", "EventTime")
+    return found.select(F.col("key").alias("hash"), F.timestamp_micros("at").alias("published_at"))
+
+
 def _keyed(rows: DataFrame, key: str, number, delay: str) -> DataFrame:
     at = F.unix_micros("ts")
     return rows.withWatermark("ts", delay).select(F.col(key).cast("string").alias("key"), "ts", at.alias("at"), number.cast("long").alias("number"))

@@ -148,3 +148,35 @@ def test_merging_leaves_other_months_alone(spark, tmp_path):
     assert len(rows) == 13 and rows["a", dt.date(2024, 2, 1)] == 7 and rows["b", dt.date(2024, 2, 2)] == 1 and rows["c", dt.date(2024, 4, 1)] == 9
     store.merge(fresh.limit(0), at, ["symbol", "trade_date"], "version")
     assert store.read(spark, at, base.schema).count() == 13
+
+
+def test_first_of_seven_days(spark, tmp_path):
+    """A hash is let through again seven days after it was let through last, not after it was seen last; rows may come late and in several batches."""
+    own = stateful.state_session(spark)
+    (tmp_path / "in").mkdir()
+    day = 24 * 60
+    a = [("a", minutes(m)) for m in (0, 3 * day, 7 * day - 1, 7 * day, 8 * day, 13 * day, 14 * day)]
+    parts = [[a[2], a[0], a[1]], [a[3], ("b", minutes(6 * day)), (None, minutes(1)), ("c", None)], a[4:], [("z", minutes(60 * day))]]
+    stream = stream_of(own, tmp_path / "in", parts, "hash string, published_at timestamp")
+    out = jobs.run_available(stateful.first_of_days(stream, 7, "5 days"), str(tmp_path / "job"), again=True).collect()
+    assert sorted((r["hash"], r["published_at"]) for r in out) == [("a", minutes(0)), ("a", minutes(7 * day)), ("a", minutes(14 * day)), ("b", minutes(6 * day))]
+
+
+def test_messages_are_short_and_escaped(spark):
+    from lodestar_market.operators import report
+
+    kind = "title string, i double, c double, picks array<struct<symbol:string,recommendation:string,confidence:double>>"
+    rows = [("A_*`[b", 1234.5, -0.5, [("V_N", "BUY", 0.905), ("X", "SELL", 0.5), ("Y", "HOLD", 0.6), ("Z", "BUY", 0.1)]), ("x", 1.0, None, None), ("y", None, None, []), ("z", 1.0, 1.0, [("S" * 5000, "BUY", 1.0)])]
+    got = [r[0] for r in spark.createDataFrame(rows, kind).select(report.short_message(F.col("title"), F.col("i"), F.col("c"), F.col("picks"))).collect()]
+    end = f"\n_{report.DISCLAIMER}_"
+    assert got[0] == "*A\\_\\*\\`\\[b*\n\nIndex: 1234.50 (-0.50%)\n• V\\_N - BUY (91%)\n• X - SELL (50%)\n• Y - HOLD (60%)\n" + end
+    assert got[1:] == ["*x*\n\nIndex: 1.00\n" + end, "*y*\n\n" + end, "*z*\n\nIndex: 1.00 (+1.00%)\n" + end]
+    assert all(len(m) <= report.MESSAGE_LIMIT for m in got)
+
+
+def test_no_severity_is_lost(spark):
+    from lodestar_market.operators import monitoring
+
+    rows = spark.createDataFrame([("critical",), ("high",), ("medium",), ("new",), (None,)], "severity string")
+    got = sorted((r["severity"] or "", r["channel"]) for r in monitoring.route_by_severity(rows).collect())
+    assert got == [("", "log"), ("critical", "email"), ("critical", "telegram"), ("high", "telegram"), ("medium", "log"), ("new", "log")]
