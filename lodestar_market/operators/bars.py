@@ -46,12 +46,23 @@ def complete_bars(bars: DataFrame, flag: bool = False) -> DataFrame:
     return bars.withColumn("is_complete", whole)
 
 
+def order_key(first: str | Column, *rest: tuple[str | Column, int]) -> Column:
+    """Whole numbers as one of up to 38 digits that sorts as they do; each but the first with how many digits it has at most."""
+    column = lambda c: (F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")
+    key = column(first)
+    for c, digits in rest:
+        key = (key * F.lit(str(10**digits)).cast("decimal(38,0)") + column(c)).cast("decimal(38,0)")
+    return key
+
+
 def bars_from_trades(trades: DataFrame, order: list[str], keys: list[str | Column]) -> DataFrame:
-    """Open, high, low, close and volume per group of trades; ``order`` breaks ties.
+    """Open, high, low, close and volume per group of trades, which ``order`` puts in a row.
 
-    One partial aggregation: nothing is sorted.
+    One partial aggregation.  If the order is a single number or time (see
+    ``order_key``), it is one by hash and nothing is sorted; a struct of several
+    columns has no fixed width, so Spark sorts for it.
     """
-    at = F.struct(*order)
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return trades.groupBy(*keys).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"),
         F.sum("quantity").cast("long").alias("volume"),

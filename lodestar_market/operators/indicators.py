@@ -174,9 +174,14 @@ def technical(bars: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str = "symbol", at: str = "trade_date") -> DataFrame:
-    """The last row of each key, as an aggregate: no sort."""
-    row = F.max_by(F.struct(*df.columns), at)
-    return df.groupBy(key).agg(row.alias("_row")).select("_row.*")
+    """The last row of each key; of columns of fixed width an aggregate by hash, without a sort."""
+    return last_of(df, [key], at).select(df.columns)
+
+
+def last_of(df: DataFrame, keys: list[str], at: str = "trade_date", columns: list[str] | None = None) -> DataFrame:
+    """The keys, ``at`` and the columns (all, unless given) of the last row of each group."""
+    named = [c for c in (df.columns if columns is None else columns) if c not in (*keys, at)]
+    return df.groupBy(*keys).agg(F.max(at).alias(at), *[F.max_by(c, at).alias(c) for c in named])
 
 
 def macd_cross() -> Column:

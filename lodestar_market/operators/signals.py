@@ -74,6 +74,10 @@ def confidence(score: Column) -> Column:
     )
 
 
+#: What ``recommend`` reads of a row.
+SCORED = ("close", "rsi_14", "macd_line", "macd_signal", "prev_macd_line", "prev_macd_signal", "bb_upper", "bb_lower", "sma_20", "sma_50", "stoch_k", "stoch_d", "adx", "volume_ratio", "volume_ratio_prev")
+
+
 def recommend(df: DataFrame, **options) -> DataFrame:
     scored = additive_score(df, **options)
     return scored.withColumns({"recommendation": recommendation(_c("score")), "confidence": confidence(_c("score"))})

@@ -35,8 +35,7 @@ def query(name: str, sql: str | None = None):
 def snapshots(spark, d) -> DataFrame:
     """Per symbol and month: the indicators of its last day, and what they recommend."""
     shown = I.technical(bars(spark, d)).where("sma_20 is not null").withColumn("month", F.to_date(F.date_trunc("month", "trade_date")))
-    last = shown.groupBy("symbol", "month").agg(F.max_by(F.struct(*[c for c in shown.columns if c not in ("symbol", "month")]), "trade_date").alias("s"))
-    return S.recommend(last.select("symbol", "month", "s.*"))
+    return S.recommend(I.last_of(shown, ["symbol", "month"], columns=[*S.SCORED, "atr_14", "rsi_simple"]))
 
 
 def opinions(spark, d) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bars import bars_from_trades
+from ..operators.bars import bars_from_trades, order_key
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
 
@@ -23,9 +23,9 @@ def symbol_of(key: str | Column) -> Column:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = read(spark, sf_dir, "lineitem").select(
         symbol_of("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.col("l_quantity").alias("quantity"), *ORDER,
+        F.col("l_quantity").alias("quantity"), order_key("l_orderkey", ("l_linenumber", 3), ("l_partkey", 12)).alias("place"),
     )
-    return bars_from_trades(trades, ORDER, ["symbol", "trade_date"])
+    return bars_from_trades(trades, ["place"], ["symbol", "trade_date"])
 
 
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,8 @@ TICKS = "SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bar_st
 @query("w21_hourly_bars_from_ticks", TICKS)
 def w21_hourly(spark, d):
     ticks = events(spark, d).select(F.col("event_type").alias("symbol"), F.window("ts", "1 hour")["start"].alias("bar_start"), "ts", "event_id", F.col("value").alias("price"), F.lit(1).alias("quantity"))
-    return rounded(B.bars_from_trades(ticks, ["ts", "event_id"], ["symbol", "bar_start"]), OHLCV, "symbol", "bar_start", "volume")
+    ticks = ticks.withColumn("place", B.order_key(F.unix_micros(F.col("ts").cast("timestamp")), ("event_id", 19)))
+    return rounded(B.bars_from_trades(ticks, ["place"], ["symbol", "bar_start"]), OHLCV, "symbol", "bar_start", "volume")
 
 
 @query("io4_conform", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.bars import order_key
 from ..operators.text import rule_sentiment
 
 REQUEST = "request_id string, correlation_id string, texts array<struct<id: string, content: string, source: string, published_at: string>>"
@@ -90,7 +91,7 @@ def request_audit(log: DataFrame, limit: int, length: str = "1 minute", delay: s
 
 
 def bars_of_ticks(ticks: DataFrame, length: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    order = F.struct("ts", "tick_id")
+    order = order_key(F.unix_micros("ts"), ("tick_id", 19))
     out = ticks.withWatermark("ts", delay).groupBy(F.window("ts", length), "symbol").agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume")
     )

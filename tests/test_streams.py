@@ -180,3 +180,20 @@ def test_no_severity_is_lost(spark):
     rows = spark.createDataFrame([("critical",), ("high",), ("medium",), ("new",), (None,)], "severity string")
     got = sorted((r["severity"] or "", r["channel"]) for r in monitoring.route_by_severity(rows).collect())
     assert got == [("", "log"), ("critical", "email"), ("critical", "telegram"), ("high", "telegram"), ("medium", "log"), ("new", "log")]
+
+
+def test_bars_and_snapshots_are_not_sorted(spark):
+    """Bars and last rows are aggregates by hash: no sort stands before them."""
+    from lodestar_market import catalog
+
+    for name in ("w21_bars_from_trades", "w19_latest_snapshot", "c3_recommendation", "c8_forecast", "j9_latest_as_of"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortAggregate") == 0 and plan.count("HashAggregate") >= 2, name
+
+
+def test_order_keys_sort_as_their_columns(spark):
+    from lodestar_market.operators.bars import order_key
+
+    rows = [(a, b, c) for a in (-5, 0, 7, 10**15) for b in (0, 9) for c in (0, 5, 10**9)]
+    df = spark.createDataFrame(rows, "a long, b int, c long").withColumn("k", order_key("a", ("b", 2), ("c", 12)))
+    assert [tuple(r)[:3] for r in df.orderBy("k").collect()] == sorted(rows)
