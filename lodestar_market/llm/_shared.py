@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,20 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def batches_bounded(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Arrow batches of what runs inside have at most so many bytes, or one row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    if most:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if most:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -58,21 +73,48 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables in a folder of their own below the shared one, which cut lineage and can be dropped."""
+    """Tables in a folder of their own below the shared one, which cut lineage and can be dropped.
+
+    With ``batch_bytes`` Python tasks that fill them get Arrow batches of so many bytes.
+    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, batch_bytes: int | None = None):
+        self.spark, self.folder, self.batch_bytes = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", batch_bytes
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        with shuffles_freed(self.spark):
+        with shuffles_freed(self.spark), batches_bounded(self.spark, self.batch_bytes):
             df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
+    def drop_all_but(self, *names: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for item in store.listStatus(path) if store.exists(path) else []:
+            if item.getPath().getName() not in names:
+                store.delete(item.getPath(), True)
+
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, f"{self.folder}/{name}")
 
 
+#: A key with more than one in so many rows is a hot one: there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table that has each key once and, as ``n``, how many rows of ``left`` have it.
+
+    Hot keys, of which there are less than ``HOT_SHARE``, are sent to the rows;
+    only rows of the other keys are shuffled, so no task gets more than its part.
+    Both tables are read twice and should be written ones.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(right.where(F.col("n") * HOT_SHARE > total).drop("n"))
+    cold = right.where(F.col("n") * HOT_SHARE <= total).drop("n")
+    return left.join(hot, keys).unionByName(left.join(F.broadcast(right.where(F.col("n") * HOT_SHARE > total).select(keys)), keys, "left_anti").join(cold, keys))
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -89,6 +131,19 @@ def rounded_parts(df: DataFrame, least: int = 8) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_slices(batch: pa.RecordBatch, column: str, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and, but for a single longer text, bytes of a column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = held = 0
+    for n, size in enumerate(sizes):
+        if n > at and (n - at == rows or held + size > most):
+            yield batch.slice(at, n - at)
+            at, held = n, 0
+        held += size
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup key-sorted Arrow batches so that no run of equal keys is split.
 

@@ -19,11 +19,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import bounded_slices, table
 
 #: Weights are fitted on at most about so many pages of the input.
 MAX_LABELLED = 2000
@@ -307,18 +306,8 @@ def main_text(source: str | None, weight: dict[str, float]) -> str:
 
 
 def _pages(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of batches of a bounded number of pages and, but for a longer page, of bytes."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        at = held = 0
-        for n, size in enumerate(sizes):
-            if n > at and (n - at == PAGES or held + size > BYTES):
-                part = batch.slice(at, n - at)
-                yield part, part.column(column).to_pylist()
-                at, held = n, 0
-            held += size
-        if at < batch.num_rows:
-            part = batch.slice(at)
+        for part in bounded_slices(batch, column, PAGES, BYTES):
             yield part, part.column(column).to_pylist()
 
 

@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import Scratch, bounded_slices, join_counted, table
 
 #: Lines of a window: the shortest run that is deleted.
 RUN = 2
 #: Words that make a line long enough to go alone (``op3_long_lines`` and the pipeline).
 LONG_WORDS = 50
-#: Texts that are Python objects at a time.
-SLICE = 200
+#: Texts that are Python objects at a time, and their bytes (a longer text comes alone).
+SLICE, SLICE_BYTES = 200, 1 << 22
 #: Stands for a doc_id that is null: before all others.
 NO_ID = -(1 << 63)
 
@@ -81,8 +81,7 @@ def fingerprints(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFr
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in bounded_slices(batch, "text", SLICE, SLICE_BYTES):
                 texts = [t.encode().split(b"\n") for t in part.column("text").to_pylist()]
                 counts = np.array([len(t) for t in texts])
                 lines = [line for t in texts for line in t]
@@ -111,40 +110,52 @@ def fingerprints(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFr
     return docs.where("text is not null").select(*_key(docs), "text").mapInArrow(select, "doc long, twin long, fingerprint long, low int, high int, windows array<long>")
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
-    """doc, twin, low, high (lines) of runs that also stand earlier."""
-    every = fingerprints(docs, run, long_words)
+def repeated_runs(docs: DataFrame, scratch: Scratch, run: int = RUN, long_words: int = 0) -> DataFrame:
+    """doc, twin and gone (numbers of the lines of runs that also stand earlier), a written table.
+
+    The texts are read and hashed once; what follows reads the selected lines,
+    which are without their text.
+    """
+    every = scratch.keep(fingerprints(docs, run, long_words), "selected")
     # Map-side combine leaves one row a task for a fingerprint, however frequent.
-    shared = every.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    places = every.join(shared, "fingerprint", "left_semi")
-    kinds = places.groupBy("fingerprint", "windows").agg(F.min(F.struct("doc", "twin", "low", "high")).alias("first"), F.count("*").alias("n"))
-    again = places.join(kinds.where("n > 1").select("fingerprint", "windows", "first"), ["fingerprint", "windows"])
+    shared = scratch.keep(every.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    places = scratch.keep(join_counted(every, shared, ["fingerprint"]), "places")
+    kinds = scratch.keep(places.groupBy("fingerprint", "windows").agg(F.min(F.struct("doc", "twin", "low", "high")).alias("first"), F.count("*").alias("n")), "kinds")
+    again = join_counted(places, kinds.where("n > 1"), ["fingerprint", "windows"])
     whole = again.where(F.struct("doc", "twin", "low") > F.struct("first.doc", "first.twin", "first.low")).select("doc", "twin", "low", "high")
     # Fingerprints with several surroundings: one row for each window of each of them.
-    several = kinds.groupBy("fingerprint").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fingerprint")
+    several = scratch.keep(kinds.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"), "several")
     each = F.sequence(F.lit(0), F.expr("size(windows) div 2") - 1)
-    held = kinds.join(several, "fingerprint", "left_semi").select("first.doc", "first.twin", "first.low", "windows", F.explode(each).alias("i"))
+    held = join_counted(kinds.drop("n"), several, ["fingerprint"]).select("first.doc", "first.twin", "first.low", "windows", F.explode(each).alias("i"))
     held = held.select("doc", "twin", (F.col("low") + F.col("i")).alias("low"), F.get("windows", "i").alias("a"), F.get("windows", F.expr("i + size(windows) div 2")).alias("b"))
-    firsts = held.groupBy("a", "b").agg(F.min(F.struct("doc", "twin", "low")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    partly = held.join(firsts, ["a", "b"]).where(F.struct("doc", "twin", "low") > F.col("first")).select("doc", "twin", "low", (F.col("low") + run - 1).alias("high"))
-    return whole.unionByName(partly)
+    held = scratch.keep(held, "held")
+    firsts = scratch.keep(held.groupBy("a", "b").agg(F.min(F.struct("doc", "twin", "low")).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    partly = join_counted(held, firsts, ["a", "b"]).where(F.struct("doc", "twin", "low") > F.col("first")).select("doc", "twin", "low", (F.col("low") + run - 1).alias("high"))
+    # As numbers of lines, each once a text, however its runs overlap.
+    lines = whole.unionByName(partly).distinct().groupBy("doc", "twin").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", "high")))).alias("gone"))
+    found = scratch.keep(lines, "gone")
+    scratch.drop("selected", "shared", "places", "kinds", "several", "held", "firsts")
+    return found
 
 
 def without_repeats(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
     """row (all columns of ``docs``), kept_text, n_lines, n_removed and n_runs of each row."""
-    gone = repeated_runs(docs, run, long_words).groupBy("doc", "twin").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    # The text travels in its row only, once.
+    gone = repeated_runs(docs, Scratch(docs.sparkSession, SLICE_BYTES), run, long_words)
+    # The text travels in its row only, once; the cut itself is made of built-in functions.
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs)).join(gone, ["doc", "twin"], "left")
-    # Only texts that lose lines are sent to Python.
-    text = F.col("row.text")
-    cut_out = F.arrow_udf(_without_runs, "kept string, n_removed long, n_runs long")
-    out = joined.withColumn("out", cut_out(F.when(F.col("runs").isNotNull(), text), "runs.low", "runs.high"))
-    return out.select(
+    text, cut = F.col("row.text"), F.col("gone").isNotNull() & F.col("row.text").isNotNull()
+    of = joined.withColumn("lines", F.when(cut, F.split(text, "\n")))
+    of = of.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"))
+    # A run lies wherever two lines that stay, or an end of the text, have others in between.
+    marks = F.concat(F.array(F.lit(-1)), F.col("kept"), F.array(F.size("lines")))
+    of = of.withColumn("marks", F.when(cut, marks))
+    runs = F.size(F.filter(F.sequence(F.lit(1), F.size("marks") - 1), lambda i: F.get("marks", i) - F.get("marks", i - 1) > 1))
+    return of.select(
         "row",
-        F.when(F.col("runs").isNull() | text.isNull(), text).otherwise(F.col("out.kept")).alias("kept_text"),
+        F.when(cut, F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")).otherwise(text).alias("kept_text"),
         F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce("out.n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("out.n_runs", F.lit(0)).cast("long").alias("n_runs"),
+        F.when(cut, F.size("lines") - F.size("kept")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(cut, runs).otherwise(0).cast("long").alias("n_runs"),
     )
 
 
@@ -175,31 +186,6 @@ def cut_lines(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame
     return without_repeats(docs, run, long_words).select(*columns)
 
 
-def _without_runs(texts: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
-    """Drop the lines from each low to its high; a few texts at a time leave Arrow's memory, as bytes."""
-    out, kind = [], pa.struct([("kept", pa.string()), ("n_removed", pa.int64()), ("n_runs", pa.int64())])
-    for at in range(0, len(texts), SLICE):
-        kept, n_removed, n_runs = [], [], []
-        for text, low, high in zip(texts.slice(at, SLICE).cast(pa.binary()), lows.slice(at, SLICE), highs.slice(at, SLICE), strict=True):
-            if not low.is_valid or not text.is_valid:
-                kept.append(None)
-                n_removed.append(0)
-                n_runs.append(0)
-                continue
-            lines = text.as_py().split(b"\n")
-            keep = np.ones(len(lines), dtype=bool)
-            for a, b in zip(low.values.to_pylist(), high.values.to_pylist(), strict=True):
-                keep[a : b + 1] = False
-            before = np.append(True, keep[:-1])
-            kept.append(b"\n".join([lines[i] for i in np.flatnonzero(keep)]))
-            n_removed.append(int((~keep).sum()))
-            n_runs.append(int((before & ~keep).sum()))
-        # What goes is cut at line feeds, so the bytes stay valid UTF-8.
-        made = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_removed, pa.int64()), pa.array(n_runs, pa.int64())]
-        out.append(pa.StructArray.from_arrays(made, fields=list(kind)))
-    return pa.concat_arrays(out) if out else pa.array([], kind)
-
-
 def op3_lines(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs and kept_sha256 of each document."""
     return _digested(dedup_lines(table(spark, sf_dir, "documents")))
