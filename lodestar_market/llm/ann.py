@@ -91,9 +91,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_
     Rows whose vector is null, empty, zero or not finite, or whose id is null,
     take no part.  Vectors of different lengths have no inner product: each
     length is searched for itself, with an index of its own.
-    Repeated rows of one id count once.  With k or fewer candidates all are returned.
+    Rows of one id count once: the least of their vectors.  With k or fewer candidates all are returned.
     """
-    clean = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id"])
+    clean = usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
     lengths = [r["d"] for r in clean.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     if not lengths:
         return vectors.sparkSession.range(0).selectExpr("id AS query_id", "cast(0 as int) AS rank", "id AS vec_id", "0.0D AS score")

@@ -1,12 +1,14 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
 
 A window of a text has as many words as the benchmark item it is held against.
-Only windows that share a shingle with an item can be similar to it, so
-fingerprints are computed for those alone.  They have 256 bits in 8 blocks: of a
+A similar one shares at least one of the item's rarest shingles, those that
+outweigh what may be missing, so items are looked up by these and fingerprints
+computed for such windows alone.  They have 256 bits in 8 blocks: of a
 fingerprint within the radius at least one block lies within an eighth of the
-radius of the item's, which few others do.  What the index returns is
-checked exactly, by the weighted Jaccard similarity of the two multisets of
-shingles.
+radius of the item's, which few others do.  What passes is checked exactly, by
+the weighted Jaccard similarity of the two multisets of shingles.  (Blocks are a
+test here, not tables: a quarter of the bits may differ, and a block has too many
+neighbours at that distance to be looked up by its value.)
 """
 
 from __future__ import annotations
@@ -74,16 +76,24 @@ class Index:
         self.similarity, self.radius = similarity, radius
         self.items, by_shingle = [], defaultdict(set)
         self.met = self.near_ones = 0  # windows that were fingerprinted, and those that the index returned
+        spread: Counter = Counter()  # items that hold a shingle
         for item_id, text in items:
             found = tokens(text)
             if not found:
                 continue
             k = min(words, len(found))
-            hashes = shingle_hashes(found, k)
-            at = len(self.items)
-            self.items.append((item_id, len(found), k, Counter(hashes.tolist())))
-            for h in set(hashes.tolist()):
+            weights = Counter(shingle_hashes(found, k).tolist())
+            self.items.append((item_id, len(found), k, weights))
+            spread.update((k, h) for h in weights)
+        for at, (_, _, k, weights) in enumerate(self.items):
+            # A similar window shares ``similarity`` of the item's weight at least, so not all of the rest can be
+            # missing: the rarest shingles that outweigh it find every such window, and boilerplate finds none.
+            left = (1 - similarity) * weights.total() + 1e-9
+            for h, weight in sorted(weights.items(), key=lambda w, k=k: (spread[(k, w[0])], w[0])):
                 by_shingle[(k, h)].add(at)
+                left -= weight
+                if left < 0:
+                    break
         self.sizes = sorted({k for _, _, k, _ in self.items})
         self.known = {k: np.array(sorted(h for size, h in by_shingle if size == k), dtype=np.uint64) for k in self.sizes}
         self.by_shingle = by_shingle

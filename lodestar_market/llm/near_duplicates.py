@@ -199,6 +199,10 @@ def _shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), dtype=np.uint64))
 
 
+#: Stands for a doc_id that is null: behind all others.
+NO_ID = (1 << 63) - 1
+
+
 def _per_text(docs: DataFrame, compute, columns: str) -> DataFrame:
     """doc_id and the named columns that ``compute`` makes of each text."""
 
@@ -373,7 +377,7 @@ def _settled(filed: DataFrame, sets: DataFrame, roots: DataFrame, similarity: fl
     return tasks.mapInArrow(check, "a long, b long, label_a long, label_b long")
 
 
-def _similar(docs: DataFrame, texts: DataFrame, links_: DataFrame | None, words: int, similarity: float, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar(docs: DataFrame, texts: DataFrame, links_: DataFrame | None, words: int, similarity: float, block: int, scratch: Scratch, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs by heads, roots of the labels that they and ``links_`` connect, and pairs of texts of different roots.
 
     ``texts`` has a label; texts of one label belong together anyway.
@@ -381,9 +385,11 @@ def _similar(docs: DataFrame, texts: DataFrame, links_: DataFrame | None, words:
     filed = texts.select("node", "label", "n", F.posexplode("keys").alias("band", "key"))
     mixed = filed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     filed = scratch.keep(filed.join(mixed, "key"), "filed")
-    used = filed.select(F.col("node").alias("doc_id")).distinct()
+    used, one = filed.select(F.col("node").alias("doc_id")).distinct(), ["doc_id"]
+    if ids is not None:  # of the many rows of a text those of one document
+        used, one = used.join(ids, "doc_id"), ["doc_id", "doc"]
     # A doc_id in use names one text, so any of its rows will do.
-    rows = docs.select("doc_id", "text").join(used, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
+    rows = docs.select(*one, "text").join(used, one).groupBy("doc_id").agg(F.first("text").alias("text"))
     keys_of = _band_keys(words)
     sets = _per_text(rows, lambda t: (_shingle_set(t, words).view(np.int64), keys_of(t)[1]), "shingles array<long>, keys array<long>")
     sets = scratch.keep(sets.withColumnRenamed("doc_id", "node"), "sets")
@@ -414,25 +420,36 @@ def similar_pairs(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similar_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the smallest doc_id.
+    """The rows of ``docs`` that stay: one document of each group, that of the smallest doc_id.
 
     Groups join what the fingerprints link and what ``similar_pairs`` would
     list: at a similarity of 0.8 fingerprints are often ten bits apart, too far
     for blocks of bits to find.  Texts of one fingerprint are one node from the
-    start, so that only pairs that join fingerprints are checked.  Rows without
-    a doc_id, or whose doc_id names several texts, stay and take no part; of
-    rows equal in doc_id and text all stay or go.
+    start, so that only pairs that join fingerprints are checked.
+
+    Texts are told apart by 128 bits of hash, so every row takes part, whether
+    its doc_id is missing (those come last), repeats or names several texts
+    (then the text of the least hash stays).  Rows equal in doc_id and text are
+    one document: all stay or all go.  A null text counts as an empty one.
     """
     scratch = Scratch(docs.sparkSession)
-    texts, spread = _texts(docs, words, similar_words, scratch)
+    node, doc = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    named = docs.select(node.alias("doc_id"), doc.alias("doc"), "text")
+    # Two texts of one hash (64 bits; another 64 tell them apart) are held against nothing.
+    texts, spread = _texts(named, words, similar_words, scratch)
+    ids = scratch.keep(named.groupBy("doc_id").agg(F.min("doc").alias("doc")), "ids")
     texts = texts.withColumn("label", F.col("fingerprint"))
     near = links(texts.select("fingerprint").distinct(), radius)
-    _, roots, settled = _similar(docs, texts, near, similar_words, similarity, block, scratch)
+    _, roots, settled = _similar(named, texts, near, similar_words, similarity, block, scratch, ids)
     tops = components(settled.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), scratch, "settled").select(F.col("node").alias("root"), F.col("root").alias("top"))
     placed = texts.select("node", "label").join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
-    least = placed.join(tops, "root", "left").groupBy(F.coalesce("top", "root").alias("top")).agg(F.min("node").alias("doc_id"))
-    stays = least.select("doc_id").unionByName(spread)
-    return docs.where("doc_id is null").unionByName(docs.join(stays, "doc_id", "left_semi").select(*docs.columns))
+    grouped = placed.join(tops, "root", "left").select(F.col("node").alias("doc_id"), F.coalesce("top", "root").alias("top")).join(ids, "doc_id")
+    least = grouped.groupBy("top").agg(F.min(F.struct("doc", "doc_id")).alias("least")).select("least.doc_id", "least.doc")
+    apart = named.join(spread, "doc_id", "left_semi").select("doc_id", "doc").distinct()
+    stays = scratch.keep(least.unionByName(apart), "stays")
+    scratch.drop_all_but("stays")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("doc_id"), doc.alias("doc"))
+    return rows.join(stays, ["doc_id", "doc"], "left_semi").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -235,17 +235,22 @@ def test_similar_pairs_in_a_crowd(spark):
 
 
 def test_keep_one_and_nulls(spark):
-    docs = docs_of(spark, ["a b c d", "a b c d", None, "", "q r s"], [4, 2, 7, None, None])
+    docs = docs_of(spark, ["a b c d", "a b c d", None, "", "q r s", "q r s"], [4, 2, 7, None, None, None])
     kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in near_duplicates.keep_one(docs).collect())
-    assert kept == [(-1, ""), (-1, "q r s"), (2, "a b c d"), (7, None)]
+    # A null text is an empty one; rows equal in doc_id and text are one document.
+    assert kept == [(-1, "q r s"), (-1, "q r s"), (2, "a b c d"), (7, None)]
 
 
 def test_keep_one_with_repeated_ids(spark):
-    """A doc_id on several texts names no document: its rows stay; equal rows stay together."""
+    """Rows are documents by doc_id and text, so no copy is left out for its doc_id."""
     a, b, c = ("a b c d e f", "p q r s t u", "k l m n o p")
     docs = docs_of(spark, [a, a, b, c, c, c], [1, 2, 2, 3, 3, 4])
     kept = sorted((r["doc_id"], r["text"]) for r in near_duplicates.keep_one(docs).collect())
-    assert kept == [(1, a), (2, a), (2, b), (3, c), (3, c)]
+    assert kept == [(1, a), (2, b), (3, c), (3, c)]
+    t, u = "one two three four five six seven", "another text with other words in it"
+    five = docs_of(spark, [t, u, t, t, t], [1, 1, 2, None, None])
+    assert sorted((r["doc_id"], r["text"]) for r in near_duplicates.keep_one(five).collect()) == [(1, u), (1, t)]
+    assert sorted(near_duplicates.keep_one(five.withColumnsRenamed({"lang": "doc", "source": "node", "n_chars": "row"})).columns) == sorted(["doc_id", "text", "doc", "node", "row"])
 
 
 # -- 3 -----------------------------------------------------------------------
@@ -335,6 +340,13 @@ def test_ann_recall_and_exclusions(spark):
     assert ann.recall(found, np.arange(3000), x.astype(np.float64)) >= 0.9
 
 
+def test_ann_takes_the_least_vector_of_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 5.0]), (1, [2.0, 5.0]), (2, [1.0, 1.0])]
+    for parts in (1, 5):
+        found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)).collect()
+        assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 2.0), (2, 1.0)]
+
+
 def test_ann_ties_go_to_the_smaller_id(spark):
     x = np.random.default_rng(4).standard_normal((400, 16))
     x[20] *= 3  # longer than the others, so its copies are its nearest
@@ -663,6 +675,25 @@ def test_clean_rows_stay_whatever_their_id(spark):
         assert sorted(r["text"] for r in decontamination.keep_uncontaminated(docs, benchmark, block_bytes=block).collect()) == ["clean", "something else"]
 
 
+def test_rare_shingles_find_all_that_all_shingles_find():
+    """Items are filed under a fifth of their shingles, the rarest; boilerplate that all of them share is under none."""
+    rng = random.Random(6)
+    common = [f"all{i}" for i in range(30)]
+    items = [(i, " ".join([*common, *(f"item{i}x{rng.randrange(40)}" for _ in range(60))])) for i in range(40)]
+    index = decontamination.Index(items, 5, 0.8, decontamination.RADIUS)
+    boilerplate = decontamination.shingle_hashes(decontamination.tokens(" ".join(common)), 5).tolist()
+    assert not any((5, h) in index.by_shingle for h in boilerplate)
+    assert sum(len(v) for v in index.by_shingle.values()) < 0.3 * sum(len(w) for *_, w in index.items)
+    for _ in range(60):
+        at, words = rng.randrange(40), None
+        words = items[at][1].split()
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = "changed"
+        text = " ".join([*common, *words, *common])
+        assert {f[0] for f in index.search(text)} == {i for i, item in items if plain_similar(text, item)}
+    assert index.search(" ".join(common)) == []
+
+
 # -- 10 ----------------------------------------------------------------------
 
 
