@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as words
+from .terms import term_hits, term_numbers, term_sum
 
 SYMBOL = r"(?<![\p{L}\p{N}_])([A-Z]{3})(?![\p{L}\p{N}_])"
 
@@ -40,13 +41,21 @@ def symbol_hits(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SYMBOL), 1)
 
 
+#: More terms than this are looked up by one automaton; a few are quicker as single tests.
+MANY = 100
+
+
 def hits(text: Column, terms: Sequence[str]) -> Column:
     """Terms that the text contains, in list order."""
+    if len(terms) > MANY:
+        return F.coalesce(term_hits(text, terms), F.array().cast("array<string>"))
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 
 
 def count_hits(text: Column, terms: Sequence[str]) -> Column:
     """How many terms the text contains: a sum of generated tests, no array."""
+    if len(terms) > MANY:
+        return F.coalesce(F.size(term_numbers(text, terms)), F.lit(0))
     return sum((F.when(F.contains(text, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
 
 
@@ -57,8 +66,13 @@ def keywords(text: Column, positive=words.POSITIVE, negative=words.NEGATIVE, sla
 def adjust_sentiment(df: DataFrame, text: str, label: str, sure: str, positive=words.POSITIVE, negative=words.NEGATIVE, slang=words.SLANG) -> DataFrame:
     """Shift a base sentiment by slang and keywords: adds adjustment, sentiment, confidence."""
     low = F.lower(F.col(text))
-    shift = sum((F.when(F.contains(low, F.lit(t)), m * 100).otherwise(0.0) for t, _, m in slang if m), F.lit(0.0))
-    shift = shift + 5.0 * (count_hits(low, positive) - count_hits(low, negative))
+    weights = [(t, m * 100) for t, _, m in slang if m]
+    if len(weights) + len(positive) + len(negative) > MANY:
+        every = [*weights, *[(t, 5.0) for t in positive], *[(t, -5.0) for t in negative]]
+        shift = F.coalesce(term_sum(low, every), F.lit(0.0))
+    else:
+        shift = sum((F.when(F.contains(low, F.lit(t)), w).otherwise(0.0) for t, w in weights), F.lit(0.0))
+        shift = shift + 5.0 * (count_hits(low, positive) - count_hits(low, negative))
     out = df.withColumn("adjustment", F.round(shift, 6))
     flips = ((F.col("adjustment") < -20) & (F.col(label) == "positive")) | ((F.col("adjustment") > 20) & (F.col(label) == "negative"))
     moved = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(sure) + F.col("adjustment")))
@@ -114,7 +128,8 @@ def model_sentiment(df: DataFrame, text: str, load: Callable[[], Callable[[list[
 def spam_keyword(title: Column, description: Column, terms=words.SPAM_KEYWORDS) -> Column:
     """Whether the text holds a spam keyword; empty text is spam."""
     text = F.lower(F.concat_ws(" ", title, description))
-    return (F.trim(text) == "") | F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    listed = F.size(term_numbers(text, terms)) > 0 if len(terms) > MANY else F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    return (F.trim(text) == "") | listed
 
 
 def spam_pattern(text: Column, patterns=words.SPAM_PATTERNS) -> Column:

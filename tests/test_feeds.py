@@ -100,3 +100,24 @@ def test_sketches_keep_their_ranks(spark):
     for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
         rank = log.where(F.col("value") <= row[name]).count() / 200_000
         assert abs(rank - q) < 0.01
+
+
+def test_long_lists_give_what_short_ones_do(spark, monkeypatch):
+    """Hits, counts, adjusted sentiment and spam by one automaton equal those by single tests."""
+    from lodestar_market.operators import text as T
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(2, 4))) for _ in range(400)]
+    positive, negative, slang = words[:60], words[40:110], [(w, "", rng.choice([-0.3, 0.0, 0.2])) for w in words[100:180]]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))).upper() for _ in range(200)] + ["", None]
+    df = spark.createDataFrame([(n, t, rng.choice(["positive", "negative", "neutral"]), 50.0) for n, t in enumerate(texts)], "n int, t string, label string, sure double")
+
+    def results():
+        out = T.adjust_sentiment(df, "t", "label", "sure", positive, negative, slang)
+        low = F.lower("t")
+        return out.select("n", "adjustment", "sentiment", "confidence", T.hits(low, words[:150]).alias("h"), T.count_hits(low, words[:150]).alias("c"), T.spam_keyword(F.col("t"), F.lit(None), words[200:320]).alias("s")).orderBy("n").collect()
+
+    many = results()
+    monkeypatch.setattr(T, "MANY", 10_000)
+    assert many == results()
+    assert len({r["adjustment"] for r in many}) > 10 and {r["s"] for r in many} == {True, False}
