@@ -194,7 +194,7 @@ def j2(spark, d):
 
 T18_SQL = f"""
 WITH {SYNTH}, {ALERTS}, {MENTIONED}, {HOT}, best AS (
-  SELECT month, row_number() OVER (PARTITION BY month ORDER BY round(sure, 6) DESC, symbol) AS rank, symbol, action, round(sure, 4) AS sure FROM judged QUALIFY rank <= 3
+  SELECT month, row_number() OVER (PARTITION BY month ORDER BY round(sure, 6) DESC, symbol) AS rank, symbol, action, floor(sure * 10000 + 0.500001) / 10000 AS sure FROM judged QUALIFY rank <= 3
 ), picks AS (SELECT month, to_json(list({{'rank': rank, 'symbol': symbol, 'recommendation': action, 'confidence': sure}} ORDER BY rank)) AS recommendations FROM best GROUP BY month
 ), warned AS (SELECT month, count(*) AS alerts, to_json(list({{'symbol': symbol, 'alert_type': alert_type}} ORDER BY symbol, alert_type)) AS alert_list FROM alert GROUP BY month
 ), named AS (SELECT day - INTERVAL 28 YEAR AS month, to_json(list({{'rank': rank, 'symbol': symbol, 'mentions': mentions}} ORDER BY rank)) AS hot FROM hot GROUP BY day
@@ -212,7 +212,7 @@ def t18(spark, d):
     j = spark.read.parquet(at).withColumnRenamed("month", "trade_date")
     overview = j.groupBy("trade_date").agg(F.count("*").alias("symbols"), F.count_if(F.col("action").endswith("BUY")).alias("buys"))
     top = R.top_per(j, ["trade_date"], [F.desc(F.round("action_confidence", 6)), "symbol"], 3)
-    top = top.select("trade_date", F.col("rank"), "symbol", F.col("action").alias("recommendation"), F.round("action_confidence", 4).alias("confidence"))
+    top = top.select("trade_date", F.col("rank"), "symbol", F.col("action").alias("recommendation"), (F.floor(F.col("action_confidence") * 10000 + 0.500001) / 10000).alias("confidence"))
     all_alerts = S.alerts(j).select("trade_date", "symbol", "alert_type", "message")
     ranked = hot(spark, d).select(F.add_months("day", -12 * 28).alias("trade_date"), "rank", "symbol", "mentions")
     report = R.assemble(overview, top, all_alerts, ranked)
@@ -247,8 +247,8 @@ WITH {BARS}, {OVERVIEW}, rise AS (
   SELECT trade_date, symbol, least(round(up, 9), 1::DOUBLE) AS sure, row_number() OVER (PARTITION BY trade_date ORDER BY round(up, 9) DESC, symbol) AS rank FROM rise WHERE up > 0 QUALIFY rank <= 3
 ), said AS (SELECT trade_date, string_agg('• ' || symbol || ' - UP (' || CAST(round(sure * 100) AS INTEGER) || '%)', chr(10) ORDER BY rank) || chr(10) AS picks FROM best GROUP BY trade_date)
 SELECT trade_date, '*Market ' || strftime(trade_date, '%Y-%m-%d') || '*' || chr(10) || chr(10)
-  || coalesce('Index: ' || CAST(CAST(round(market_index, 6) AS DECIMAL(30, 2)) AS VARCHAR)
-    || coalesce(' (' || CASE WHEN round(index_change, 2) >= 0 THEN '+' ELSE '' END || CAST(CAST(round(index_change, 6) AS DECIMAL(30, 2)) AS VARCHAR) || '%)', '') || chr(10), '')
+  || coalesce('Index: ' || CAST(CAST(floor(market_index * 100 + 0.500001) / 100 AS DECIMAL(30, 2)) AS VARCHAR)
+    || coalesce(' (' || CASE WHEN floor(index_change * 100 + 0.500001) >= 0 THEN '+' ELSE '' END || CAST(CAST(floor(index_change * 100 + 0.500001) / 100 AS DECIMAL(30, 2)) AS VARCHAR) || '%)', '') || chr(10), '')
   || coalesce(picks, '') || chr(10) || '_{R.DISCLAIMER}_' AS message
 FROM overview LEFT JOIN said USING (trade_date)
 """
@@ -265,7 +265,7 @@ def t14_message(spark, d):
     days = R.market_overview(b).join(picks, "trade_date", "left")
     title = F.concat(F.lit("Market "), F.date_format("trade_date", "yyyy-MM-dd"))
     bare = F.transform("picks", lambda p: F.struct(p["symbol"].alias("symbol"), p["recommendation"].alias("recommendation"), p["confidence"].alias("confidence")))
-    cents = lambda c: F.round(c, 6).cast("decimal(30,2)").cast("double")
+    cents = lambda c: F.floor(c * 100 + 0.500001) / 100  # noqa: E731 (so that halves go up in any engine)
     return days.select("trade_date", R.short_message(title, cents(F.col("market_index")), cents(F.col("index_change")), bare).alias("message"))
 
 
