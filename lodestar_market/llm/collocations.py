@@ -36,11 +36,11 @@ SHARDS = 4
 #: Bits of the set that carries the candidates: 8 MB, whatever the input.
 SET_BITS = 1 << 26
 #: Bytes of text that are arrays at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Counts that a task holds before it hands them on.
-HELD = 1 << 21
-#: Texts that are Python objects at a time.
-TEXTS = 1000
+HELD = 1 << 20
+#: Bytes of an Arrow batch, and texts that are Python objects at a time.
+BATCH, TEXTS = 1 << 22, 200
 #: Ways over which a frequent word is dealt where its phrases are joined to it.
 SALTS = 8
 
@@ -312,7 +312,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, he
     empty, a null lang is ``und``; repeated rows count each, and other columns
     play no part.  An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, BATCH)
     known = scratch.keep(frequent_phrases(docs, scratch, least, longest, fill), "frequent")
     # Parts of one word may be in very many phrases, so both sides are dealt over several ways.
     words = F.split("phrase", " ")
