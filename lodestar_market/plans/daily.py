@@ -347,10 +347,13 @@ def _stream(spark, d) -> DataFrame:
 
 def _folder(spark) -> str:
     """The shared folder of the session; a folder of its own only where none is named and all runs on one machine."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    named, current = context.getConf().get("spark.checkpoint.dir"), context._jsc.sc().getCheckpointDir()
+    if named or current.isDefined():
+        return named or current.get()
+    if not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return named or tempfile.mkdtemp(prefix="stream-")
+    return tempfile.mkdtemp(prefix="stream-")
 
 
 def _new_folder(spark) -> str:
