@@ -199,6 +199,8 @@ def _shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), dtype=np.uint64))
 
 
+#: Bytes of an Arrow batch: rows carry a text or all its shingles, so a batch of so many rows may be very large.
+BATCH_BYTES = 1 << 22
 #: Stands for a doc_id that is null: behind all others.
 NO_ID = (1 << 63) - 1
 
@@ -413,7 +415,7 @@ def similar_pairs(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
     all.  Two texts at 0.8 share no band with a chance of 3 in a million.
     Rows without a doc_id, or whose doc_id names several texts, take no part.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, BATCH_BYTES)
     texts, _ = _texts(docs, WORDS, words, scratch)
     by_heads, _, settled = _similar(docs, texts.withColumn("label", F.col("node")), None, words, similarity, block, scratch)
     return by_heads.unionByName(settled).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -432,7 +434,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similar_
     (then the text of the least hash stays).  Rows equal in doc_id and text are
     one document: all stay or all go.  A null text counts as an empty one.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, BATCH_BYTES)
     node, doc = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     named = docs.select(node.alias("doc_id"), doc.alias("doc"), "text")
     # Two texts of one hash (64 bits; another 64 tell them apart) are held against nothing.

@@ -169,7 +169,10 @@ def _shingles_of(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_similar_pairs_group_as_brute_force(spark):
+@pytest.mark.parametrize("batch", [near_duplicates.BATCH_BYTES, 3000])
+def test_similar_pairs_group_as_brute_force(spark, monkeypatch, batch):
+    """In batches of a few rows too, where heads and their members fall into different ones."""
+    monkeypatch.setattr(near_duplicates, "BATCH_BYTES", batch)
     """Single copies and a large group: the pairs found connect what all pairs at 0.8 connect."""
     draw = random.Random(3)
     word = lambda: "".join(draw.choices("abcdefghij", k=5))
