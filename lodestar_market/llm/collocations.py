@@ -38,7 +38,7 @@ SET_BITS = 1 << 26
 #: Bytes of text that are arrays at a time.
 SLICE = 1 << 19
 #: Counts that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Bytes of an Arrow batch, and texts that are Python objects at a time.
 BATCH, TEXTS = 1 << 22, 200
 #: Ways over which a frequent word is dealt where its phrases are joined to it.
@@ -221,7 +221,8 @@ def locally_frequent(docs: DataFrame, sizes: range, least: int, longest: int, sh
         if held:
             yield from _counts(*merged())
 
-    counted = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # Counts are combined in Python already; a second time before the shuffle would only take memory.
+    counted = docs.mapInArrow(count, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= least).select(F.expr(f"shiftrightunsigned(key, {bits})").alias("key")).distinct()
 
 
