@@ -107,12 +107,13 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
     Hot keys, of which there are less than ``HOT_SHARE``, are sent to the rows;
     only rows of the other keys are shuffled, so no task gets more than its part.
-    Both tables are read twice and should be written ones.
+    Those are shuffled at any size, so what a small table costs tells what a large
+    one will.  Both tables are read twice and should be written ones.
     """
     total = right.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(right.where(F.col("n") * HOT_SHARE > total).drop("n"))
     cold = right.where(F.col("n") * HOT_SHARE <= total).drop("n")
-    return left.join(hot, keys).unionByName(left.join(F.broadcast(right.where(F.col("n") * HOT_SHARE > total).select(keys)), keys, "left_anti").join(cold, keys))
+    return left.join(hot, keys).unionByName(left.join(F.broadcast(right.where(F.col("n") * HOT_SHARE > total).select(keys)), keys, "left_anti").join(cold.hint("merge"), keys))
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -141,8 +141,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, run: int = RUN, long_words:
 def without_repeats(docs: DataFrame, run: int = RUN, long_words: int = 0) -> DataFrame:
     """row (all columns of ``docs``), kept_text, n_lines, n_removed and n_runs of each row."""
     gone = repeated_runs(docs, Scratch(docs.sparkSession, SLICE_BYTES), run, long_words)
-    # The text travels in its row only, once; the cut itself is made of built-in functions.
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs)).join(gone, ["doc", "twin"], "left")
+    # The text travels in its row only, once, at any size; the cut itself is made of built-in functions.
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs)).join(gone.hint("merge"), ["doc", "twin"], "left")
     text, cut = F.col("row.text"), F.col("gone").isNotNull() & F.col("row.text").isNotNull()
     of = joined.withColumn("lines", F.when(cut, F.split(text, "\n")))
     of = of.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"))

@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from lodestar_market.llm import ann, byte_pairs, decontamination, licenses, lines, near_duplicates, sharding, suffixes, token_shards, toxicity
+from lodestar_market.llm import _shared, ann, byte_pairs, decontamination, licenses, lines, near_duplicates, sharding, suffixes, token_shards, toxicity
 from tests.llm.awkward import AWKWARD
 
 DIR = "/root/testdata/sf0.001"
@@ -325,6 +325,22 @@ def test_line_stage_and_clashing_names(spark):
     assert sorted((r["text"], r["n_lines"], r["row"]) for r in got.collect()) == [("a\nb", 77, 77), ("c", 77, 77)]
 
 
+def test_line_joins_shuffle_at_any_size(spark, tmp_path):
+    """The texts, and the rows of keys that aren't hot, are joined in one way, however small the other table is."""
+
+    def joins(df):
+        return Counter(re.findall(r"SortMergeJoin|BroadcastHashJoin", df._jdf.queryExecution().executedPlan().toString()))
+
+    assert joins(lines.dedup_lines(docs_of(spark, ["a\nb", "a\nb", "c"]))) == {"SortMergeJoin": 1}
+    rows = spark.range(3000).selectExpr("id % 2000 as k", "id").union(spark.range(3000, 3100).selectExpr("20L as k", "id"))
+    rows.write.parquet(f"{tmp_path}/left")
+    left = spark.read.parquet(f"{tmp_path}/left")
+    left.groupBy("k").count().where("k > 10").withColumnRenamed("count", "n").write.parquet(f"{tmp_path}/right")
+    joined = _shared.join_counted(left, spark.read.parquet(f"{tmp_path}/right"), ["k"])
+    assert joins(joined) == {"SortMergeJoin": 1, "BroadcastHashJoin": 2}  # the hot key (20) is sent to the rows
+    assert sorted(r["id"] for r in joined.collect()) == [*(i for i in range(3000) if i % 2000 > 10), *range(3000, 3100)]
+
+
 def test_long_lines_by_sql(spark):
     assert sorted(map(tuple, lines.op3_long_lines(spark, DIR).collect()), key=repr) == duck(lines.LONG_LINES_SQL)
 
