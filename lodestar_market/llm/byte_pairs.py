@@ -34,6 +34,8 @@ SHORT = 8
 REMEMBER = 300_000
 #: Pairs of tokens, and short strings, that a worker remembers before it starts anew.
 REMEMBER_PAIRS = 100_000
+#: Characters of a text that go to the tiktoken library at a time (up to the next seam).
+BLOCK = 1 << 16
 _NO_RANK = 1 << 62
 MARKS = (".", ",", ";", ":", "!", "?")
 
@@ -41,6 +43,8 @@ MARKS = (".", ",", ";", ":", "!", "?")
 #: pattern reaches over it from the left, so text can be cut before it.
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Two blanks in a row; what is a blank to ``re`` includes all that the split pattern's \s means.
+_BLANKS = re.compile(r"\s\s")
 
 
 class Codec:
@@ -219,49 +223,31 @@ class ChunkedCodec:
         return np.frombuffer(b"".join([c[3] for c in self.chunks(text)]), np.int32)
 
 
-class LibraryCodec(ChunkedCodec):
-    """Ids alone; chunks it has not met go to the tiktoken library, those of a text in one call."""
+class LibraryCodec:
+    """Ids alone, by the tiktoken library; a long text goes to it in blocks that end at seams."""
 
-    @classmethod
-    @lru_cache(maxsize=2)
-    def of(cls, path: str, pattern: str) -> LibraryCodec:
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
-        coder = cls(Codec.load(path, pattern))
-        ranks = coder.codec.ranks
-        coder.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        coder.met = {}
-        coder.begins = np.zeros(max(ranks.values()) + 1, bool)
-        coder.begins[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
-        return coder
-
-    def _plain(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.int32).tobytes()
+        self.ranks = ranks
+        # Where no two blanks (of any kind) stand in a row, ``\s+(?!\S)`` adds nothing to ``\s+``,
+        # and without looking ahead the library searches by a faster engine.
+        plain = pattern.replace(r"|\s+(?!\S)|\s+", r"|\s+")
+        self.encoding, self.plain = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (pattern, plain))
 
-    def _fresh(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk; in a row, as a chunk without blanks inside has one in its first id alone."""
-        ids = np.asarray(self.encoding.encode_to_numpy(" " + " ".join(chunks), disallowed_special=()), np.int32)
-        edges = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), 4 * len(ids)]
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    @classmethod
+    @lru_cache(maxsize=2)
+    def of(cls, path: str, pattern: str) -> LibraryCodec:
+        return cls(Codec.load(path, pattern).ranks, pattern)
 
     def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        head, tail = self.split(text)
-        met = self.met
-        out = [met.get(chunk) for chunk in tail]
-        unmet = [i for i, known in enumerate(out) if known is None]
-        for i in unmet:
-            if " " in tail[i]:
-                out[i] = self._plain(" " + tail[i])
-        rest = [i for i in unmet if out[i] is None]
-        if rest:
-            for i, got in zip(rest, self._fresh([tail[i] for i in rest]), strict=True):
-                out[i] = got
-                if len(met) < REMEMBER and len(tail[i]) <= 48:
-                    met[tail[i]] = got
-        return np.frombuffer(b"".join([self._plain(head), *out]), np.int32)
+        found, at = [], 0
+        while at < len(text):
+            seam = _SEAM.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+            block = text[at : seam.start() if seam else len(text)]
+            found.append(np.array((self.encoding if _BLANKS.search(block) else self.plain).encode_ordinary(block), np.int32))
+            at += len(block)
+        return found[0] if len(found) == 1 else np.concatenate([np.empty(0, np.int32), *found])
 
 
 @lru_cache(maxsize=2)

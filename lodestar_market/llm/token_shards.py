@@ -92,7 +92,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, stride: int = STRIDE) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = LibraryCodec.of(path, pattern)
-        if max(coder.codec.ranks.values(), default=0) >= END:
+        if max(coder.ranks.values(), default=0) >= END:
             raise ValueError(f"ranks must stay below {END}, which ends texts")
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -446,6 +446,34 @@ def test_library_codec_equals_the_library():
         assert coder.ids(text).tolist() == enc.encode_ordinary(text), repr(text)
 
 
+def test_library_codec_takes_blocks_once(monkeypatch):
+    """Every character goes to the library once, in blocks of bounded size, by the quicker pattern unless blanks stand in a row."""
+
+    class Listening:
+        def __init__(self, encoding, said):
+            self.encoding, self.said = encoding, said
+
+        def encode_ordinary(self, text):
+            self.said.append(text)
+            return self.encoding.encode_ordinary(text)
+
+    enc = reference_encoder()
+    coder = byte_pairs.LibraryCodec(byte_pairs.Codec.load(RANKS, public_tokenizers.PATTERN).ranks, public_tokenizers.PATTERN)
+    careful, quick = [], []
+    monkeypatch.setattr(coder, "encoding", Listening(coder.encoding, careful))
+    monkeypatch.setattr(coder, "plain", Listening(coder.plain, quick))
+    monkeypatch.setattr(byte_pairs, "BLOCK", 500)
+    text = " ".join(random.Random(3).choices(["one", "two,", "three\nfour", "f\u00efve\u3000", "it's"], k=2000))
+    assert coder.ids(text).tolist() == enc.encode_ordinary(text)
+    assert "".join(sorted(careful + quick, key=text.index)) == text
+    assert max(map(len, careful + quick)) < 530 and all(re.search(r"\s\s", t) for t in careful) and quick == [t for t in quick if not re.search(r"\s\s", t)]
+    plain = text.replace("\u3000", "")
+    careful.clear()
+    quick.clear()
+    assert coder.ids(plain).tolist() == enc.encode_ordinary(plain) and not careful and "".join(quick) == plain
+    assert coder.ids("").tolist() == []
+
+
 def test_token_shards_do_not_depend_on_the_partitioning(spark, tmp_path):
     texts = [*AWKWARD, *corpus(10, 20), "same", "same", "other", None]
     ids = [*range(len(texts) - 4), 5, 5, 5, None]
