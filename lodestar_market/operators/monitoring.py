@@ -64,12 +64,13 @@ def latencies(log: DataFrame, by: list[str], value: str, error: Column, exact: b
 
 
 def gaps(df: DataFrame, by: list[str], hours: float) -> DataFrame:
-    """Stretches without a row longer than ``hours``."""
+    """Stretches without a row longer than ``hours``; times count as whole seconds, to which they are rounded (halves to the even one)."""
     from pyspark.sql import Window
 
     after = F.lead("ts").over(Window.partitionBy(*by).orderBy("ts"))
     spaced = df.select(*by, F.col("ts").alias("gap_start"), after.alias("gap_end"))
-    return spaced.where(F.unix_timestamp("gap_end") - F.unix_timestamp("gap_start") > int(hours * 3600))
+    second = lambda c: F.rint(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000)
+    return spaced.where(second("gap_end") - second("gap_start") > int(hours * 3600))
 
 
 #: Of a KLL sketch: ranks are within about one in k of the exact ones, mostly.

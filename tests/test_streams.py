@@ -197,3 +197,21 @@ def test_order_keys_sort_as_their_columns(spark):
     rows = [(a, b, c) for a in (-5, 0, 7, 10**15) for b in (0, 9) for c in (0, 5, 10**9)]
     df = spark.createDataFrame(rows, "a long, b int, c long").withColumn("k", order_key("a", ("b", 2), ("c", 12)))
     assert [tuple(r)[:3] for r in df.orderBy("k").collect()] == sorted(rows)
+
+
+def test_gaps_count_rounded_seconds(spark, tmp_path):
+    """Both ends of a gap are rounded to seconds, halves to the even one, as in the SQL: beside 36 hours that lets gaps in and rules them out."""
+    import duckdb
+
+    from lodestar_market import catalog
+
+    ends = (0, 1, 400_000, 499_999, 500_000, 500_001, 600_000, 999_999)
+    pairs = [(s, a, b) for s in (-7, 0, 1, 1_704_067_200, 1_704_067_201) for a in ends for b in ends]
+    at = lambda seconds, micros: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds, microseconds=micros)
+    rows = [(n, at(s + far, x)) for n, (s, a, b) in enumerate(pairs) for far, x in ((0, a), (36 * 3600, b))]
+    spark.createDataFrame([*rows, (None, at(0, 0)), (1, None), (1, at(0, 0))], "user_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in catalog.queries()["st4_gaps"](spark, str(tmp_path)).select("source", "gap_start", "gap_end").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["st4_gaps"]).fetchall())
+    assert got == want and 0 < len(want) < len(pairs)
