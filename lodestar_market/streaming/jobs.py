@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.bars import order_key
 from ..operators.text import rule_sentiment
@@ -63,6 +64,23 @@ def run_regrouped(scored: DataFrame, folder: str) -> DataFrame:
     return scored.sparkSession.read.schema(f"request_id string, correlation_id string, {results}").parquet(f"{at}/out")
 
 
+def run_counted(rows: DataFrame, folder: str, by: list[str]) -> DataFrame:
+    """Run a stream into ``n``, the number of its rows by ``by``, and read the result.
+
+    Only counts are written, those of each micro-batch.  A batch that is run
+    again overwrites what it wrote before.
+    """
+    at = f"{folder}/stream-{uuid.uuid4().hex}"
+    counted = lambda df: df.groupBy(*by).agg(F.count("*").alias("n"))
+    schema = StructType([*rows.select(*by).schema, StructField("n", LongType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        counted(batch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(schema).parquet(f"{at}/out").groupBy(*by).agg(F.sum("n").alias("n"))
+
+
 def success_rate(log: DataFrame, length: str = "10 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Sliding windows with their success rate and whether it alerts (below 80 %)."""
     ok = F.count_if(F.col("status") == "ok")

@@ -215,3 +215,33 @@ def test_gaps_count_rounded_seconds(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = sorted(con.execute(catalog.oracle_sql()["st4_gaps"]).fetchall())
     assert got == want and 0 < len(want) < len(pairs)
+
+
+def test_alert_stream_writes_counts_only(spark, tmp_path, monkeypatch):
+    """Each alert goes to every user of its symbol: what the stream writes doesn't grow with their number, and the users' counts are the SQL's."""
+    import duckdb
+
+    from lodestar_market import catalog
+    from lodestar_market.plans import daily
+
+    rng = random.Random(9)
+    events = [(i, rng.choice([*range(40), None]), rng.choice(["error", "error", "view", None]), START) for i in range(600)]
+    segments = ["BUILDING", "MACHINERY", "FURNITURE", None]
+    customers = [(rng.randrange(300), rng.choice([-1.0, 0.0, 5.0, 7.0, None]), rng.choice(segments)) for _ in range(500)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp_ntz").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame(customers, "c_custkey long, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(daily, "_folder", lambda _: str(tmp_path / "shared"))
+    got = sorted(tuple(r) for r in catalog.queries()["st9_alert_stream"](spark, str(tmp_path)).select("symbol", "alert_type", "user_id", "n").collect())
+    con = duckdb.connect()
+    for name in ("events", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalog.oracle_sql()["st9_alert_stream"]).fetchall()) and len(got) > 100
+    written = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "shared" / "*" / "out")).count()
+    assert written <= 11  # ten symbols, and users without one
+
+
+def test_counts_of_several_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = stream_of(spark, tmp_path / "in", [[("a",), ("a",), (None,)], [("b",)], [("a",), ("b",), (None,)]], "k string")
+    out = jobs.run_counted(stream, str(tmp_path / "job"), ["k"])
+    assert sorted((r["k"] or "", r["n"]) for r in out.collect()) == [("", 2), ("a", 3), ("b", 2)]
