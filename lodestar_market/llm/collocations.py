@@ -6,16 +6,21 @@
    and pairs first, then longer phrases whose shorter ones were locally frequent.
    A shard is no task: many tasks count its phrases, by 62 bits of hash.
 2. The locally frequent hashes of all shards are united.
+   Those that all shards together hold fewer than ``least`` times are left out: a
+   hash's counts of all shards meet in one place, and are never below its phrase's.
 3. One more pass counts all candidates globally, as strings; what a hash let
    through by chance is below ``least`` there, and goes.
 
-The union travels as a bit set of fixed size.  Where it would be too full to
-sieve, the candidates are joined to the counts instead; the result is the same.
+The union travels as a bit set, which has an upper size.  Where it would be too
+full to sieve, or the strings it lets through would take much more disk than the
+texts, the last pass is made in several rounds, each for the keys of one range.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ._shared import ASCII_LOWER, ASCII_UPPER, Scratch, table
+from ._shared import ASCII_LOWER, ASCII_UPPER, Scratch, shuffles_freed, table
 
 LEAST = 10
 LONGEST = 3
@@ -33,8 +38,12 @@ HELD_PERCENT = 50
 FIRST = 2000
 #: Shards that are mined for themselves, a power of two: more of them would lower the local support to one.
 SHARDS = 4
-#: Bits of the set that carries the candidates: 8 MB, whatever the input.
-SET_BITS = 1 << 26
+#: Bits of the set that carries the candidates, powers of two: at least 8 and at most 32 MB, whatever the input.
+LEAST_BITS, SET_BITS = 1 << 26, 1 << 28
+#: Rounds at most, a power of two: the upper bits of a key tell its round.  Beyond, sets are fuller and let more through.
+ROUNDS = 16
+#: Bytes that a counted string takes on disk, about, and times the bytes of all texts that a round's strings may take.
+COUNTED, TEXT_SHARE = 24, 1.5
 #: Bytes of text that are arrays at a time.
 SLICE = 1 << 19
 #: Counts that a task holds before it hands them on.
@@ -155,31 +164,44 @@ def _phrases(batch: pa.RecordBatch, sizes: range, longest: int) -> Iterator[tupl
 
 
 class BitSet:
-    """A set of hashes in ``SET_BITS`` bits: it never misses a member."""
+    """A set of hashes of 62 bits in a power of two of bits: it never misses a member."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for place in ((keys & np.uint64(SET_BITS - 1)), (keys >> np.uint64(31)) & np.uint64(SET_BITS - 1)):
+        out, within = np.ones(len(keys), bool), np.uint64(64 * len(self.words) - 1)
+        for place in ((keys & within), (keys >> np.uint64(_SECOND)) & within):
             out &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
         return out
 
 
-def bit_set(candidates: DataFrame) -> BitSet:
+#: First bits of a key that make its second place in a set, and its round; up to there no two uses share a bit.
+_SECOND, _ROUND = 30, 62 - (ROUNDS.bit_length() - 1)
+
+
+def bit_set(candidates: DataFrame, bits: int = LEAST_BITS) -> BitSet:
     """The candidates' bits; what reaches the driver is bounded by the set, not by their number."""
-    low, high = F.col("key").bitwiseAND(SET_BITS - 1), F.shiftright("key", 31).bitwiseAND(SET_BITS - 1)
+    low, high = F.col("key").bitwiseAND(bits - 1), F.shiftright("key", _SECOND).bitwiseAND(bits - 1)
     places = candidates.select(F.explode(F.array(low, high)).alias("place"))
     bit = F.expr("shiftleft(1L, cast(place & 63 AS INT))")
-    filled = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    words = np.zeros(SET_BITS // 64, np.uint64)
+    with shuffles_freed(candidates.sparkSession):
+        filled = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
     words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
     return BitSet(words)
 
 
-def locally_frequent(docs: DataFrame, sizes: range, least: int, longest: int, shorter: BitSet | None = None) -> DataFrame:
-    """key of each phrase of these sizes with ``least`` occurrences in one shard.
+def _bits(keys: int, fill: float) -> int:
+    """Bits of a set of so many keys, each of which sets two."""
+    bits = LEAST_BITS
+    while bits < SET_BITS and 2 * keys > fill * bits:
+        bits *= 2
+    return bits
+
+
+def locally_frequent(docs: DataFrame, sizes: range, least: int, longest: int, shorter: BitSet | None = None, in_all: int = 1) -> DataFrame:
+    """key of each phrase of these sizes with ``least`` occurrences in one shard and ``in_all`` in all of them, and their number ``n``.
 
     ``docs`` has text, lang and shard.  With ``shorter``, a phrase counts only if
     both phrases of one word less are in it.
@@ -222,8 +244,12 @@ def locally_frequent(docs: DataFrame, sizes: range, least: int, longest: int, sh
             yield from _counts(*merged())
 
     # Counts are combined in Python already; a second time before the shuffle would only take memory.
-    counted = docs.mapInArrow(count, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= least).select(F.expr(f"shiftrightunsigned(key, {bits})").alias("key")).distinct()
+    phrase = F.expr(f"shiftrightunsigned(key, {bits})")
+    dealt = docs.mapInArrow(count, "key long, n long").repartition(phrase).select(phrase.alias("key"), F.col("key").bitwiseAND(SHARDS - 1).alias("shard"), "n")
+    shards = [f"n{s}" for s in range(SHARDS)]
+    counted = dealt.groupBy("key").agg(*[F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)).alias(name) for s, name in enumerate(shards)])
+    total = reduce(lambda x, y: x + y, map(F.col, shards))
+    return counted.where((F.greatest(*shards) >= least) & (total >= in_all)).select("key", total.alias("n"))
 
 
 def _counts(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -231,9 +257,12 @@ def _counts(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)])], names=["key", "n"])
 
 
-def counted_phrases(docs: DataFrame, longest: int, sieve: BitSet | None) -> DataFrame:
-    """lang, size, phrase, key and n, partly summed, of all phrases in ``sieve`` (None: of all); size 0 has all words of a language."""
-    sent = docs.sparkSession.sparkContext.broadcast(sieve) if sieve else None
+def counted_phrases(docs: DataFrame, longest: int, sieve: BitSet, number: int = 0, rounds: int = 1) -> DataFrame:
+    """lang, size, phrase, key and n, partly summed, of all phrases in ``sieve``; size 0 has all words of a language.
+
+    Of several rounds, that of this number has the phrases of its keys, the first also the words.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
     bits, kind = SHARDS.bit_length() - 1, pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +272,15 @@ def counted_phrases(docs: DataFrame, longest: int, sieve: BitSet | None) -> Data
             langs = batch.column("lang")
             for found, first, key, text in _phrases(batch, range(1, longest + 1), longest):
                 words = np.bincount(text[1], minlength=len(langs))
-                some = np.flatnonzero(words)
+                some = np.flatnonzero(words) if number == 0 else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(some)), pa.array(np.zeros(len(some), np.int32)), pa.array([""] * len(some)), pa.array(np.zeros(len(some), np.int64)), pa.array(words[some])], schema=kind)
                 for n in range(1, longest + 1):
                     k, at, of = key[n], first[n], text[n]
-                    if sent:
-                        into = sent.value.has(k >> np.uint64(bits))
-                        k, at, of = k[into], at[into], of[into]
+                    if rounds > 1:
+                        own = k >> np.uint64(_ROUND + bits) & np.uint64(rounds - 1) == number
+                        k, at, of = k[own], at[own], of[own]
+                    into = sent.value.has(k >> np.uint64(bits))
+                    k, at, of = k[into], at[into], of[into]
                     start, end = found.span(at, n)
                     other = _POWERS[1].of_slices(found.data, start, end)
                     # Of one key, a second hash and the length tell phrases apart; then strings do.
@@ -281,24 +312,40 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body))
 
 
+def _rounds(candidates: DataFrame, docs: DataFrame, keys: int, fill: float) -> int:
+    """Rounds of the last pass: so many that a set is filled to ``fill`` and that what it lets through stays below a multiple of all texts' bytes."""
+    parts = docs.select(F.octet_length("text").alias("size"), F.spark_partition_id().alias("part"))
+    texts, tasks = parts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("part") + 1, F.lit(1))).first()
+    # A task hands on a row for each of its phrases.
+    rows = candidates.agg(F.sum(F.least("n", F.lit(tasks)))).first()[0] or 0
+    most, rounds = max(2 * keys / SET_BITS, 1e-9), 1
+    while rounds < ROUNDS and (most > rounds * fill or rows * COUNTED > rounds * TEXT_SHARE * texts):
+        rounds *= 2
+    return rounds
+
+
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, fill: float = 0.25) -> DataFrame:
     """lang, size, phrase, n of all phrases of 1 to ``longest`` words with ``least`` occurrences; size 0: all words.
 
-    ``fill`` is the share of the bit set's bits above which candidates are joined instead.
+    ``fill`` is the share of a bit set's bits above which there are several rounds.
     """
     local = -(-least // SHARDS)
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int"))
-    united, shorter = None, None
+    united, keys, shorter = None, 0, None
     for n in range(min(2, longest), longest + 1):
-        level = scratch.keep(locally_frequent(rows, range(1 if n <= 2 else n, n + 1), local, longest, shorter), f"level-{n}")
+        level = scratch.keep(locally_frequent(rows, range(1 if n <= 2 else n, n + 1), local, longest, shorter, least), f"level-{n}")
         united = level if united is None else united.unionByName(level)
-        shorter = bit_set(level) if n < longest and 2 * level.count() <= fill * SET_BITS else None
-    if 2 * united.count() <= fill * SET_BITS:
-        counted = counted_phrases(rows, longest, bit_set(united))
-    else:
-        every = counted_phrases(rows, longest, None)
-        counted = every.where("size = 0").unionByName(every.where("size > 0").join(united, "key", "left_semi").select(every.columns))
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+        keys += (own := level.count())
+        # Without a set all phrases of the next level are counted; the result is the same.
+        shorter = bit_set(level, _bits(own, fill)) if n < longest and 2 * own <= fill * SET_BITS else None
+    rounds, found = _rounds(united, rows, keys, fill), []
+    for number in range(rounds):
+        own = united.where(F.shiftright("key", _ROUND).bitwiseAND(rounds - 1) == number)
+        counted = counted_phrases(rows, longest, bit_set(own, _bits(keys // rounds, fill)), number, rounds)
+        part = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+        found.append(scratch.keep(part, f"frequent-{number}"))
+    scratch.drop(*[f"level-{n}" for n in range(min(2, longest), longest + 1)])
+    return reduce(DataFrame.unionByName, found)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, held_percent: int = HELD_PERCENT, first: int = FIRST, fill: float = 0.25) -> DataFrame:
@@ -314,7 +361,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, he
     play no part.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, BATCH)
-    known = scratch.keep(frequent_phrases(docs, scratch, least, longest, fill), "frequent")
+    known = frequent_phrases(docs, scratch, least, longest, fill)
     # Parts of one word may be in very many phrases, so both sides are dealt over several ways.
     words = F.split("phrase", " ")
     one = F.instr("part", " ") == 0
@@ -337,7 +384,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, he
     totals = known.where("size = 0").select("lang", F.col("n").alias("total"))
     out = best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("total").alias("n"), F.col("cut.score").cast("long").alias("score"))
     out = scratch.keep(out, "result")
-    scratch.drop("frequent", *[f"level-{n}" for n in range(min(2, longest), longest + 1)])
+    scratch.drop_all_but("result")
     return out
 
 

@@ -115,3 +115,21 @@ def test_sql_gives_the_same_rows(spark):
     names = [c[0] for c in out.description]
     want = sorted(tuple(r[names.index(c)] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in out.fetchall())
     assert found(C.op11_collocations(spark, directory)) == want
+
+
+@pytest.mark.parametrize(("bits", "share"), [(1 << 10, 1.5), (1 << 26, 0.001)])
+def test_full_sets_and_large_results_take_rounds(spark, monkeypatch, bits, share):
+    """More candidates than a set holds, or more strings than the texts allow: several rounds, and phrases that are no candidates aren't written as strings."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    often = [" ".join(rng.choices(words, k=3)) for _ in range(40)]
+    rows = [(". ".join([" ".join(rng.choices(words, k=80)), *rng.sample(often, 4)]), "en") for _ in range(200)]
+    for name, value in (("SET_BITS", bits), ("LEAST_BITS", min(bits, 1 << 26)), ("TEXT_SHARE", share)):
+        monkeypatch.setattr(C, name, value, raising=False)
+    written, counted = [], C.counted_phrases
+    monkeypatch.setattr(C, "counted_phrases", lambda *a, **b: written.append(counted(*a, **b)) or written[-1])
+    docs = spark.createDataFrame([(i, t, lang, 1, "p", 2) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    assert found(C.collocations(docs)) == plain(rows, 10, 3, 50, 2000)
+    assert len(written) > 1
+    once = sum(df.where("size > 1").count() for df in written)
+    assert once < 0.2 * sum(len(t.split()) for t, _ in rows)  # all pairs and triples would be twice as many as words
